@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.session import materialise
+
 
 def top_k(
     df: DataFrame,
@@ -116,3 +118,23 @@ def median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def upper_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The upper of the two middle values when n is even."""
     return order_statistics(df, keys, value, {"upper_median": F.floor(F.col("n") / 2) + 1})
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Global row numbers under a total order, without one task that sees every row.
+
+    The rows are range-partitioned and written once, so that the numbers of a partition can start
+    where the counts of those before it end.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    stored = materialise(ranged, "numbered")
+    counts = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    return (
+        stored.withColumn("_near", F.row_number().over(inside))
+        .join(F.broadcast(starts), "_part")  # one row per partition
+        .withColumn(name, F.col("_start") + F.col("_near"))
+        .drop("_part", "_start", "_near")
+    )
