@@ -138,3 +138,8 @@ def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
         .withColumn(name, F.col("_start") + F.col("_near"))
         .drop("_part", "_start", "_near")
     )
+
+
+def paired(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two one-row tables side by side."""
+    return _join(left, right, [])

@@ -42,7 +42,10 @@ def read_transcripts(spark: SparkSession, glob: str) -> DataFrame:
     """
     lines = spark.read.format("text").load(glob).select(
         "value", F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("line"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("line"),  # orders the lines of a file, whichever split read them
     )
     return parse_records(lines.filter(F.trim("value") != "").select(
         F.regexp_extract("file", r"agent-([^/]*)\.jsonl$", 1).alias("agent"), "line", "value"
