@@ -32,9 +32,14 @@ def usd(nano: Column) -> Column:
     return F.format_string("%d.%06d", whole, rest)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Fixed decimals of the exact value, ties to even, as C and Python print them."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+
+
 def percent(part: Column, total: Column) -> Column:
     ratio = F.when(total > 0, F.lit(100.0) * part / total).otherwise(F.lit(0.0))
-    return F.format_string("%.1f%%", ratio)
+    return F.concat(fixed(ratio, 1), F.lit("%"))
 
 
 def reaches(part: Column, total: Column, percent_needed: int) -> Column:

@@ -44,6 +44,14 @@ def similarity(dot_product: Column) -> Column:
     return dot_product / float(INT8_SCALE * INT8_SCALE)
 
 
+def base64_text(vector: Column) -> Column:
+    """The signed bytes in base64, in one line."""
+    pairs = F.transform(
+        vector, lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(256))), 2, "0")
+    )
+    return F.translate(F.base64(F.unhex(F.array_join(pairs, ""))), "\r\n", "")
+
+
 def model_words(text: Column) -> Column:
     """Word characters and underscores, lower-cased: what the offline embedder counts."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))

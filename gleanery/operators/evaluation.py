@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions.formats import percent, reaches
+from gleanery.functions.formats import fixed, percent, reaches
 from gleanery.operators.topk import numbered
 from gleanery.params import (
     ANSWERABLE,
@@ -37,7 +37,7 @@ def right_rank(questions: DataFrame, files: DataFrame) -> DataFrame:
 
 def outcomes(ranked: DataFrame, top: DataFrame) -> DataFrame:
     """(qid, label, detail): HIT, MISS or DIAG with the line the report prints."""
-    score = F.format_string("top score %.2f", "top_score")
+    score = F.concat(F.lit("top score "), fixed(F.col("top_score"), 2))
     tag = F.when(F.col("hard_negative"), " [hard negative]").otherwise("")
     hit = F.col("rank").isNotNull()
     detail = (

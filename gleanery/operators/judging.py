@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions.formats import excerpt
+from gleanery.functions.formats import excerpt, fixed
 from gleanery.functions.verdicts import (
     DIFFERENT_INPUT,
     UNREADABLE,
@@ -108,7 +108,7 @@ def result_text(
     body = excerpt(body_text(F.col("text"), F.col("heading_path")))
     block = F.concat(
         F.when(F.col("passage_rank") == 1, F.concat(
-            F.format_string("%d. %s  (score %.4f)\n", "rank", "path", "score"),
+            F.format_string("%d. %s  (score %s)\n", "rank", "path", fixed(F.col("score"), 4)),
             F.lit("   "), F.col("file_url"), F.lit("\n"),
         )).otherwise(""),
         F.lit("   "), _letter(),
@@ -127,8 +127,9 @@ def result_text(
         F.lit("Sources for: "), F.col("question"),
         F.lit(f"\nDocs: {repo} @ {commit}\nRanking: {mode}  no text generated\n"),
         F.format_string(
-            "Top score: %.3f (best passage similarity; ingest reference %.3f, reported only: "
-            "retrieval does not decide whether the docs answer)", "top_score", F.lit(reference),
+            "Top score: %s (best passage similarity; ingest reference %s, reported only: "
+            "retrieval does not decide whether the docs answer)",
+            fixed(F.col("top_score"), 3), fixed(F.lit(reference), 3),
         ),
         F.lit("\n\n"),
     )

@@ -91,13 +91,13 @@ def check_lines(audited: DataFrame) -> DataFrame:
         "agent",
         F.format_string(
             "agent %s: type %s; models %s; offered tools %d; tool_use %d; base line %d (layout %s); "
-            "payload sha16 %s; reply %s; parse %s; requests %d; peak %d; in-equivalent %,.0f",
+            "payload sha16 %s; reply %s; parse %s; requests %d; peak %d; in-equivalent %s",
             F.col("agent").cast("string"), "agent_type", F.coalesce("models", F.lit("none")), "offered", "tool_uses", "base_len",
             F.when(F.col("layout_ok"), "ok").otherwise("BAD"),
             F.coalesce(F.substring("payload_sha", 1, 16), F.lit("none")),
             F.when(F.col("reply").isNull(), "absent").otherwise(
                 F.format_string("present, %d chars", F.length("reply"))),
-            parse, "requests", "peak", "in_equiv",
+            parse, "requests", "peak", F.format_number("in_equiv", 0),
         ).alias("line"),
     )
 

@@ -209,9 +209,8 @@ def vec_quantise(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def vec_base64(spark: SparkSession, d: str) -> DataFrame:
-    byte = lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(256))), 2, "0")
-    raw = F.unhex(F.array_join(F.transform("embedding", byte), ""))
-    return fx.vectors(spark, d).select(F.col("line_start").alias("vec_id"), F.base64(raw).alias("b64"))
+    b64 = vec.base64_text(F.col("embedding"))
+    return fx.vectors(spark, d).select(F.col("line_start").alias("vec_id"), b64.alias("b64"))
 
 
 @query

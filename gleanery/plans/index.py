@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.functions.vectors import hashed_embedding
+from gleanery.functions.vectors import base64_text, hashed_embedding
 from gleanery.functions.words import model_text
 from gleanery.operators import lexical
 from gleanery.params import DEFAULT_RANK, RankParams
@@ -176,14 +176,11 @@ def canonical_lines(index: Index) -> DataFrame:
     """Passages as canonical JSON lines in (path, line_start) order, vectors in base64.
 
     A range-partitioned sort: the lines of each output file follow those of the one before."""
-    vector = F.base64(F.unhex(F.array_join(F.transform(
-        "embedding", lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(256))), 2, "0")
-    ), "")))
     joined = index.table("passages").join(index.table("vectors"), ["path", "line_start"])
     return joined.select(
         "path", "line_start",
         F.to_json(F.struct(
-            vector.alias("embedding"), "heading", "heading_path", "line_end", "line_start",
+            base64_text(F.col("embedding")).alias("embedding"), "heading", "heading_path", "line_end", "line_start",
             "path", "text",
         )).alias("line"),
     ).orderBy("path", "line_start")

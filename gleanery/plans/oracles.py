@@ -62,7 +62,7 @@ def shape(x: str) -> str:
 
 
 def m_at_least(x: str, n: int) -> str:
-    return f"regexp_matches({shape(x)}, '{'V+C+' * (n - 1)}VC')" if n > 1 else f"regexp_matches({shape(x)}, 'VC')"
+    return f"regexp_matches({shape(x)}, '{'V+C+' * (n - 1)}V+C')"
 
 
 def short_tail(x: str) -> str:
