@@ -72,9 +72,10 @@ def casefold(text: Column) -> Column:
     """Full Unicode case folding on top of `lower`. The rare foldings run only where one occurs."""
     single_from, single_to, expand = _fold_tables()
     low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    rare = F.translate(low, single_from, single_to)
-    for ch, folded in expand:
-        rare = F.replace(rare, F.lit(ch), F.lit(folded))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in expand])
+    rare = F.aggregate(
+        pairs, F.translate(low, single_from, single_to), lambda t, p: F.replace(t, p["a"], p["b"])
+    )
     return F.when(low.rlike(f"[{_rough_ranges()}]"), rare).otherwise(low)
 
 

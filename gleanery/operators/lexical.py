@@ -121,22 +121,28 @@ def bm25(
     keys: Sequence[str],
     params: RankParams = DEFAULT_RANK,
     regroup: bool = False,
+    chosen: DataFrame | None = None,
 ) -> DataFrame:
     """(qid, keys, score) for every bag sharing a term with a question.
 
     With `regroup` the matching postings are placed by bag first, so that scoring and the local
-    top-k need no further shuffle and only the survivors travel.
+    top-k need no further shuffle and only the survivors travel. `chosen` (qid, path) leaves out
+    every other pair before anything is summed.
     """
     weights = small_side(weights)
+    if chosen is not None:
+        chosen = small_side(chosen)
+        bags = bags.join(chosen.select("path").distinct(), "path", "left_semi")
     if regroup:
         asked = bags.join(weights.select("term").distinct(), "term", "left_semi")
         bags = asked.repartition(*[F.col(k) for k in keys])
     norm = params.k1 * (1 - params.b + params.b * F.col("dl") / avgdl)
     part = F.col("idf") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + F.col("_norm"))
+    matched = bags.withColumn("_norm", norm).join(weights, "term")
+    if chosen is not None:
+        matched = matched.join(chosen, ["qid", "path"], "left_semi")
     return (
-        bags.withColumn("_norm", norm)
-        .join(weights, "term")
-        .withColumn("_part", part)
+        matched.withColumn("_part", part)
         .groupBy("qid", *keys)
         .agg(F.round(F.sum("_part"), SCORE_DIGITS).alias("score"))
         .filter(F.col("score") > 0)

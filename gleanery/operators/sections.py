@@ -41,8 +41,7 @@ def headings(text: Column) -> Column:
     lines = F.split(text, "\n")
     marked = F.filter(
         F.transform(lines, lambda line, i: F.struct((i + 1).alias("n"), line.alias("line"))),
-        lambda x: (x["n"] >= _first_body_line(lines))
-        & (x["line"].rlike(FENCE) | x["line"].rlike(HEADING)),
+        lambda x: x["line"].rlike(FENCE) | x["line"].rlike(HEADING),
     )
     candidates = F.transform(
         marked,
@@ -54,16 +53,17 @@ def headings(text: Column) -> Column:
         ),
     )
     start = F.struct(
+        _first_body_line(lines).cast("int").alias("first"),  # here it is computed once per file
         F.lit("").alias("open"),
         F.array().cast(_TRAIL).alias("trail"),
         F.array().cast(_FOUND).alias("found"),
     )
 
     def step(acc: Column, x: Column) -> Column:
-        inside = acc["open"] != ""
+        body, inside = x["n"] >= acc["first"], acc["open"] != ""
         closes = inside & x["fence"].startswith(acc["open"])
-        opens = ~inside & (x["fence"] != "")
-        heads = ~inside & (x["fence"] == "")
+        opens = body & ~inside & (x["fence"] != "")
+        heads = body & ~inside & (x["fence"] == "")
         trail = F.concat(
             F.filter(acc["trail"], lambda t: t["level"] < x["level"]),
             F.array(F.struct(x["level"].alias("level"), x["heading"].alias("heading"))),
@@ -74,6 +74,7 @@ def headings(text: Column) -> Column:
             F.transform(trail, lambda t: t["heading"]).alias("trail"),
         )
         return F.struct(
+            acc["first"].alias("first"),
             F.when(closes, "").when(opens, x["fence"]).otherwise(acc["open"]).alias("open"),
             F.when(heads, trail).otherwise(acc["trail"]).alias("trail"),
             F.when(heads, F.concat(acc["found"], F.array(found))).otherwise(acc["found"])

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.operators.limits import micros
-from gleanery.plans.index import Index, build_index
+from gleanery.plans.index import Index, build_index, spread
 from gleanery.session import attach
 
 MINUTE = 60_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    df = attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, "doc_id") if name == "documents" else df
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:

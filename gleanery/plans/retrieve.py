@@ -39,18 +39,16 @@ def file_scores(index: Index, questions: DataFrame) -> DataFrame:
 
 
 def passage_scores(
-    index: Index, questions: DataFrame, only: DataFrame | None = None
+    index: Index, questions: DataFrame, chosen: DataFrame | None = None
 ) -> DataFrame:
-    """Passage BM25; `only` (path) restricts the passages scored, not the corpus statistics."""
+    """Passage BM25; `chosen` (qid, path) restricts the pairs scored, not the corpus statistics."""
     weights = lexical.weigh(
         lexical.query_terms(questions), index.table("passage_vocabulary"),
         F.lit(index.meta.passages),
     )
-    bags = index.table("passage_terms")
-    if only is not None:
-        bags = bags.join(small_side(only.select("path").distinct()), "path", "left_semi")
     return lexical.bm25(
-        bags, weights, F.lit(index.meta.passage_avgdl), lexical.PASSAGE, index.params, regroup=True
+        index.table("passage_terms"), weights, F.lit(index.meta.passage_avgdl), lexical.PASSAGE,
+        index.params, regroup=True, chosen=chosen,
     )
 
 
@@ -76,9 +74,7 @@ def shown_passages(
     """(qid, path, line_start, within, passage_rank): the passages shown of each ranked file."""
     emb = index.params.embedding
     chosen = files.select("qid", "path")
-    lex = passage_scores(index, questions, only=files).join(
-        small_side(chosen), ["qid", "path"], "left_semi"
-    )
+    lex = passage_scores(index, questions, chosen)
     lex = top_k(lex, ["qid", "path"], [F.desc("score"), F.asc("line_start")], emb.fusion_depth)
     near = dense.within_files(index.table("vectors"), queries, chosen, emb.fusion_depth)
     fused = rrf([lex, near], ["qid", "path", "line_start"], emb.rrf_k, emb.fusion_depth)
