@@ -136,7 +136,7 @@ def _replay_hot(
         admitted = first.select("key", "us", "event_id", "old", *flags).groupBy("key").applyInPandas(
             settle, out_schema
         )
-        admitted.withColumn("block", F.lit(block)).write.mode("append").partitionBy("block").parquet(won)
+        admitted.write.parquet(f"{won}/block={block}")  # also when nothing is admitted
         held = (
             spark.read.schema(out_schema).parquet(f"{won}/block={block}")
             .groupBy("key").agg(F.collect_list(F.struct("us", "stamps")).alias("old"))
