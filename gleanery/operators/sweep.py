@@ -82,7 +82,7 @@ def set_counts(
     """(set, t, m, four counts): bar 1 and bar 2 of every cell for every set."""
     ts, ms = _family(family)
     no = F.col("label") == "unanswerable"
-    hit = F.col("in_top5") == 1
+    hit = ~no & (F.col("in_top5") == 1)
     passed_t = F.lit(1) if ts == [None] else _steps(F.col(tkey), ts)
     passed_m = F.lit(1) if ms == [None] else _steps(F.col(mkey), ms)
     buckets = rows.filter(no | hit).groupBy(

@@ -650,7 +650,7 @@ oracle("transcript_lines", """SELECT agent, 'agent ' || agent || ': type judge;
     || '; base line ' || base_len || ' (layout ' || CASE WHEN layout_ok THEN 'ok' ELSE 'BAD' END || '); payload sha16 ' || coalesce(left(payload_sha, 16), 'none')
     || '; reply ' || CASE WHEN reply IS NULL THEN 'absent' ELSE 'present, ' || length(reply) || ' chars' END
     || '; parse ' || CASE WHEN reply IS NULL THEN 'no reply' WHEN category IS NULL THEN 'parses' ELSE 'does not parse (' || category || ')' END
-    || '; requests ' || requests || '; peak ' || peak || '; in-equivalent ' || format('{:,}', round(in_equiv, 0)::BIGINT) AS line FROM spawn""")
+    || '; requests ' || requests || '; peak ' || peak || '; in-equivalent ' || format('{:,}', round_even(in_equiv, 0)::BIGINT) AS line FROM spawn""")
 oracle("transcript_void", """SELECT agent::VARCHAR AS subject, tool_uses || ' tool_use block(s)' AS reason FROM matched WHERE tool_uses > 0
     UNION ALL SELECT agent::VARCHAR, 'model ' || coalesce(models, 'none') FROM matched WHERE models IS DISTINCT FROM 'model-0'
     UNION ALL SELECT agent::VARCHAR, offered || ' offered tools' FROM matched WHERE offered <> 2
