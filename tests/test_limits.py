@@ -95,7 +95,7 @@ def replay(rows, cap):
 def test_spend_log_equals_plain_replay(spark):
     rng = random.Random(3)
     rows, seq = [], 0
-    for rid in range(600):
+    for rid in range(1500):
         day = f"2024-01-{1 + rid % 5:02d}"
         at, ask = rng.randrange(10_000), rng.randrange(50, 150)
         late = rng.random() < 0.1
