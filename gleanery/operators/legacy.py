@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.operators.lexical import idf
 from gleanery.operators.topk import top_k
 from gleanery.params import DEFAULT_RANK, RankParams
+from gleanery.session import small_side
 
 
 def capped(scores: DataFrame, params: RankParams = DEFAULT_RANK, score: str = "score") -> DataFrame:
@@ -29,7 +30,7 @@ def coverage(
     )
     mass = asked.groupBy("qid").agg(F.sum("idf").alias("asked"))
     held = (
-        bags.join(F.broadcast(best.select("qid", "path", "line_start")), ["path", "line_start"])
+        bags.join(small_side(best.select("qid", "path", "line_start")), ["path", "line_start"])
         .select("qid", "term").join(asked, ["qid", "term"])
         .groupBy("qid").agg(F.sum("idf").alias("held"), F.max("idf").alias("most"))
     )

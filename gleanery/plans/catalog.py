@@ -35,12 +35,11 @@ from gleanery.params import DEFAULT_LIMITS, DEFAULT_RANK, DEFAULT_RERANK
 from gleanery.plans import fixtures as fx
 from gleanery.plans import retrieve as rt
 from gleanery.plans.index import fingerprint
-from gleanery.session import materialise
+from gleanery.session import materialise, small_side
 from gleanery.sources import corpus, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ALLOW_ALL = limits.Allowance
 
 
 def query(fn: Query) -> Query:
@@ -470,7 +469,7 @@ def _file_sims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
 def _shown_sims(spark: SparkSession, d: str) -> DataFrame:
     index, q = fx.index_of(spark, d), fx.questions(spark, d)
     shown = fx.results_of(spark, d).select("qid", "path", "line_start")
-    joined = index.table("vectors").join(F.broadcast(shown), ["path", "line_start"]).join(
+    joined = index.table("vectors").join(small_side(shown), ["path", "line_start"]).join(
         rt.embedded(index, q).withColumnRenamed("embedding", "query"), "qid"
     )
     return joined.select("qid", vec.similarity(vec.dot(F.col("embedding"), F.col("query"))).alias("sim"))

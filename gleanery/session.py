@@ -29,7 +29,8 @@ def local_session(app: str = "gleanery", cores: str | int = "*", shuffle: int =
 
 
 def attach(spark: SparkSession) -> SparkSession:
-    """Make this package importable in the session's Python workers; once per application."""
+    """Pin UTC and make this package importable in the Python workers, once per application."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     sc = spark.sparkContext
     if getattr(sc, "_gleanery_attached", False):
         return spark
