@@ -20,6 +20,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm import jaccardjoin
+
+    return jaccardjoin.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm import bpe
 
@@ -33,6 +39,13 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("places", "expressions")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm import winnow
+
+    found = winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("items")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm import piececount
 
@@ -41,9 +54,43 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard": op2_jaccard,
     "op4_bpe": op4_bpe,
     "op6_licences": op6_licences,
+    "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_decontaminate": r"""
+WITH folded AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM folded),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+dn AS (
+  SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS l
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d)),
+bn AS (
+  SELECT item_id, n, list(word) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS l
+  FROM (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM b)),
+bw AS (
+  SELECT DISTINCT item_id, least(13, n) AS t, array_to_string(l, ' ') AS win FROM bn WHERE len(l) = least(13, n)),
+dw AS (
+  SELECT doc_id, i, t, array_to_string(l[1:t], ' ') AS win
+  FROM dn, (SELECT DISTINCT t FROM bw) WHERE len(l) >= t),
+hit AS (SELECT doc_id, i, t, item_id FROM dw JOIN bw USING (win, t)),
+cover AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + t)) AS p FROM hit) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(cover.n_hit, 0) AS n_hit,
+  coalesce(named.n_items, 0) AS n_items, sha256(coalesce(named.ids, '')) AS items_sha256,
+  coalesce(cover.n_hit, 0) > 0 AND 20 * coalesce(cover.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+}
