@@ -41,7 +41,11 @@ def window_hashes(array: str, t: int) -> Column:
 
 
 def kept(df: DataFrame, array: str, t: int, out: str) -> DataFrame:
-    """Adds the distinct winnowed values of windows of t words."""
+    """Adds the distinct winnowed values of windows of t words.
+
+    Whoever explodes them takes explode_outer: explode() has a filter on the array's size pushed below
+    the projections, where it would compute the inner arrays again for every element.
+    """
     k = min(GRAM, t)
     w = t - k + 1
     df = df.withColumn("_grams", window_hashes(array, k))
@@ -116,7 +120,7 @@ def _hits(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
     """(doc_id, text_key, n_hit, items) of texts with windows of items."""
     wins = _all([
         items.filter(F.col("t") == t).select(
-            "item_id", F.lit(t).alias("t"), F.explode(F.array_distinct(window_hashes("words", t))).alias("h")
+            "item_id", F.lit(t).alias("t"), F.explode_outer(F.array_distinct(window_hashes("words", t))).alias("h")
         )
         for t in lengths
     ])
@@ -126,14 +130,14 @@ def _hits(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
     # lower() also changes letters outside ASCII: it finds all that A-Z alone would, and sometimes more
     low = items.select("item_id", "t", F.transform("words", F.lower).alias("words"))
     low_prints = _all([
-        kept(low.filter(F.col("t") == t), "words", t, "p").select(F.explode("p").alias("p")) for t in lengths
+        kept(low.filter(F.col("t") == t), "words", t, "p").select(F.explode_outer("p").alias("p")) for t in lengths
     ]).distinct()
     names = []
     for t in lengths:
         found = kept(found, "words", t, f"p{t}")
         names.append(f"p{t}")
     values = F.concat(*names) if len(names) > 1 else F.col(names[0])
-    found = found.select("doc_id", "text_key", F.explode(values).alias("p"))
+    found = found.select("doc_id", "text_key", F.explode_outer(values).alias("p"))
     low_prints = materialise(low_prints, "prints")
     met = found.join(small_side(low_prints), "p", "left_semi").select("doc_id", "text_key").distinct()
     met = materialise(met, "met").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
@@ -142,7 +146,7 @@ def _hits(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
     )
     texts = texts.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", words(folded(F.col("text"))).alias("words"))
     places = _all([
-        texts.select("doc_id", "text_key", F.posexplode(window_hashes("words", t)).alias("at", "h")) for t in lengths
+        texts.select("doc_id", "text_key", F.posexplode_outer(window_hashes("words", t)).alias("at", "h")) for t in lengths
     ])
     places = places.join(small_side(materialise(wins, "windows")), "h")
     before = Window.partitionBy("doc_id", "text_key").orderBy("at", "t").rowsBetween(Window.unboundedPreceding, -1)
