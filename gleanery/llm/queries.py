@@ -26,6 +26,12 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccardjoin.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm import neighbours
+
+    return neighbours.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm import bpe
 
@@ -55,6 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard": op2_jaccard,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op6_licences": op6_licences,
     "op9_decontaminate": op9_decontaminate,
