@@ -45,6 +45,13 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("places", "expressions")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm import linechunks
+
+    found = linechunks.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm import winnow
 
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op6_licences": op6_licences,
+    "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
 }
