@@ -8,8 +8,10 @@ Bounds from the sizes keep the product small and exact. A pair links only if its
 ceil(t (m + n) / (1 + t)), so the sizes differ by at most the factor t, and the pair shares an entry
 among the first n - ceil(t n) + 1 columns of each row under any common order of columns: only those
 entries are multiplied. The order puts frequent shingles (counted over all documents) last. A pair whose
-count cannot reach its bound even if everything not counted agreed is discarded; the others are compared
-shingle by shingle.
+count cannot reach its bound even if everything not counted agreed is discarded. So is a pair whose parity
+sketches (a bit for each hash range, flipped by each entry) differ in more bits than the sizes allow entries
+to differ: each differing bit needs an entry that only one row has. What is left is compared shingle by
+shingle.
 
 Frequent columns that still lead a row (texts that consist of frequent shingles: large groups of near
 copies) are never multiplied out. Each such row is compared with a pivot of its column; rows that come
@@ -100,24 +102,58 @@ def _sets(batches, size: int):
             yield row, found, key
 
 
+def _sketch(found: np.ndarray) -> bytes:
+    """Parity of the entries in each hash range; twice as many ranges as entries, a power of two, 64 at least."""
+    ranges = max(64, 1 << (2 * len(found) - 1).bit_length())
+    return np.packbits(np.bincount(found & U(ranges - 1), minlength=ranges) & 1 == 1).tobytes()
+
+
+def _differing(one: bytes, two: bytes) -> int:
+    """Entries that at least differ between two sets. Halves of a longer sketch are folded onto each other."""
+    a, b = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, ...) whose sketches do not rule a link out."""
+    for x in ("a", "b"):
+        own = classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        pairs = pairs.join(own, x)
+    names = [c for c in pairs.columns if c not in ("n_a", "n_b", "sketch_a", "sketch_b")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b")]
+            keep = [_differing(x, y) <= m + n - 2 * least_overlap(m, n, num, den) for m, n, x, y in zip(*sides)]
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
 def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, s1, s2): size and signature of each row's shingle set; both 0 for no words."""
+    """(doc_id, n, s1, s2, sketch): size, signature and sketch of each row's shingle set; 0 for no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.zeros(len(batch), np.int64)
             keys = np.zeros((2, len(batch)), U)
+            sketches = [b""] * len(batch)
             for row, found in word_sets(batch.column("text"), size):
                 if len(found):
                     n[row] = len(found)
                     keys[:, row] = _signature(found)
+                    sketches[row] = _sketch(found)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), *(pa.array(signed(k)) for k in keys)],
-                names=["doc_id", "n", "s1", "s2"],
+                [batch.column("doc_id"), pa.array(n), *(pa.array(signed(k)) for k in keys), pa.array(sketches, pa.binary())],
+                names=["doc_id", "n", "s1", "s2", "sketch"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, sketch binary")
 
 
 def frequent(docs: DataFrame, size: int, entries: int) -> np.ndarray:
@@ -351,7 +387,8 @@ def jaccard_components(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = materialise(profiles(docs, size), "profiles")
     classes = known.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    classes = materialise(classes, "classes")
+    sketches = known.select(F.col("doc_id").alias("rep"), "s1", "s2", "sketch").dropDuplicates(["rep", "s1", "s2"])
+    classes = materialise(classes.join(sketches, ["rep", "s1", "s2"], "left"), "classes")
     entries = classes.agg(F.sum("n")).first()[0] or 0
     listed = spark.sparkContext.broadcast(frequent(docs, size, entries))
     found = materialise(overlaps(docs, size, num, den, entries, listed), "overlaps")
@@ -371,24 +408,26 @@ def jaccard_components(
         )
     )
     side = lambda x: classes.select(F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.col("rep").alias(x))
-    pairs = materialise(pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).select("a", "b", "c"), "pairs")
+    pairs = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).select("a", "b", "c")
+    pairs = materialise(plausible(pairs, classes, num, den), "pairs")
     often = found.filter("kind = 1").select(
         "h", F.col("an").alias("n"), F.floor(F.log(F.col("an").cast("double")) / math.log(den / num)).alias("band"),
         "a1", "a2",
     ).join(side("a"), ["a1", "a2"]).select("h", "n", "band", F.col("a").alias("id")).filter("id is not null")
     often = materialise(often, "often")
-    first = _best(pairs).union(_with_pivots(often))
+    first = _best(pairs).union(plausible(_with_pivots(often).distinct(), classes, num, den))
     first = materialise(first.distinct(), "first")
     links = materialise(verified(first, docs, size, num, den), "links")
     label = components(links)
-    rest = _apart(pairs, label).union(_apart_often(often, label, num, den)).distinct()
+    odd = _apart_often(often, label, num, den).distinct()
+    rest = _apart(pairs, label).union(plausible(odd, classes, num, den)).distinct()
     rest = materialise(rest.join(first, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = materialise(verified(rest, docs, size, num, den), "links")
         label = components(links.union(more))
     label = materialise(label, "labels").select(F.col("id").alias("rep"), "component")
     classes = classes.join(label, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = known.join(classes, ["s1", "s2"], "left").select(
+    out = known.drop("sketch").join(classes, ["s1", "s2"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
