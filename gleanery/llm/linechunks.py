@@ -147,7 +147,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     attach(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     base = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"),
+        F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in names if c != text_col)).alias("row"),
         F.col(id_col).alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
         F.xxhash64(F.col(text_col).cast("string")).alias("text_key"),
