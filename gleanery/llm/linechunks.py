@@ -111,7 +111,7 @@ def _lines(text: str) -> tuple[list[str], list[int]]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of first occurrences."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in batch.select(["text", "parts"]).to_pylist():
             lines, solid = _lines(row["text"])
             parts = row["parts"]
             yield pa.RecordBatch.from_pydict({
@@ -166,7 +166,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     firsts = repeated.groupBy(F.col("kept.doc_id").alias("_id"), F.col("kept.text_key").alias("_key")).agg(
         F.collect_list(F.struct("k1", "k2", F.col("kept.first").alias("first"), F.col("kept.end").alias("end"))).alias("parts")
     )
-    once = plain.join(firsts, same_row("doc_id", "_id") & (F.col("text_key") == F.col("_key"))).select("text", "parts")
+    # with the columns of the last join, so that Spark deals the texts out once for both
+    once = base.join(firsts, same_row("doc_id", "_id") & (F.col("text_key") == F.col("_key"))).select("row", "text", "parts")
     wording = once.mapInArrow(_cut, "k1 long, k2 long, wording string").groupBy("k1", "k2").agg(F.first("wording").alias("wording"))
     copies = (
         found.join(repeated, ["k1", "k2"])
