@@ -17,7 +17,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import regex
@@ -221,25 +221,32 @@ def _read(path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids: array of int, decoded: string) for each row of `docs`.
+def encode(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()
+) -> DataFrame:
+    """(id, n_tokens, ids: array of int, decoded: string, and the columns in `keep`) for each row of `docs`.
 
     One output row for each input row, repeated rows and null ids included; a null text is empty
     and has no tokens. Other columns are ignored. The tokenizer file is read on the driver (a
     published vocabulary of a few MB) and sent to the executors.
     """
-    return _applied(docs, tokenizer, id_col, text_col, digests=False)
+    return _applied(docs, tokenizer, id_col, text_col, False, keep)
 
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) for each row, as `encode` but without the lists."""
-    return _applied(docs, tokenizer, id_col, text_col, digests=True)
+    return _applied(docs, tokenizer, id_col, text_col, True)
 
 
-def _applied(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, digests: bool) -> DataFrame:
+def _applied(
+    docs: DataFrame, tokenizer: str, id_col: str, text_col: str, digests: bool, keep: Sequence[str] = ()
+) -> DataFrame:
     spark = attach(docs.sparkSession)
     raw = spark.sparkContext.broadcast(_read(tokenizer))
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(
+        F.struct(F.col(id_col).alias("doc_id"), *(F.struct(F.col(f"`{c}`").alias("x")).alias(f"k{i}") for i, c in enumerate(keep))).alias("row"),
+        F.col(text_col).cast("string").alias("text"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(raw.value)
@@ -257,15 +264,16 @@ def _applied(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, digest
                 else:
                     cols = [pa.array([[int(i) for i in x.split()] for x in ids], pa.list_(pa.int32())), texts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts, pa.int64()), *map(pa.array, cols)],
-                    names=["doc_id", "n_tokens", *names],
+                    [part.column("row"), pa.array(counts, pa.int64()), *map(pa.array, cols)],
+                    names=["row", "n_tokens", *names],
                 )
 
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     kinds = ("string", "string") if digests else ("array<int>", "string")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}"
-    return docs.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+    row = docs.schema["row"].dataType.simpleString()
+    out = docs.mapInArrow(run, f"row {row}, n_tokens long, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}")
+    kept = [F.col(f"row.k{i}.x").alias(c) for i, c in enumerate(keep)]
+    return out.select(F.col("row.doc_id").alias(id_col), *kept, "n_tokens", *names)
 
 
 def _sha(texts: list[str]) -> list[str]:
