@@ -20,6 +20,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm import discriminant
+
+    return discriminant.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm import jaccardjoin
 
@@ -67,6 +73,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_jaccard": op2_jaccard,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
