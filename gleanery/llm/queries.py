@@ -44,6 +44,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm import recurrent
+
+    return recurrent.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm import licences
 
@@ -51,6 +57,12 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("places", "expressions")
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm import forest
+
+    return forest.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm import linechunks
 
@@ -77,7 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard": op2_jaccard,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
+    "op5_language_model": op5_language_model,
     "op6_licences": op6_licences,
+    "op7_vectors": op7_vectors,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
