@@ -24,7 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.session import attach
+from gleanery.llm.session import attach
+
 
 #: Entries of each of the two tables of encoded chunks in one Python worker: when the newer one is
 #: full it becomes the older one, so that chunks in use stay.

@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.neighbours import held_out
+from gleanery.llm.session import attach
 from gleanery.llm.textnum import ALNUM, NOT_NEWLINE, PLACES, SOLID, mix, pieces
-from gleanery.session import attach, materialise
+from gleanery.session import materialise
 
 #: Share of the pooled covariance in each class's own, and of the mean variance on the diagonal.
 SHRINK, RIDGE = 0.15, 0.02

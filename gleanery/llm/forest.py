@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.components import components
-from gleanery.session import attach, materialise, small_side
+from gleanery.llm.session import attach
+from gleanery.session import materialise, small_side
 
 TREES = 5
 #: Vectors that the trees are fitted on, at most: those with the smallest hashes of their ids.

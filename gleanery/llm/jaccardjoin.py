@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.components import components
+from gleanery.llm.session import attach
 from gleanery.llm.textnum import U, mix, signed, word_sets
-from gleanery.session import attach, materialise, small_side
+from gleanery.session import materialise, small_side
 
 #: A column with more rows than this is frequent.
 FREQUENT = 64
@@ -39,13 +40,13 @@ FREQUENT = 64
 #: beyond it the threshold rises, and columns missing from it are found in their block.
 LISTED = 4_000_000
 #: Entries of the matrix in a block, about.
-BLOCK_ENTRIES = 1_500_000
+BLOCK_ENTRIES = 1_000_000
 #: Entries that a task holds before it sends them to their blocks.
-HELD = 1_500_000
+HELD = 1_000_000
 #: Different texts a task remembers, to send copies once; more only costs time.
 REMEMBERED = 500_000
 #: Pairs counted at once in a block.
-PAIRS_AT_ONCE = 4_000_000
+PAIRS_AT_ONCE = 1_000_000
 #: Frequent shingles are told apart by so many leading bits.
 SHORT = U(16)
 
@@ -224,10 +225,10 @@ def overlaps(docs: DataFrame, size: int, num: int, den: int, entries: int, liste
             if len(often):
                 at = np.minimum(np.searchsorted(often, found >> SHORT), len(often) - 1)
                 hot = often[at] == found >> SHORT
-                rare = found[~hot][:p]
-                more = found[hot][: p - len(rare)]
+                rare = found[~hot][:p].copy()  # not a view that keeps the whole set
+                more = found[hot][: p - len(rare)].copy()
             else:
-                rare, more = found[:p], found[:0]
+                rare, more = found[:p].copy(), found[:0]
             rows.append((s1, s2, len(found), p, len(more)))
             held.append((rare, more))
             n += p

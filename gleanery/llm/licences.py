@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.session import attach
 from gleanery.llm.textnum import ALNUM, LOWER
-from gleanery.session import attach
 
 # Phrases that must be found, and their labels.
 BASE_PHRASES = {

@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.session import attach
 from gleanery.llm.textnum import NOT_NEWLINE, SOLID, U, mix, pieces, signed
-from gleanery.session import attach, materialise
+from gleanery.session import materialise
 
 #: Words of a line that is a chunk of its own.
 LONG_LINE = 25

@@ -21,8 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.session import attach
 from gleanery.llm.textnum import ALNUM, U, mix, pieces, signed
-from gleanery.session import attach, materialise, small_side
+from gleanery.session import materialise, small_side
 
 #: Labelled examples learned from, at most; those with the smallest hashes of their ids are taken.
 MAX_TOXIC, MAX_CLEAN = 8_000, 16_000

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.session import attach
+from gleanery.llm.session import attach
+
 
 #: The mark that the vocabulary puts before the first letter of a word.
 WORD_START = "▁"

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.session import attach
+from gleanery.llm.session import attach
+
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
