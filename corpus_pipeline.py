@@ -13,8 +13,9 @@ from gleanery.llm.bpe import encode
 from gleanery.llm.jaccardjoin import jaccard_components
 from gleanery.llm.linechunks import dedup_lines
 from gleanery.llm.neighbours import toxicity
+from gleanery.llm.session import attach
 from gleanery.llm.winnow import contamination
-from gleanery.session import attach, scratch_path, small_side
+from gleanery.session import scratch_path, small_side
 
 TOKENIZER = "word_bpe_49k.json"
 
