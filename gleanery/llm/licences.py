@@ -170,7 +170,7 @@ def scan(text: str) -> dict:
             seen, at = 0, 0
         seen += flat.count(" ", at, start)
         at = start
-        found.append((seen - 1, label, is_base))
+        found.append((seen, label, is_base))
         (base if is_base else more).add(label)
         doubt *= 1 - (BASE_WEIGHT if is_base else MORE_WEIGHT)
     expressions = []
