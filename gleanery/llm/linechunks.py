@@ -4,8 +4,8 @@ A rolling hash over the hashes of two neighbouring lines decides where a chunk e
 move with the text and a passage that is inserted elsewhere is cut in the same places. A long line is a
 chunk of its own. Chunks of several lines, or of one long line, that occur more than once are removed
 everywhere but at their first occurrence (by id, then text, then place), after comparison with its bytes.
-A repeated chunk is also tried together with the lines before and after it, up to the next chunk, so that
-the ends of a repeated passage, which fall into chunks shared with their surroundings, go with it.
+A repeated chunk is also tried together with the lines before and after it, through the next such chunk,
+so that the ends of a repeated passage, which fall into chunks shared with their surroundings, go with it.
 """
 
 from __future__ import annotations
@@ -49,8 +49,7 @@ def _keys(piece) -> dict[str, np.ndarray]:
     head = np.flatnonzero(opens)
     size = np.diff([*head, n])
     chunk = np.cumsum(opens) - 1
-    ahead = (np.arange(n) - head[chunk]).astype(U)
-    behind = size[chunk].astype(U) - U(1) - ahead
+    number = np.arange(n)
     fit = (long[head] | (size > 1)) & (np.add.reduceat(words, head) >= LEAST_WORDS)
     out = {"k1": [], "k2": [], "owner": [], "first": [], "end": []}
 
@@ -61,27 +60,34 @@ def _keys(piece) -> dict[str, np.ndarray]:
         out["first"].append(first)
         out["end"].append(end)
 
-    forward = [mix(h ^ mix(ahead + s)) for s in (STEP, OTHER)]
-    total = [np.add.reduceat(x, head) for x in forward]
+    def placed(place):
+        return [mix(h ^ mix(place.astype(U) + s)) for s in (STEP, OTHER)]
+
+    total = [np.add.reduceat(x, head) for x in placed(number - head[chunk])]
     add([x[fit] for x in total], head[fit], line[head[fit]], line[head[fit]] + size[fit], 1)
-    # a chunk and the lines behind it: each line of the next chunk ends one
-    before = chunk - 1
-    held = (before >= 0) & ~((ahead + U(1) == size[chunk].astype(U)) & fit[chunk])
-    held[held] &= fit[before[held]] & (owner[head[before[held]]] == owner[held.nonzero()[0]])
-    running = [np.cumsum(x, dtype=U) for x in forward]
-    upto = [r - (r[head] - f[head])[chunk] for r, f in zip(running, forward)]
+    # a chunk and the lines behind it, up to the end of the next such chunk: each of them ends one
+    which = np.arange(len(head))
+    before = np.concatenate([[-1], np.maximum.accumulate(np.where(fit, which, -1))[:-1]])[chunk]
+    held = (before >= 0) & ~(fit[chunk] & (number == (head + size - 1)[chunk]))
+    held &= owner[head[before]] == owner
+    open_at = np.where(before >= 0, (head + size)[before], number)
+    x = placed(number - open_at)
+    running = [np.cumsum(v, dtype=U) for v in x]
+    upto = [r - (r[open_at] - v[open_at]) for r, v in zip(running, x)]
     i = np.flatnonzero(held)
-    add([mix(t[before[i]]) + u[i] for t, u in zip(total, upto)], i, line[head[chunk[i]]], line[i] + 1, 2)
-    # and the lines before it: each line of the chunk before begins one
-    backward = [mix(h ^ mix(behind + s)) for s in (STEP, OTHER)]
-    running = [np.cumsum(x, dtype=U) for x in backward]
-    last = head + size - 1
-    rest = [r[last][chunk] - r + b for r, b in zip(running, backward)]
-    after = chunk + 1
-    held = (after < len(head)) & ~((ahead == 0) & fit[chunk])
-    held[held] &= fit[after[held]] & (owner[head[after[held]]] == owner[held.nonzero()[0]])
+    add([mix(t[before[i]]) + u[i] for t, u in zip(total, upto)], i, line[open_at[i]], line[i] + 1, 2)
+    # and the lines before it, from the start of the one before: each of them begins one
+    far = len(head)
+    after = np.append(np.minimum.accumulate(np.where(fit, which, far)[::-1])[::-1][1:], far)[chunk]
+    held = (after < far) & ~(fit[chunk] & (number == head[chunk]))
+    after = np.minimum(after, far - 1)
+    held &= owner[head[after]] == owner
+    close_at = np.where(held, head[after] - 1, number)
+    x = placed(close_at - number)
+    running = [np.cumsum(v, dtype=U) for v in x]
+    rest = [r[close_at] - r + v for r, v in zip(running, x)]
     i = np.flatnonzero(held)
-    add([mix(t[after[i]]) + u[i] for t, u in zip(total, rest)], i, line[i], line[head[chunk[i]]] + size[chunk[i]], 3)
+    add([mix(t[after[i]]) + u[i] for t, u in zip(total, rest)], i, line[i], line[close_at[i]] + 1, 3)
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
