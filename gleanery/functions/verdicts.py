@@ -25,6 +25,7 @@ MALFORMED = "malformed verdict line"
 WRONG_ID = "wrong block id"
 MULTI_TOKEN = "more than one verdict token"
 DIFFERENT_INPUT = "verdict is for a different input"
+FORGED_MARKER = "passage line starts like a payload marker"
 VERDICT_LINE = (
     rf"(?s)^([^ ]+) (ANSWERABLE|NOT_ANSWERABLE):?(?: [^{SPACE_CLASS}].*)?\z"
 )

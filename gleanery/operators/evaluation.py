@@ -182,8 +182,9 @@ def derive_sample(ranked: DataFrame) -> DataFrame:
     sample = numbered(chosen, order, "turn").select(
         F.format_string("r%03d", "turn").alias("run_id"), *order, "qid", F.lit("sample").alias("role")
     )
-    smoke = hits.filter(F.col("turn") == 2).select(
-        F.lit("r049").alias("run_id"), *order, "qid", F.lit("smoke").alias("role")
+    size = sample.agg((F.count(F.lit(1)) + 1).alias("turn"))  # the smoke row is numbered after the sample
+    smoke = hits.filter(F.col("turn") == 2).drop("turn").join(F.broadcast(size)).select(
+        F.format_string("r%03d", "turn").alias("run_id"), *order, "qid", F.lit("smoke").alias("role")
     )
     return sample.unionByName(smoke)
 

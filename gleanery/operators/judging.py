@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.formats import excerpt, fixed
 from gleanery.functions.verdicts import (
     DIFFERENT_INPUT,
+    FORGED_MARKER,
     UNREADABLE,
     forges_boundary,
     verdict_category,
@@ -57,10 +58,14 @@ def payloads(questions: DataFrame, shown: DataFrame) -> DataFrame:
 
 
 def apply_replies(prepared: DataFrame, replies: DataFrame) -> DataFrame:
-    """(qid, token, category): a reply counts only if it was given for this very payload."""
-    joined = prepared.select("qid", F.col("input_sha256").alias("_want")).join(replies, "qid", "left")
+    """(qid, token, category): a reply counts only if it was given for this very payload.
+
+    A payload with a passage line that looks like one of its own markers is never judged.
+    """
+    joined = prepared.select("qid", F.col("input_sha256").alias("_want"), "forged").join(replies, "qid", "left")
     category = (
-        F.when(F.col("input_sha256").isNotNull() & (F.col("input_sha256") != F.col("_want")),
+        F.when(F.coalesce("forged", F.lit(False)), FORGED_MARKER)
+        .when(F.col("input_sha256").isNotNull() & (F.col("input_sha256") != F.col("_want")),
                DIFFERENT_INPUT)
         .when(F.col("reply").isNull(), UNREADABLE)
         .otherwise(verdict_category(F.col("reply")))

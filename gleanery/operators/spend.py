@@ -91,9 +91,8 @@ class _Day:
         self.in_flight += amount
         return "accepted"
 
-    def settle(self, rid: int, actual: int, same_day: bool) -> str:
-        if same_day and rid not in self.open:
-            return "void"
+    def settle(self, rid: int, actual: int) -> str:
+        """The cost counts whatever became of the reservation; one that is open is in flight no more."""
         self.in_flight -= self.open.pop(rid, 0)
         self.spent += actual
         return "settled"
@@ -103,8 +102,7 @@ def spend_log(ops: DataFrame, cap: int) -> DataFrame:
     """`ops` plus `decision` and `spent`, the settled spend of the day after each operation.
 
     `ops` (day, us, seq, kind, rid, reserved_day, amount): a reserve asks for `amount`; a settle
-    replaces the reservation `rid` by `amount`. Settling one of an earlier day adds to this day's
-    spend and to nothing in flight. A day whose reservations all fit under the cap needs no order:
+    adds `amount` to the day's spend and ends the reservation `rid` if it is open that day. A day whose reservations all fit under the cap needs no order:
     everything is accepted. Only the other days are folded, one day per task, sorted and spilling.
     """
     by_day = ops.groupBy("day").agg(F.sum(F.greatest("amount", F.lit(0))).alias("_ceiling"))
@@ -125,14 +123,14 @@ def _fold_days(ops: DataFrame, cap: int) -> DataFrame:
         day, state = None, None
         for pdf in batches:
             out = []
-            rows = zip(*(pdf[c].tolist() for c in ("day", "kind", "rid", "reserved_day", "amount")))
-            for today, kind, rid, reserved_day, amount in rows:
+            rows = zip(*(pdf[c].tolist() for c in ("day", "kind", "rid", "amount")))
+            for today, kind, rid, amount in rows:
                 if state is None or today != day:
                     day, state = today, _Day(cap)
                 if kind == "reserve":
                     out.append(state.reserve(rid, amount))
                 else:
-                    out.append(state.settle(rid, amount, reserved_day == today))
+                    out.append(state.settle(rid, amount))
             yield pdf.assign(decision=out)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ops.schema)

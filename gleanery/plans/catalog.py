@@ -408,7 +408,8 @@ def judge_payloads(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def judge_apply(spark: SparkSession, d: str) -> DataFrame:
-    prepared = judge_payloads(spark, d)
+    forged = F.col("forged") | (F.col("qid") % 13 == 6)
+    prepared = judge_payloads(spark, d).withColumn("forged", forged)
     mixed = F.when(F.col("qid") % 5 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("input_sha256"))
     given = fx.replies(spark, d).join(prepared, "qid").select("qid", "reply", mixed.alias("input_sha256"))
     return judging.apply_replies(prepared, given.filter(F.col("qid") % 11 != 4))
@@ -780,6 +781,16 @@ def src_decode(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def retrieve_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of which some lost every letter and digit: those cannot be searched."""
+    from gleanery.plans.retrieve import unsearchable
+
+    bare = F.regexp_replace("question", r"[\p{L}\p{N}]", "-")
+    asked = fx.questions(spark, d).withColumn("question", F.when(F.col("qid") % 7 == 3, bare).otherwise(F.col("question")))
+    return unsearchable(asked)
+
+
 @query
 def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
     """The whole ingest of the Markdown files: split, index, calibrate, count."""
@@ -803,7 +814,7 @@ def wordpiece_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document under a vocabulary of the characters that occur."""
     docs = fx.table(spark, d, "documents")
     chars = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("c")).distinct()
-    found = sorted(r.c for r in chars.limit(100_000).collect() if r.c.strip())  # bounded by Unicode
+    found = sorted(r.c for r in chars.collect() if r.c.strip())  # bounded by Unicode
     ids = token_ids([*SPECIALS, *found, *[f"##{c}" for c in found]])
     cut = docs.select("doc_id", ids("text").alias("ids"), ids(F.substring_index("text", ".", 1)).alias("q"))
     pair = pair_input(F.col("q"), F.col("ids"), 0, 1)
@@ -920,32 +931,6 @@ def service_gates(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.coalesce(service.request_refusal(), F.lit("ok")).alias("refusal"))
 
 
-@query
-def service_replay(spark: SparkSession, d: str) -> DataFrame:
-    """The log through all gates: allowances per visitor, daily spend, verdict; outcomes counted."""
-    log = fx.events(spark, d)
-    admitted = limits.rolling_admission(log.select("key", "us", "event_id"), [limits.Allowance(3)], DAY_US)
-    opened = fx.spend_ops(spark, d).filter(F.col("kind") == "reserve").select("rid")
-    decided = spend.spend_log(fx.spend_ops(spark, d), fx.SPEND_CAP).filter(F.col("kind") == "reserve")
-    joined = (
-        log.join(admitted.select("event_id", F.col("admitted").alias("allowed")), "event_id")
-        .join(opened.withColumnRenamed("rid", "event_id").withColumn("asks", F.lit(True)), "event_id", "left")
-        .join(decided.select(F.col("rid").alias("event_id"), "decision"), "event_id", "left")
-    )
-    verdict = F.when(F.col("k") % 3 == 0, "ANSWERABLE").when(F.col("k") % 3 == 1, "NOT_ANSWERABLE")
-    outcomes = joined.select(
-        "event_id", fmt.utc_day(F.col("ts")).alias("day"),
-        F.when(F.col("event_type") == "error", "empty_question").alias("refusal"), "allowed",
-        F.coalesce(F.col("decision") != "paused", F.lit(True)).alias("open"),
-        (F.col("k") % 50 != 0).alias("found"),
-        F.coalesce(F.col("decision") == "accepted", F.lit(True)).alias("reserved"), verdict.alias("token"),
-    ).select("day", service.final_outcome().alias("outcome"))
-    return outcomes.groupBy("day", "outcome").agg(F.count(F.lit(1)).alias("n")).select(
-        "day", "outcome", "n", service.status_of(F.col("outcome")).cast("bigint").alias("status"),
-        F.col("outcome").isin(*service.ADMITTED).alias("is_admitted"),
-    )
-
-
 @query
 def usage_counts(spark: SparkSession, d: str) -> DataFrame:
     log = fx.events(spark, d)

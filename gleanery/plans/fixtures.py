@@ -56,7 +56,7 @@ def reply_of(number: Column, text: Column) -> Column:
         .when(kind == 4, "  Q1 ANSWERABLE with a reason  ").when(kind == 5, "Q1  ANSWERABLE")
         .when(kind == 6, "Q1 NOT_ANSWERABLE\r\n\r\n").when(kind == 7, "Q1 ANSWERABLE​")
     )
-    return F.when(kind == 8, "").otherwise(F.concat(F.substring(text, 1, 3000), F.lit("\n"), line))
+    return F.when(kind == 8, "").otherwise(F.concat(text, F.lit("\n"), line))
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,12 +71,12 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind = F.pmod(n, F.lit(11))
         level = F.repeat(F.lit("#"), (F.pmod(n, F.lit(6)) + 1).cast("int"))
         return (
-            F.when(kind == 0, F.concat(level, F.lit(" "), F.substring(line, 1, 30), F.lit(" ##")))
+            F.when(kind == 0, F.concat(level, F.lit(" "), line, F.lit(" ##")))
             .when(kind == 2, F.concat(F.lit("```\n# "), line, F.lit("\n````")))
-            .when(kind == 3, F.concat(F.lit("  "), level, F.lit("\t"), F.substring(line, 1, 12)))
+            .when(kind == 3, F.concat(F.lit("  "), level, F.lit("\t"), line))
             .when(kind == 5, F.concat(F.lit("~~~~\n"), line, F.lit("\n~~~\n# in\n~~~~ end")))
             .when(kind == 7, F.concat(F.lit("#"), line, F.lit("\n    # code\n####### x")))
-            .when(kind == 8, F.lit("# #\n\n"))
+            .when(kind == 8, F.concat(line, F.lit("\n# #\n\n")))
             .when((kind == 9) & (n % 5 == 0), F.concat(F.lit("```` open\n"), line))
             .otherwise(line)
         )
@@ -112,22 +112,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spend_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reserve per purchase or signup and, up to half an hour later on the same day, its settle."""
-    day_us = 1440 * MINUTE
-    calls = events(spark, sf_dir).filter(F.col("event_type").isin("purchase", "signup")).select(
-        F.col("event_id").alias("rid"), "us", (F.floor(F.col("us") / day_us) * day_us).alias("midnight"),
-        F.date_format("ts", "yyyy-MM-dd").alias("day"),
+    """A reserve per event and, up to half an hour later and so at times on the next day, its settle."""
+    calls = events(spark, sf_dir).select(
+        F.col("event_id").alias("rid"), "us", F.date_format("ts", "yyyy-MM-dd").alias("reserved_day"),
         F.floor(F.col("value") * 100).cast("bigint").alias("size"), "k",
     )
-    late = F.least(F.col("us") + (F.col("k") % 31) * MINUTE, F.col("midnight") + day_us - 1)
+    late = F.col("us") + (F.col("k") % 31) * MINUTE
     both = F.array(
         F.struct(F.col("us").alias("us"), (F.col("rid") * 2).alias("seq"), F.lit("reserve").alias("kind"),
                  (F.col("size") * 2000 + 10_240_000).alias("amount")),
         F.struct(late.alias("us"), (F.col("rid") * 2 + 1).alias("seq"), F.lit("settle").alias("kind"),
                  (F.col("size") * 1000 + 730_000).alias("amount")),
     )
-    return calls.select("day", "rid", F.col("day").alias("reserved_day"), F.explode(both).alias("o")).select(
-        "day", "o.us", "o.seq", "o.kind", "rid", "reserved_day", "o.amount"
+    day = F.date_format(F.timestamp_micros("o.us"), "yyyy-MM-dd").alias("day")
+    return calls.select("rid", "reserved_day", F.explode(both).alias("o")).select(
+        day, "o.us", "o.seq", "o.kind", "rid", "reserved_day", "o.amount"
     )
 
 

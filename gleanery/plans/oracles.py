@@ -212,7 +212,7 @@ cte("ranked", "SELECT l.*, h.rank, h.hit_path, g.got, g.piped, g.top_path FROM l
 
 
 def reply(number: str, text: str) -> str:
-    return f"""CASE WHEN ({number}) % 9 = 8 THEN '' ELSE left({text}, 3000) || chr(10) || CASE ({number}) % 9
+    return f"""CASE WHEN ({number}) % 9 = 8 THEN '' ELSE {text} || chr(10) || CASE ({number}) % 9
         WHEN 0 THEN 'Q1 ANSWERABLE' WHEN 1 THEN 'Q1 NOT_ANSWERABLE: not covered' WHEN 2 THEN 'Q1 ANSWERABLE: NOT_ANSWERABLE'
         WHEN 3 THEN 'Q2 ANSWERABLE' WHEN 4 THEN '  Q1 ANSWERABLE with a reason  ' WHEN 5 THEN 'Q1  ANSWERABLE'
         WHEN 6 THEN 'Q1 NOT_ANSWERABLE' || chr(13) || chr(10) || chr(13) || chr(10) WHEN 7 THEN 'Q1 ANSWERABLE' || chr(8203) END END"""
@@ -304,7 +304,7 @@ cte("loso", """SELECT f.held AS held_out, f.t, f.m, f.b1_num AS train_b1_num, f.
 cte("sampled_hits", "SELECT *, row_number() OVER (ORDER BY set_index, position) AS turn FROM ranked WHERE answerable AND rank IS NOT NULL")
 cte("sample", """SELECT printf('r%03d', row_number() OVER (ORDER BY set_index, position)) AS run_id, set_index, position, qid, 'sample' AS role
     FROM (SELECT set_index, position, qid FROM ranked WHERE NOT answerable UNION ALL SELECT set_index, position, qid FROM sampled_hits WHERE turn % 2 = 1)
-    UNION ALL SELECT 'r049', set_index, position, qid, 'smoke' FROM sampled_hits WHERE turn = 2""")
+    UNION ALL SELECT printf('r%03d', 1 + (SELECT count(*) FILTER (NOT answerable) FROM ranked) + (SELECT count(*) FILTER (turn % 2 = 1) FROM sampled_hits)), set_index, position, qid, 'smoke' FROM sampled_hits WHERE turn = 2""")
 cte("responses", """SELECT v.qid, CASE token WHEN 'ANSWERABLE' THEN 'answer' WHEN 'NOT_ANSWERABLE' THEN 'no_confident_match' ELSE 'judge_error' END AS outcome,
     token = 'ANSWERABLE' AS has_files, (v.qid * 37 % 101) / 10.0::DOUBLE AS seconds FROM verdicts v WHERE qid % 10 <> 9""")
 cte("gate", """SELECT r.qid, CASE WHEN answerable THEN 'answerable' WHEN hard_negative THEN 'hostile' ELSE 'unanswerable' END AS kind, seconds,
@@ -316,12 +316,12 @@ cte("gate", """SELECT r.qid, CASE WHEN answerable THEN 'answerable' WHEN hard_ne
 N = "(doc_id + i - 1)"
 LEVEL = f"repeat('#', ({N} % 6 + 1)::INT)"
 NL = "chr(10)"
-TURN = f"""CASE WHEN {N} % 11 = 0 THEN {LEVEL} || ' ' || left(x, 30) || ' ##'
+TURN = f"""CASE WHEN {N} % 11 = 0 THEN {LEVEL} || ' ' || x || ' ##'
     WHEN {N} % 11 = 2 THEN '```' || {NL} || '# ' || x || {NL} || '````'
-    WHEN {N} % 11 = 3 THEN '  ' || {LEVEL} || chr(9) || left(x, 12)
+    WHEN {N} % 11 = 3 THEN '  ' || {LEVEL} || chr(9) || x
     WHEN {N} % 11 = 5 THEN '~~~~' || {NL} || x || {NL} || '~~~' || {NL} || '# in' || {NL} || '~~~~ end'
     WHEN {N} % 11 = 7 THEN '#' || x || {NL} || '    # code' || {NL} || '####### x'
-    WHEN {N} % 11 = 8 THEN '# #' || {NL} || {NL}
+    WHEN {N} % 11 = 8 THEN x || {NL} || '# #' || {NL} || {NL}
     WHEN {N} % 11 = 9 AND {N} % 5 = 0 THEN '```` open' || {NL} || x ELSE x END"""
 cte("md", f"""SELECT source || '/' || doc_id || '.md' AS path,
     CASE doc_id % 4 WHEN 0 THEN '---' || {NL} || '# meta' || {NL} || '---' || {NL} WHEN 1 THEN '---' || {NL} || 'no end' || {NL} ELSE '' END
@@ -365,21 +365,20 @@ cte("md_terms", f"SELECT path, line_start, {S_STEM} AS term, sum(weight)::BIGINT
 
 cte("log", """SELECT user_id::VARCHAR AS key, epoch_us(ts) AS us, event_id, event_type, value, ts,
     json_extract_string(props, '$.k')::BIGINT AS k FROM events""")
-cte("ops_in", f"""SELECT event_id AS rid, us, us // {DAY_US} * {DAY_US} AS midnight, strftime(ts, '%Y-%m-%d') AS day,
-    floor(value * 100)::BIGINT AS size, k FROM log WHERE event_type IN ('purchase', 'signup')""")
-cte("ops", f"""SELECT day, us, rid * 2 AS seq, 'reserve' AS kind, rid, size * 2000 + 10240000 AS amount FROM ops_in
-    UNION ALL SELECT day, least(us + (k % 31) * 60000000, midnight + {DAY_US} - 1), rid * 2 + 1, 'settle', rid, size * 1000 + 730000 FROM ops_in""")
+cte("ops_in", """SELECT event_id AS rid, us, strftime(ts, '%Y-%m-%d') AS day, floor(value * 100)::BIGINT AS size, k FROM log""")
+cte("ops", """SELECT day, us, rid * 2 AS seq, 'reserve' AS kind, rid, size * 2000 + 10240000 AS amount FROM ops_in
+    UNION ALL SELECT strftime(make_timestamp(us + (k % 31) * 60000000), '%Y-%m-%d'), us + (k % 31) * 60000000, rid * 2 + 1, 'settle', rid, size * 1000 + 730000 FROM ops_in""")
 cte("ops_n", "SELECT *, row_number() OVER (PARTITION BY day ORDER BY us, seq) AS n FROM ops")
 CTES["spend_walk"] = f"""spend_walk AS (SELECT day, 0::BIGINT AS n, 0::BIGINT AS spent, 0::BIGINT AS flight, false AS closed, []::BIGINT[] AS open, ''::VARCHAR AS decision
         FROM (SELECT DISTINCT day FROM ops)
     UNION ALL SELECT o.day, o.n,
-        CASE WHEN o.kind = 'settle' AND list_contains(w.open, o.rid) THEN w.spent + o.amount ELSE w.spent END,
+        CASE WHEN o.kind = 'settle' THEN w.spent + o.amount ELSE w.spent END,
         CASE WHEN o.kind = 'settle' AND list_contains(w.open, o.rid) THEN w.flight - r.amount
             WHEN o.kind = 'reserve' AND NOT w.closed AND w.spent + w.flight + o.amount <= {SPEND_CAP} THEN w.flight + o.amount ELSE w.flight END,
         w.closed OR (o.kind = 'reserve' AND w.spent + o.amount > {SPEND_CAP}),
         CASE WHEN o.kind = 'settle' THEN list_filter(w.open, lambda x: x <> o.rid)
             WHEN NOT w.closed AND w.spent + w.flight + o.amount <= {SPEND_CAP} THEN list_append(w.open, o.rid) ELSE w.open END,
-        CASE WHEN o.kind = 'settle' THEN CASE WHEN list_contains(w.open, o.rid) THEN 'settled' ELSE 'void' END
+        CASE WHEN o.kind = 'settle' THEN 'settled'
             WHEN w.closed THEN 'paused' WHEN w.spent + o.amount > {SPEND_CAP} THEN 'closes'
             WHEN w.spent + w.flight + o.amount > {SPEND_CAP} THEN 'busy' ELSE 'accepted' END
         FROM spend_walk w JOIN ops_n o ON o.day = w.day AND o.n = w.n + 1 JOIN ops r ON r.rid = o.rid AND r.kind = 'reserve')"""
@@ -534,7 +533,7 @@ oracle("eval_lines", """SELECT qid, qid || '  ' || rpad(CASE WHEN NOT answerable
 oracle("eval_score", f"""SELECT *, {pct('hits', 'answerable_total')} AS hit_rate, answerable_total > 0 AND hits * 5 >= answerable_total * 4 AS passed FROM (
     SELECT count(*) FILTER (answerable AND rank IS NOT NULL) AS hits, count(*) FILTER (answerable) AS answerable_total, count(*) FILTER (NOT answerable) AS unanswerable_total FROM ranked)""")
 oracle("judge_payloads", "SELECT qid, input_sha256, forged FROM payloads")
-cte("applied", """SELECT p.qid, CASE WHEN p.qid % 11 = 4 THEN 'verdict file unreadable' WHEN p.qid % 5 = 0 THEN 'verdict is for a different input' ELSE v.category END AS category, v.token
+cte("applied", """SELECT p.qid, CASE WHEN p.qid % 13 = 6 THEN 'passage line starts like a payload marker' WHEN p.qid % 11 = 4 THEN 'verdict file unreadable' WHEN p.qid % 5 = 0 THEN 'verdict is for a different input' ELSE v.category END AS category, v.token
     FROM payloads p JOIN verdicts v USING (qid)""")
 oracle("judge_apply", "SELECT qid, CASE WHEN category IS NULL THEN token ELSE 'JUDGE_ERROR' END AS token, category FROM applied")
 oracle("verdict_faults", """SELECT qid + 1000000 AS qid, 'not a question in the eval set' AS fault FROM qs WHERE qid % 6 = 1
@@ -555,6 +554,7 @@ cte("best_rule", """SELECT "set", count(*) FILTER (label = 'unanswerable' AND to
     count(*) FILTER (in_top5 = 1 AND top1 >= 0.67::DOUBLE) AS shown, count(*) FILTER (in_top5 = 1) AS hits FROM sig GROUP BY ALL""")
 oracle("best_score_rule", "SELECT * FROM best_rule")
 oracle("best_score_check", "SELECT *, abstained = 13 AND unanswerable = 20 AND shown = 37 AND hits = 56 AS reproduced FROM (SELECT sum(abstained)::BIGINT AS abstained, sum(unanswerable)::BIGINT AS unanswerable, sum(shown)::BIGINT AS shown, sum(hits)::BIGINT AS hits FROM best_rule)")
+oracle("retrieve_errors", "SELECT item_id AS qid, 'nothing to search for' AS error FROM benchmark WHERE item_id % 7 = 3")
 oracle("sample_rows", "SELECT run_id, set_index, position, qid, role FROM sample")
 oracle("sample_counts", "SELECT set_index, role, count(*) AS rows, set_index % 2 <> 0 AS wrong FROM sample GROUP BY ALL")
 oracle("gate_rows", "SELECT qid, kind, verdict FROM gate")
@@ -635,12 +635,6 @@ oracle("service_gates", f"""SELECT conv_id, turn, CASE WHEN {_M} % 17 = 3 THEN '
     WHEN {_M} % 5 = 2 AND {_M} % 10 = 7 THEN 'bad_request' WHEN {_M} % 5 = 4 THEN 'bad_request'
     WHEN {_M} % 11 NOT IN (0, 1, 2) AND strlen(to_json({{'question': text}})::VARCHAR) > {DEFAULT_LIMITS.max_body_bytes} THEN 'body_too_large'
     WHEN {_M} % 7 = 6 OR {_M} % 11 IN (0, 1, 2) THEN 'bad_request' ELSE 'ok' END AS refusal FROM conversations""")
-_STATUS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in sv.STATUS.items())
-cte("replayed", """SELECT strftime(l.ts, '%Y-%m-%d') AS day, CASE WHEN event_type = 'error' THEN 'empty_question' WHEN NOT a.admitted THEN 'rate_limited'
-    WHEN s.decision = 'paused' THEN 'paused' WHEN l.k % 50 = 0 THEN 'unusable_question' WHEN s.decision IS NOT NULL AND s.decision <> 'accepted' THEN 'paused'
-    WHEN l.k % 3 = 0 THEN 'answer' WHEN l.k % 3 = 1 THEN 'no_confident_match' ELSE 'judge_error' END AS outcome
-    FROM log l JOIN adm_w a ON a.event_id = l.event_id LEFT JOIN spent s ON s.rid = l.event_id AND s.kind = 'reserve'""")
-oracle("service_replay", f"SELECT day, outcome, count(*) AS n, (CASE outcome {_STATUS} END)::BIGINT AS status, outcome IN ('answer', 'no_confident_match', 'judge_error') AS is_admitted FROM replayed GROUP BY ALL")
 oracle("usage_counts", """SELECT count(*) FILTER (event_type = 'view') AS visits, count(*) FILTER (event_type = 'purchase') AS answered, count(*) FILTER (event_type = 'signup') AS refused,
     count(*) FILTER (event_type IN ('purchase', 'signup')) AS asked, (SELECT count(*) FROM clk_w WHERE admitted) AS docs_clicks FROM log""")
 oracle("result_store", "SELECT event_id AS token, us, least(us + 21600000000, lead(us, 50) OVER (ORDER BY us, event_id)) AS gone_us FROM log")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.formats import file_link, passage_link
@@ -15,11 +15,20 @@ from gleanery.plans.index import Index, embed_text
 from gleanery.session import materialise, small_side
 
 
+def _has_words() -> Column:
+    """At least one model token; false for a null question."""
+    text = F.coalesce(F.col("question"), F.lit(""))
+    return (squeeze_space(text) != "") & (F.size(model_words(text)) > 0)
+
+
 def searchable(questions: DataFrame) -> DataFrame:
-    """Questions with at least one model token; the others are an error of the caller."""
-    return questions.filter(
-        (squeeze_space(F.col("question")) != "") & (F.size(model_words(F.col("question"))) > 0)
-    )
+    """Questions with at least one model token; `unsearchable` has the others."""
+    return questions.filter(_has_words())
+
+
+def unsearchable(questions: DataFrame) -> DataFrame:
+    """(qid, error) of the questions that `searchable` leaves out, so that none is lost unseen."""
+    return questions.filter(~_has_words()).select("qid", F.lit("nothing to search for").alias("error"))
 
 
 def embedded(index: Index, questions: DataFrame) -> DataFrame:
