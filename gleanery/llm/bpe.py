@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.session import attach
+from gleanery.llm.session import attach, tidy
 
 
 #: Entries of each of the two tables of encoded chunks in one Python worker: when the newer one is
@@ -272,7 +272,7 @@ def _applied(
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     kinds = ("string", "string") if digests else ("array<int>", "string")
     row = docs.schema["row"].dataType.simpleString()
-    out = docs.mapInArrow(run, f"row {row}, n_tokens long, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}")
+    out = docs.mapInArrow(tidy(run), f"row {row}, n_tokens long, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}")
     kept = [F.col(f"row.k{i}.x").alias(c) for i, c in enumerate(keep)]
     return out.select(F.col("row.doc_id").alias(id_col), *kept, "n_tokens", *names)
 
@@ -299,4 +299,4 @@ def decode(tokens: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: s
             )
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.mapInArrow(run, f"doc_id {kind}, decoded string").withColumnRenamed("doc_id", id_col)
+    return tokens.mapInArrow(tidy(run), f"doc_id {kind}, decoded string").withColumnRenamed("doc_id", id_col)

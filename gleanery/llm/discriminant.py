@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.neighbours import held_out
-from gleanery.llm.session import attach
+from gleanery.llm.session import attach, tidy
 from gleanery.llm.textnum import ALNUM, NOT_NEWLINE, PLACES, SOLID, mix, pieces
 from gleanery.session import materialise
 
@@ -212,7 +212,7 @@ def quality(
                 [batch.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"]
             )
 
-    measured = materialise(docs.mapInArrow(measure, f"doc_id {kind}, x array<double>"), "statistics")
+    measured = materialise(docs.mapInArrow(tidy(measure), f"doc_id {kind}, x array<double>"), "statistics")
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
@@ -237,7 +237,7 @@ def quality(
         )
 
     sums = np.zeros((2, 1 + width + width * width))
-    rows = learned.mapInArrow(add, "y long, place long, value double").groupBy("y", "place").agg(F.sum("value").alias("v"))
+    rows = learned.mapInArrow(tidy(add), "y long, place long, value double").groupBy("y", "place").agg(F.sum("value").alias("v"))
     for r in rows.collect():
         sums[r["y"], r["place"]] = r["v"]
     n = sums[:, 0]
@@ -254,7 +254,7 @@ def quality(
             got = np.full(len(batch), rate) if sent.value is None else sent.value.rate(_matrix(batch.column("x")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got)], names=["doc_id", "score"])
 
-    out = measured.mapInArrow(score, f"doc_id {kind}, score double")
+    out = measured.mapInArrow(tidy(score), f"doc_id {kind}, score double")
     return out.select(
         F.col("doc_id").alias(id_col),
         held_out(F.col("doc_id"), modulus, remainder).alias("held_out"),
@@ -277,7 +277,7 @@ def _curve(learned: DataFrame, sent) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("y")], names=["cell", "y"])
 
     ones, total = np.zeros(CELLS), np.zeros(CELLS)
-    rows = learned.mapInArrow(cell, "cell long, y int").groupBy("cell").agg(F.sum("y").alias("k"), F.count("y").alias("n"))
+    rows = learned.mapInArrow(tidy(cell), "cell long, y int").groupBy("cell").agg(F.sum("y").alias("k"), F.count("y").alias("n"))
     for r in rows.collect():
         ones[r["cell"]], total[r["cell"]] = r["k"], r["n"]
     middle = np.sinh(((np.arange(CELLS) + 0.5) / CELLS * 2 - 1) * np.arcsinh(WIDEST))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.components import components
-from gleanery.llm.session import attach
+from gleanery.llm.session import attach, tidy
 from gleanery.session import materialise, small_side
 
 TREES = 5
@@ -184,7 +184,7 @@ def near_vectors(
             )
 
     led = materialise(
-        named.select("id", "weight", "vector").mapInArrow(lead, "id long, weight long, vector array<double>, leaves array<int>"),
+        named.select("id", "weight", "vector").mapInArrow(tidy(lead), "id long, weight long, vector array<double>, leaves array<int>"),
         "led",
     )
     placed = led.withColumn("leaf", F.explode("leaves"))

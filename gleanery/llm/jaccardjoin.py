@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.components import components
-from gleanery.llm.session import attach
+from gleanery.llm.session import attach, give_back, tidy
 from gleanery.llm.textnum import U, mix, signed, word_sets
 from gleanery.session import materialise, small_side
 
@@ -40,13 +40,15 @@ FREQUENT = 64
 #: beyond it the threshold rises, and columns missing from it are found in their block.
 LISTED = 4_000_000
 #: Entries of the matrix in a block, about.
-BLOCK_ENTRIES = 1_000_000
+BLOCK_ENTRIES = 500_000
 #: Entries that a task holds before it sends them to their blocks.
-HELD = 1_000_000
+HELD = 600_000
 #: Different texts a task remembers, to send copies once; more only costs time.
 REMEMBERED = 500_000
 #: Pairs counted at once in a block.
-PAIRS_AT_ONCE = 1_000_000
+PAIRS_AT_ONCE = 250_000
+#: What goes with the entries of a text: its signature, its entries, and how many leading ones no block has.
+ABOUT = np.dtype([("s1", "<u8"), ("s2", "<u8"), ("n", "<u4"), ("k", "<u4")])
 #: Frequent shingles are told apart by so many leading bits.
 SHORT = U(16)
 
@@ -132,7 +134,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
             keep = [_differing(x, y) <= m + n - 2 * least_overlap(m, n, num, den) for m, n, x, y in zip(*sides)]
             yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return pairs.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names))
 
 
 def profiles(docs: DataFrame, size: int) -> DataFrame:
@@ -154,7 +156,7 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, sketch binary")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, n long, s1 long, s2 long, sketch binary")
 
 
 def frequent(docs: DataFrame, size: int, entries: int) -> np.ndarray:
@@ -175,6 +177,8 @@ def frequent(docs: DataFrame, size: int, entries: int) -> np.ndarray:
                 held, n = [], 0
         if held:
             yield packed(held)
+        held.clear()
+        give_back()
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
         value, times = np.unique(np.concatenate(held), return_counts=True)
@@ -200,9 +204,10 @@ def frequent(docs: DataFrame, size: int, entries: int) -> np.ndarray:
         value, times = value[order], times[order]
         cuts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
         total = np.add.reduceat(times, cuts)
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(signed(value[cuts][total > threshold]))], names=["value"])
 
-    packs = docs.mapInArrow(count, "block long, value binary, times binary")
+    packs = docs.mapInArrow(tidy(count), "block long, value binary, times binary")
     found = packs.groupBy("block").applyInArrow(added, "value long").toPandas()["value"].to_numpy()
     return np.sort(found.astype(U))
 
@@ -229,7 +234,7 @@ def overlaps(docs: DataFrame, size: int, num: int, den: int, entries: int, liste
                 more = found[hot][: p - len(rare)].copy()
             else:
                 rare, more = found[:p].copy(), found[:0]
-            rows.append((s1, s2, len(found), p, len(more)))
+            rows.append((s1, s2, len(found), len(more)))
             held.append((rare, more))
             n += p
             if n >= HELD:
@@ -237,9 +242,11 @@ def overlaps(docs: DataFrame, size: int, num: int, den: int, entries: int, liste
                 held, rows, n = [], [], 0
         if held:
             yield dealt(rows, held)
+        held.clear()
+        give_back()
 
     def dealt(rows, held) -> pa.RecordBatch:
-        about = np.array(rows, U)
+        about = np.array(rows, ABOUT)
         out: dict[str, list] = {"block": [], "about": [], "value": [], "row": []}
 
         def add(block: int, value: np.ndarray, row: np.ndarray) -> None:
@@ -266,9 +273,9 @@ def overlaps(docs: DataFrame, size: int, num: int, den: int, entries: int, liste
         cols = [pa.array(out["block"], pa.int64()), *(pa.array(out[k], pa.binary()) for k in ("about", "value", "row"))]
         return pa.RecordBatch.from_arrays(cols, names=list(out))
 
-    packs = materialise(docs.mapInArrow(leading, "block long, about binary, value binary, row binary"), "entries")
+    packs = materialise(docs.mapInArrow(tidy(leading), "block long, about binary, value binary, row binary"), "entries")
     blocks = packs.filter("block >= 0").groupBy("block").applyInArrow(_multiply(num, den), PAIR)
-    often = packs.filter("block < 0").mapInArrow(_frequent_rows, PAIR)
+    often = packs.filter("block < 0").mapInArrow(tidy(_frequent_rows(num, den)), PAIR)
     return blocks.union(often)
 
 
@@ -277,39 +284,46 @@ def _unpack(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     abouts, values, rows, base = [], [], [], 0
     for batch in batches:
         for about, value, row in zip(batch.column("about"), batch.column("value"), batch.column("row")):
-            about = np.frombuffer(about.as_py(), U).reshape(-1, 5)
-            abouts.append(about)
+            abouts.append(np.frombuffer(about.as_py(), ABOUT))
             values.append(_from_planes(value.as_py()))
-            rows.append(_small(row.as_py()).astype(np.int64) + base)
-            base += len(about)
-    about, value, row = np.concatenate(abouts), np.concatenate(values), np.concatenate(rows)
-    order = np.lexsort((about[:, 1], about[:, 0]))
+            rows.append(_small(row.as_py()) + np.uint32(base))
+            base += len(abouts[-1])
+    about = np.concatenate(abouts)
+    order = np.lexsort((about["s2"], about["s1"]))
+    one, two = about["s1"][order], about["s2"][order]
     fresh = np.ones(len(order), bool)
-    fresh[1:] = (about[order[1:], :2] != about[order[:-1], :2]).any(axis=1)
-    number = np.empty(len(order), np.int64)
+    fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    number = np.empty(len(order), np.uint32)
     number[order] = np.cumsum(fresh) - 1
-    about, row = about[order[fresh]], number[row]
+    about, row = about[order[fresh]], number[np.concatenate(rows)]
+    rows.clear()
+    value = np.concatenate(values)
+    values.clear()
     order = np.lexsort((row, value))
     value, row = value[order], row[order]
     keep = np.ones(len(value), bool)
     keep[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-    return about, value[keep], row[keep]
+    return about, value[keep], row[keep].astype(np.int64)
 
 
-def _rows(kind: int, h: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+def _rows(kind: int, h: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, share) -> pa.RecordBatch:
     cols = [pa.array(np.full(len(h), kind, np.int32)), pa.array(signed(h))]
     for side in (a, b):
-        cols += [pa.array(signed(side[:, 0])), pa.array(signed(side[:, 1]))]
-        cols += [pa.array(side[:, k].astype(np.int32)) for k in (2, 3, 4)]
+        n = side["n"].astype(np.int64)
+        cols += [pa.array(signed(side[k])) for k in ("s1", "s2")]
+        cols += [pa.array(x.astype(np.int32)) for x in (n, prefix_length(n, *share), side["k"])]
     names = [x.split(" ")[0] for x in PAIR.split(", ")]
     return pa.RecordBatch.from_arrays([*cols, pa.array(c.astype(np.int32))], names=names)
 
 
-def _frequent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(len(batch)):
-            about, value, row = _unpack([batch.slice(k, 1)])
-            yield _rows(1, value, about[row], about[row], np.ones(len(row)))
+def _frequent_rows(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                about, value, row = _unpack([batch.slice(k, 1)])
+                yield _rows(1, value, about[row], about[row], np.ones(len(row)), (num, den))
+
+    return run
 
 
 def _multiply(num: int, den: int):
@@ -317,12 +331,12 @@ def _multiply(num: int, den: int):
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         about, value, row = _unpack(batches)
-        sizes = about[:, 2].astype(np.int64)
+        sizes = about["n"].astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
         length = np.diff([*start, len(value)])
         for m in np.flatnonzero(np.bincount(length)[FREQUENT + 1 :]) + FREQUENT + 1:
             at = (start[length == m][:, None] + np.arange(m)).ravel()
-            yield _rows(1, value[at], about[row[at]], about[row[at]], np.ones(len(at)))
+            yield _rows(1, value[at], about[row[at]], about[row[at]], np.ones(len(at)), (num, den))
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held, n = [], 0
 
@@ -345,10 +359,12 @@ def _multiply(num: int, den: int):
                     keys, counts = merged()
                     held, n = [], 0
         keys, counts = merged()
-        for s in range(0, len(keys), 100_000):
-            part = keys[s : s + 100_000]
+        del value, row, held
+        give_back()
+        for s in range(0, len(keys), 20_000):
+            part = keys[s : s + 20_000]
             a, b = part // len(about), part % len(about)
-            yield _rows(0, np.zeros(len(part), U), about[a], about[b], counts[s : s + 100_000])
+            yield _rows(0, np.zeros(len(part), U), about[a], about[b], counts[s : s + 20_000], (num, den))
 
     return run
 
@@ -371,7 +387,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
                     keep.append(den * both >= num * (len(x) + len(y) - both) and both > 0)
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def jaccard_components(

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.session import attach
+from gleanery.llm.session import attach, tidy
 from gleanery.llm.textnum import ALNUM, LOWER
 
 # Phrases that must be found, and their labels.
@@ -234,4 +234,4 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}", *(f"{k} {v}" for k, v in FIELDS.items())])
-    return docs.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+    return docs.mapInArrow(tidy(run), schema).withColumnRenamed("doc_id", id_col)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.session import attach
+from gleanery.llm.session import attach, tidy
 from gleanery.llm.textnum import NOT_NEWLINE, SOLID, U, mix, pieces, signed
 from gleanery.session import materialise
 
@@ -162,7 +162,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     plain = base.select("doc_id", "text_key", "text")
     kind = plain.schema["doc_id"].dataType.simpleString()
     found = materialise(
-        plain.mapInArrow(_chunks, f"k1 long, k2 long, doc_id {kind}, text_key long, first int, end int"), "chunks"
+        plain.mapInArrow(tidy(_chunks), f"k1 long, k2 long, doc_id {kind}, text_key long, first int, end int"), "chunks"
     )
     place = F.struct("doc_id", "text_key", "first", "end")
     repeated = (
@@ -175,7 +175,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     # with the columns of the last join, so that Spark deals the texts out once for both
     once = base.join(firsts, same_row("doc_id", "_id") & (F.col("text_key") == F.col("_key"))).select("row", "text", "parts")
-    wording = once.mapInArrow(_cut, "k1 long, k2 long, wording string").groupBy("k1", "k2").agg(F.first("wording").alias("wording"))
+    wording = once.mapInArrow(tidy(_cut), "k1 long, k2 long, wording string").groupBy("k1", "k2").agg(F.first("wording").alias("wording"))
     copies = (
         found.join(repeated, ["k1", "k2"])
         .filter(~place.eqNullSafe(F.col("kept")))
@@ -202,6 +202,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 )
 
     row = base.schema["row"].dataType.simpleString()
-    out = joined.select("row", "text", "parts").mapInArrow(rebuild, f"row {row}, text string, n_lines long, n_removed long")
+    out = joined.select("row", "text", "parts").mapInArrow(tidy(rebuild), f"row {row}, text string, n_lines long, n_removed long")
     kept = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names]
     return out.select(*kept, "n_lines", "n_removed")

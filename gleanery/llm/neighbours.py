@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.session import attach
+from gleanery.llm.session import attach, tidy
 from gleanery.llm.textnum import ALNUM, U, mix, pieces, signed
 from gleanery.session import materialise, small_side
 
@@ -108,7 +108,7 @@ def _groups(texts: DataFrame, only=None) -> DataFrame:
                         names=["term", "copies", "y"],
                     )
 
-    rows = texts.mapInArrow(run, "term long, copies long, y int").distinct()
+    rows = texts.mapInArrow(tidy(run), "term long, copies long, y int").distinct()
     return rows.groupBy("term", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -167,7 +167,7 @@ def _vectors(docs: DataFrame, terms) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, at array<int>, tf array<int>")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, at array<int>, tf array<int>")
 
 
 @dataclass
@@ -296,14 +296,14 @@ def toxicity(
     own = materialise(
         spark.createDataFrame(filled[["doc_id", "at", "tf", "y"]], "doc_id long, at array<int>, tf array<int>, y int")
         .repartition(spark.sparkContext.defaultParallelism)
-        .mapInArrow(_voter(sent, rate, True), "doc_id long, y int, vote double"),
+        .mapInArrow(tidy(_voter(sent, rate, True)), "doc_id long, y int, vote double"),
         "votes",
     ).toPandas()
     x, y = monotone(own["vote"].to_numpy(), own["y"].to_numpy()) if len(own) else (np.array([0.0]), np.array([0.0]))
     curve = spark.sparkContext.broadcast((x, y))
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = vectors.mapInArrow(
-        _voter(sent, rate, False, curve), f"doc_id {kind}, score double, evidence array<struct<doc_id:long,cosine:double,label:int>>"
+        tidy(_voter(sent, rate, False, curve)), f"doc_id {kind}, score double, evidence array<struct<doc_id:long,cosine:double,label:int>>"
     )
     return out.select(
         F.col("doc_id").alias(id_col),

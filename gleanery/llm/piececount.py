@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.session import attach
+from gleanery.llm.session import attach, tidy
 
 
 #: The mark that the vocabulary puts before the first letter of a word.
@@ -153,5 +153,5 @@ def token_counts(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", tex
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_words long, n_unknown long")
+    out = docs.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, n_words long, n_unknown long")
     return out.withColumnRenamed("doc_id", id_col)
