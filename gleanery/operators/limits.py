@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from gleanery.operators.topk import numbered, top_k
 from gleanery.params import DEFAULT_LIMITS
-from gleanery.session import MAX_BROADCAST_ROWS, at_most, materialise, scratch_path
+from gleanery.session import MAX_BROADCAST_ROWS, at_most, materialise, scratch_path, small_side
 
 MICROS = 1_000_000
 HOT_ROWS = 5_000_000
+#: Before every row: the place at which an era is full from its start.
+NEVER = -(1 << 62)
 
 
 @dataclass(frozen=True)
@@ -50,11 +52,17 @@ class _Fold:
         self.limits, self.window = [a.limit for a in allowances], window
         self.queues: list[deque[int]] = [deque() for _ in allowances]
 
-    def admit(self, now: int, counted: tuple[bool, ...]) -> bool:
+    def expire(self, now: int) -> None:
         for queue in self.queues:
             while queue and queue[0] <= now - self.window:
                 queue.popleft()
-        if any(len(q) >= limit for q, limit in zip(self.queues, self.limits)):
+
+    def full(self) -> bool:
+        return any(len(q) >= limit for q, limit in zip(self.queues, self.limits))
+
+    def admit(self, now: int, counted: tuple[bool, ...]) -> bool:
+        self.expire(now)
+        if self.full():
             return False
         for queue, flag in zip(self.queues, counted):
             if flag:
@@ -88,61 +96,83 @@ def _replay_hot(
     """Hot keys window by window: `admitted` for every row, no key in one task.
 
     Inside a window-long block nothing admitted in the block expires, so between two expiries of
-    older stamps only the first few rows of a key can be admitted, as many as the allowance that
-    counts every row. Those are found by a distributed top-k and folded per key; the stamps go on to
-    the next block.
+    older stamps (an era) allowances only fill up. Of the rows that leave the same stamps only the
+    first few of an era can be admitted: a distributed top-k finds them, and they are folded per
+    key. A row that leaves no stamp is admitted if it comes before the row that fills an allowance.
+    The stamps go on to the next block.
     """
     spark = events.sparkSession
-    always = min(a.limit for a in allowances if a.counted is None)
+    most = max(a.limit for a in allowances)
     path, won = scratch_path(spark, "hot"), scratch_path(spark, "hot-admitted")
     blocked = events.withColumn("block", F.floor(F.col("us") / window))
     blocked.write.partitionBy("block").parquet(path)
     stored = spark.read.schema(blocked.schema).parquet(path)
     flags = [a.counted for a in allowances if a.counted]
-    out_schema = "key string, us bigint, event_id bigint, stamps array<boolean>"
+    stamps = F.array(*(F.lit(True) if a.counted is None else F.col(a.counted) for a in allowances))
+    stampless = len(flags) == len(allowances)  # rows without any stamp can occur
+    out_schema = "key string, us bigint, event_id bigint, stamps array<boolean>, era int"
+    none = F.array().cast("array<struct<us:bigint,stamps:array<boolean>>>")
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, old = pdf["key"].iloc[0], pdf["old"].iloc[0]
+        old = sorted(old if old is not None else [], key=lambda s: s["us"])
+        fold = _Fold(allowances, window)
+        for stamp in old:
+            for queue, flag in zip(fold.queues, stamp["stamps"]):
+                if flag:
+                    queue.append(stamp["us"])
+        pdf = pdf.assign(_flags=_steps(pdf, allowances)).sort_values(["us", "event_id"])
+        eras = dict(iter(pdf.groupby("_era")))
+        out = []
+        for era in range(len(old) + 1):
+            if era:
+                fold.expire(old[era - 1]["us"] + window)
+            if fold.full():
+                out.append((key, NEVER, NEVER, None, era))
+                continue
+            rows = eras.get(era)
+            for now, eid, flag in zip(*(rows[c] for c in ("us", "event_id", "_flags"))) if rows is not None else ():
+                if any(flag) and fold.admit(now, flag):
+                    out.append((key, now, eid, list(flag), era))
+                    if fold.full():
+                        out.append((key, now, eid, None, era))
+                        break
+        return pd.DataFrame(out, columns=["key", "us", "event_id", "stamps", "era"])
+
     held: DataFrame | None = None
     last = None
     for (block,) in stored.select("block").distinct().orderBy("block").toLocalIterator():
         rows = stored.filter(F.col("block") == block).drop("block")
         if held is None or last != block - 1:
-            near = rows.withColumn("old", F.array().cast("array<struct<us:bigint,stamps:array<boolean>>>"))
+            near = rows.withColumn("old", none)
         else:
-            near = rows.join(held, "key", "left")
-        ended = F.size(F.filter(
-            F.coalesce("old", F.array().cast("array<struct<us:bigint,stamps:array<boolean>>>")),
-            lambda s: s["us"] + window <= F.col("us"),
-        ))
-        first = top_k(
-            near.withColumn("_era", ended), ["key", "_era"], [F.asc("us"), F.asc("event_id")], always
-        )
-
-        def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-            fold = _Fold(allowances, window)
-            pdf = pdf.sort_values(["us", "event_id"])
-            old = pdf["old"].iloc[0]
-            for stamp in sorted(old if old is not None else [], key=lambda s: s["us"]):
-                for queue, flag in zip(fold.queues, stamp["stamps"]):
-                    if flag:
-                        queue.append(stamp["us"])
-            kept = [
-                (k, now, eid, list(flag))
-                for k, now, eid, flag in zip(
-                    pdf["key"], pdf["us"], pdf["event_id"], _steps(pdf, allowances))
-                if fold.admit(now, flag)
-            ]
-            return pd.DataFrame(kept, columns=["key", "us", "event_id", "stamps"])
-
-        # At most limit rows per era and key: the groups are small.
-        admitted = first.select("key", "us", "event_id", "old", *flags).groupBy("key").applyInPandas(
+            near = rows.join(small_side(held), "key", "left")
+        ended = F.size(F.filter(F.coalesce("old", none), lambda s: s["us"] + window <= F.col("us")))
+        near = near.withColumn("_era", ended).withColumn("_stamps", stamps)
+        first = top_k(near, ["key", "_era", "_stamps"], [F.asc("us"), F.asc("event_id")], most)
+        # A few rows of each era, key and set of stamps: the groups are small.
+        settled = first.select("key", "us", "event_id", "old", "_era", *dict.fromkeys(flags)).groupBy("key").applyInPandas(
             settle, out_schema
         )
-        admitted.write.parquet(f"{won}/block={block}")  # also when nothing is admitted
+        settled.write.parquet(f"{won}/block={block}")  # also when nothing is admitted
+        settled = spark.read.schema(out_schema).parquet(f"{won}/block={block}")
+        if stampless:
+            filled = settled.filter("stamps is null").select(
+                "key", F.col("era").alias("_era"), F.struct("us", "event_id").alias("_filled")
+            )
+            free = near.filter(~F.exists("_stamps", lambda x: x)).join(small_side(filled), ["key", "_era"], "left")
+            free = free.filter(F.col("_filled").isNull() | (F.struct("us", "event_id") < F.col("_filled")))
+            free.select("key", "us", "event_id", F.col("_stamps").alias("stamps"), F.col("_era").alias("era")).write.mode(
+                "append"
+            ).parquet(f"{won}-free/block={block}")
         held = (
-            spark.read.schema(out_schema).parquet(f"{won}/block={block}")
-            .groupBy("key").agg(F.collect_list(F.struct("us", "stamps")).alias("old"))
+            settled.filter("stamps is not null").groupBy("key")
+            .agg(F.collect_list(F.struct("us", "stamps")).alias("old"))
         )
         last = block
-    chosen = spark.read.schema(out_schema).parquet(won).select("key", "event_id")
+    chosen = spark.read.schema(out_schema).parquet(won).filter("stamps is not null").select("key", "event_id")
+    if stampless:
+        chosen = chosen.unionByName(spark.read.schema(out_schema).parquet(f"{won}-free").select("key", "event_id"))
     return stored.drop("block").join(
         chosen.withColumn("admitted", F.lit(True)), ["key", "event_id"], "left"
     ).withColumn("admitted", F.coalesce("admitted", F.lit(False)))
@@ -189,10 +219,10 @@ def result_store(
 def key_capacity(
     events: DataFrame, max_keys: int, window_us: int = DEFAULT_LIMITS.window_seconds * MICROS
 ) -> DataFrame:
-    """(event_id, active): how many other keys were seen in the window before each row's key joins.
+    """(slot, active_keys, within_bound): keys seen in each window-long slot or the one before.
 
-    A bound on keys holds whenever this never reaches `max_keys`. Counting is by time buckets, so
-    no task sees the whole log.
+    A bound on keys holds wherever this stays within `max_keys`. Counting is by time buckets, so no
+    task sees the whole log; new keys beyond the bound are not refused.
     """
     spans = events.groupBy("key", F.floor(F.col("us") / window_us).alias("slot")).agg(
         F.count(F.lit(1)).alias("rows")

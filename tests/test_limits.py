@@ -45,6 +45,8 @@ RULES = {
     "one": [limits.Allowance(3)],
     "two": [limits.Allowance(2, "flag"), limits.Allowance(5)],
     "single": [limits.Allowance(1)],
+    "flagged": [limits.Allowance(2, "flag")],
+    "flags only": [limits.Allowance(3, "flag"), limits.Allowance(2, "flag")],
 }
 
 
