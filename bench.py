@@ -18,7 +18,7 @@ from gleanery.session import local_session
 
 HEADLINES = (
     "bm25_files", "bm25_passages", "dense_top", "rrf_files", "dense_passages", "tok_words",
-    "md_sections", "limit_rolling", "spend_days", "sweep_combined", "transcript_usage",
+    "md_sections", "limit_rolling", "spend_days", "rerank_files", "sweep_combined", "transcript_usage",
 )
 
 
@@ -41,12 +41,13 @@ def main() -> int:
     times = {"ingest": timed(lambda: fx.index_of(spark, sf_dir))}
     index, questions = fx.index_of(spark, sf_dir), fx.questions(spark, sf_dir)
     times["retrieve"] = timed(lambda: consume(retrieve(index, questions)))
-    catalog.signals_of(spark, sf_dir)
+    times["signals"] = timed(lambda: consume(catalog.signals_of(spark, sf_dir)))
     for name in HEADLINES:
         times[name] = timed(lambda name=name: consume(catalog.QUERIES[name](spark, sf_dir)))
     print(json.dumps({
         "metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+        "cores": cores, "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
     }))
     return 0
 

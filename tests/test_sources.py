@@ -13,36 +13,6 @@ from gleanery.functions.wordpiece import basic_words, piece_ids
 from gleanery.sources import corpus, settings, tables
 
 COMMIT = "a" * 40
-SOURCE = f"""
-repo = "o/docs"
-commit = "{COMMIT}"
-include = ["README.md", "guide/"]
-[embedding]
-model = "o/m"
-revision = "{'b' * 40}"
-onnx_sha256 = "{'c' * 64}"
-vocab_sha256 = "{'d' * 64}"
-"""
-
-
-def test_source_config(tmp_path):
-    path = tmp_path / "s.toml"
-    path.write_text(SOURCE)
-    assert settings.read_source(path).include == ("README.md", "guide/")
-    for old, new in (('"guide/"', '"../x/"'), (COMMIT, "main"), ("[embedding]", "x = 1\n[embedding]"),
-                     ('"guide/"', '"guide"'), ('"guide/"', '"README.md"')):
-        path.write_text(SOURCE.replace(old, new))
-        with pytest.raises(settings.ConfigError):
-            settings.read_source(path)
-
-
-def test_service_settings_fail_closed():
-    assert settings.service_settings({"ASK_KILL_SWITCH": "off"}).kill_switch == "off"
-    for bad in ({"ASK_MONTHLY_CAP_USD": "x"}, {"ASK_MONTHLY_CAP_USD": "0"}, {"ASK_CLIENT_KEY": "y"},
-                {"ASK_PRICE_IN_NANO_PER_TOKEN": "-1"}):
-        assert settings.service_settings({"ASK_KILL_SWITCH": "off", **bad}).kill_switch == "on"
-
-
 def test_eval_questions(spark, tmp_path):
     path = tmp_path / "e.toml"
     path.write_text('pinned_commit = "x"\n[[question]]\nid = "a"\nquestion = "q"\nsources = ["f.md"]\n'
@@ -52,6 +22,29 @@ def test_eval_questions(spark, tmp_path):
         ("a", True, False), ("b", False, True)]
 
 
+def test_faults_of_a_question_set_are_all_named(spark, tmp_path):
+    path = tmp_path / "e.toml"
+    path.write_text('[[question]]\nid = "a"\nquestion = " "\n[[question]]\nid = 3\nquestion = "r"\nanswerable = "no"\n')
+    with pytest.raises(settings.ConfigError) as told:
+        settings.read_questions(spark, path, "dev")
+    for part in ("pinned_commit", "entry 1: question", "entry 2: id", "entry 2: answerable", "a is answerable"):
+        assert part in str(told.value)
+
+
+def test_verdicts_and_key(spark, tmp_path):
+    path = tmp_path / "v.toml"
+    path.write_text('format = "f1"\nprompt_sha256 = "p"\n[[verdict]]\nid = "a"\nverdict = "ANSWERABLE"\ninput_sha256 = "x"\n')
+    assert [tuple(r) for r in settings.read_verdicts(spark, path, "f1", "p").collect()] == [("a", "ANSWERABLE", "x")]
+    with pytest.raises(settings.ConfigError, match="prompt_sha256"):
+        settings.read_verdicts(spark, path, "f1", "q")
+    path.write_text('[r001]\nset = "dev"\nid = "a"\n[r002]\nset = "dev"\nid = "b"\n')
+    assert [tuple(r) for r in settings.read_key(spark, path).orderBy("run_id").collect()] == [
+        ("r001", "dev", "a"), ("r002", "dev", "b")]
+    path.write_text('[r001]\nset = "dev"\n')
+    with pytest.raises(settings.ConfigError, match="entry 1: id"):
+        settings.read_key(spark, path)
+
+
 def test_archive_and_tree(spark, tmp_path):
     files = {"README.md": b"\xef\xbb\xbf# A\r\nx", "guide/bad.md": b"\xff", "guide/a.md": b"t", "n.txt": b"no"}
     blob = tmp_path / "a.tar.gz"
