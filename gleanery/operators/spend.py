@@ -24,7 +24,7 @@ def daily_cap(monthly_usd: str) -> int:
 
 
 def reservation(system_bytes: Column, payload_bytes: Column, p: LimitParams = DEFAULT_LIMITS) -> Column:
-    """Upper bound of one call: a token covers at least one byte; the output is capped."""
+    """The most one call can cost: no more input tokens than bytes and framing, and the longest output."""
     tokens_in = system_bytes + payload_bytes + p.framing_tokens
     return (tokens_in * p.price_in_nano + p.max_output_tokens * p.price_out_nano).cast("bigint")
 

@@ -100,8 +100,9 @@ def build_index(
 ) -> Index:
     """Write every table of the index below a fresh directory, then open it.
 
-    Postings are sorted by term inside each file, so a question batch reads only row groups that can
-    hold its terms. Nothing is partitioned by term: a frequent term would be one huge file.
+    Postings are sorted by term inside each file. A question batch joins them with its broadcast terms,
+    which reads every posting: a joined value is not pushed into a Parquet scan. Nothing is partitioned
+    by term: a frequent term would be one huge file.
     """
     spark = passages.sparkSession
     root = root or scratch_path(spark, "index")
