@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(app: str = "gleanery", cores: str | int = "*", shuffle: int = 8) -> SparkSession:
@@ -45,11 +47,14 @@ def attach(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only a session that names none gets a temporary one."""
+    """The cluster's shared folder. Only a local session that names none gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         named = tempfile.mkdtemp(prefix="gleanery-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -71,11 +76,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 MAX_BROADCAST_ROWS = 1_000_000
-
-
-def small_side(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if a count shows it is small; else left to a shuffled join."""
-    return F.broadcast(df) if at_most(df, rows) else df
+MAX_BROADCAST_BYTES = 128 << 20
+
+
+def small_side(df: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if a count of rows and bytes shows it is small; else it is left to a
+    shuffled join."""
+    seen = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_width(df)).alias("bytes")).first()
+    return F.broadcast(df) if seen["n"] <= rows and (seen["bytes"] or 0) <= size else df
+
+
+def _width(df: DataFrame) -> Column:
+    """About the bytes of a row: texts and lists by their lengths, all else eight."""
+    total = F.lit(0).cast("long")
+    for field in df.schema:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total += F.coalesce(F.octet_length(column), F.lit(0)) + 8
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
+            total += F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        else:
+            total += F.lit(8)
+    return total
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
