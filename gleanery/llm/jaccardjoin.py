@@ -49,6 +49,8 @@ REMEMBERED = 500_000
 PAIRS_AT_ONCE = 250_000
 #: What goes with the entries of a text: its signature, its entries, and how many leading ones no block has.
 ABOUT = np.dtype([("s1", "<u8"), ("s2", "<u8"), ("n", "<u4"), ("k", "<u4")])
+#: Rows of a frequent column that are compared at once on either side.
+COMPARED = 512
 #: Frequent shingles are told apart by so many leading bits.
 SHORT = U(16)
 
@@ -436,8 +438,7 @@ def jaccard_components(
     first = materialise(first.distinct(), "first")
     links = materialise(verified(first, docs, size, num, den), "links")
     label = components(links)
-    odd = _apart_often(often, label, num, den).distinct()
-    rest = _apart(pairs, label).union(plausible(odd, classes, num, den)).distinct()
+    rest = _apart(pairs, label).union(_apart_often(often, classes, label, num, den)).distinct()
     rest = materialise(rest.join(first, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = materialise(verified(rest, docs, size, num, den), "links")
@@ -479,14 +480,63 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _apart_often(often: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a frequent column in different components: one end outside the column's largest one."""
-    rows = often.join(label, "id", "left").select("h", "n", "id", F.coalesce("component", "id").alias("part"))
+def _apart_often(often: DataFrame, classes: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+    """Plausible pairs of a frequent column in different components, one end outside its largest one.
+
+    The rows outside are compared with all rows of the column by their sketches, a block of either at a
+    time: a pair becomes a row only if its sketches allow a link.
+    """
+    rows = often.join(label, "id", "left").select("h", "id", F.coalesce("component", "id").alias("part"))
     parts = rows.groupBy("h", "part").agg(F.count(F.lit(1)).alias("c"))
-    main = parts.groupBy("h").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("k"))
-    rows = rows.join(small_side(main.filter("k > 1")), "h")
-    odd = rows.filter("part != main").select("h", F.col("n").alias("m"), F.col("id").alias("x"), F.col("part").alias("own"))
-    met = odd.join(rows, "h").filter(
-        "own != part and (part = main or x < id)"
-    ).filter((F.least("m", "n") * den >= F.greatest("m", "n") * num))
-    return met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+    main = (
+        parts.groupBy("h")
+        .agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("m"), F.max("c").alias("c"))
+        .filter("k > 1")
+        .select("h", "main", F.ceil(F.col("m") / COMPARED).alias("all"), F.ceil((F.col("m") - F.col("c")) / COMPARED).alias("odd"))
+    )
+    rows = rows.join(small_side(main), "h").join(classes.select(F.col("rep").alias("id"), "n", "sketch"), "id")
+    rows = rows.select("h", "id", "n", "sketch", "part", "main", "all", "odd", F.xxhash64("id").alias("deal"))
+    here = rows.withColumn("one", F.explode(F.sequence(F.lit(0), F.col("odd") - 1))).withColumn("two", F.pmod("deal", "all"))
+    outside = (
+        rows.filter("part != main")
+        .withColumn("one", F.pmod("deal", "odd"))
+        .withColumn("two", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
+    )
+    names = ["h", "one", "two", "id", "n", "sketch", "part", "main"]
+    both = here.select(*names, F.lit(False).alias("odd")).union(outside.select(*names, F.lit(True).alias("odd")))
+
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        ids, n, part, main, odd = (table[c].to_numpy() for c in ("id", "n", "part", "main", "odd"))
+        sketches = table["sketch"].to_pylist()
+        length = np.array([len(x) for x in sketches])
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for wide in np.unique(length[odd]):
+            left = np.flatnonzero(odd & (length == wide))
+            for other in np.unique(length[~odd]):
+                right = np.flatnonzero(~odd & (length == other))
+                if max(wide, other) > 2 * min(wide, other):
+                    continue  # the sizes are too far apart
+                size = min(wide, other)
+                x, y = (_folded([sketches[k] for k in side], size) for side in (left, right))
+                for k, own in zip(left, x):
+                    near = den * np.minimum(n[right], n[k]) >= num * np.maximum(n[right], n[k])
+                    near &= (part[right] != part[k]) & ((part[right] == main[right]) | (ids[k] < ids[right]))
+                    at = right[near]
+                    differ = np.bitwise_count(y[near] ^ own).sum(axis=1)
+                    at = at[differ <= n[at] + n[k] - 2 * least_overlap(n[at], n[k], num, den)]
+                    if len(at):
+                        found.append((np.minimum(ids[at], ids[k]), np.maximum(ids[at], ids[k])))
+        if found:
+            cols = [pa.array(np.concatenate(c)) for c in zip(*found)]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "b"])
+
+    return both.groupBy("h", "one", "two").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches of one length as rows of 64-bit words, halves folded onto each other down to `size` bytes."""
+    x = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    while x.shape[1] > size:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return np.ascontiguousarray(x).view(U)
