@@ -15,8 +15,9 @@ shingle.
 
 Frequent columns that still lead a row (texts that consist of frequent shingles: large groups of near
 copies) are never multiplied out. Each such row is compared with a pivot of its column; rows that come
-out in one component need no further comparison, and only the rest are compared with rows of other
-components, so a large group costs about one comparison a row and no link between components is lost.
+out in one component need no further comparison. The rest are compared with the likeliest row of each
+other component, and only what is then still apart with all rows of other components, so a large group
+costs a few comparisons a row and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -438,11 +439,16 @@ def jaccard_components(
     first = materialise(first.distinct(), "first")
     links = materialise(verified(first, docs, size, num, den), "links")
     label = components(links)
-    rest = _apart(pairs, label).union(_apart_often(often, classes, label, num, den)).distinct()
-    rest = materialise(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = materialise(verified(rest, docs, size, num, den), "links")
-        label = components(links.union(more))
+    # then one partner of each other component for each row outside; at last all that are still apart
+    tried = first
+    for best in (True, False):
+        rest = _apart_often(often, classes, label, num, den, best)
+        rest = rest.union(_apart(pairs, label)) if best else rest
+        rest = materialise(rest.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            links = links.union(materialise(verified(rest, docs, size, num, den), "links"))
+            label = components(links)
+        tried = tried.union(rest)
     label = materialise(label, "labels").select(F.col("id").alias("rep"), "component")
     classes = classes.join(label, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = known.drop("sketch").join(classes, ["s1", "s2"], "left").select(
@@ -480,8 +486,11 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _apart_often(often: DataFrame, classes: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
-    """Plausible pairs of a frequent column in different components, one end outside its largest one.
+def _apart_often(
+    often: DataFrame, classes: DataFrame, label: DataFrame, num: int, den: int, best: bool
+) -> DataFrame:
+    """Plausible pairs of a frequent column in different components, one end outside its largest one;
+    with `best`, of a row with the members of a component in its block only the likeliest.
 
     The rows outside are compared with all rows of the column by their sketches, a block of either at a
     time: a pair becomes a row only if its sketches allow a link.
@@ -524,7 +533,11 @@ def _apart_often(often: DataFrame, classes: DataFrame, label: DataFrame, num: in
                     near &= (part[right] != part[k]) & ((part[right] == main[right]) | (ids[k] < ids[right]))
                     at = right[near]
                     differ = np.bitwise_count(y[near] ^ own).sum(axis=1)
-                    at = at[differ <= n[at] + n[k] - 2 * least_overlap(n[at], n[k], num, den)]
+                    may = differ <= n[at] + n[k] - 2 * least_overlap(n[at], n[k], num, den)
+                    at, differ = at[may], differ[may]
+                    if best and len(at):
+                        at = at[np.lexsort((ids[at], differ))]
+                        at = at[np.unique(part[at], return_index=True)[1]]
                     if len(at):
                         found.append((np.minimum(ids[at], ids[k]), np.maximum(ids[at], ids[k])))
         if found:
