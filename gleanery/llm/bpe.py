@@ -14,6 +14,7 @@ joined as the tokenizer file (which names no decoder) says: by one space.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
@@ -32,6 +33,8 @@ from gleanery.llm.session import attach, tidy
 CHUNKS_KEPT = 250_000
 #: Entries of the table of known arcs.
 ARCS_KEPT = 2_000_000
+#: Entries of either table that stay from one task to the next: the worker lives on, and others need memory.
+KEPT_BETWEEN_TASKS = 60_000
 NO_STATE = 0
 
 # White space by which the normaliser's pattern splits: Unicode's property, without the separators
@@ -180,6 +183,12 @@ class Automaton:
                 self.chunks[chunk] = got
         return got
 
+    def rest(self) -> None:
+        """Between tasks: keep the chunks met first, mostly frequent ones, and give up the others."""
+        self.older = {}
+        self.chunks = dict(itertools.islice(self.chunks.items(), KEPT_BETWEEN_TASKS))
+        self.table = dict(itertools.islice(self.table.items(), KEPT_BETWEEN_TASKS))
+
     def normal(self, text: str) -> list[str]:
         """The normalised text, cut at white space."""
         text = unicodedata.normalize("NFC", text)
@@ -268,6 +277,7 @@ def _applied(
                     [part.column("row"), pa.array(counts, pa.int64()), *map(pa.array, cols)],
                     names=["row", "n_tokens", *names],
                 )
+        auto.rest()
 
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     kinds = ("string", "string") if digests else ("array<int>", "string")
