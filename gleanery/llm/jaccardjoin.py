@@ -48,8 +48,9 @@ HELD = 600_000
 REMEMBERED = 500_000
 #: Pairs counted at once in a block.
 PAIRS_AT_ONCE = 250_000
-#: What goes with the entries of a text: its signature, its entries, and how many leading ones no block has.
-ABOUT = np.dtype([("s1", "<u8"), ("s2", "<u8"), ("n", "<u4"), ("k", "<u4")])
+#: What goes with the entries of a text: its signature, its entries, how many leading ones no block has, and
+#: the upper half of the last leading one.
+ABOUT = np.dtype([("s1", "<u8"), ("s2", "<u8"), ("n", "<u4"), ("k", "<u4"), ("last", "<u4")])
 #: Rows of a frequent column that are compared at once on either side.
 COMPARED = 512
 #: Frequent shingles are told apart by so many leading bits.
@@ -215,13 +216,14 @@ def frequent(docs: DataFrame, size: int, entries: int) -> np.ndarray:
     return np.sort(found.astype(U))
 
 
-PAIR = "kind int, h long, a1 long, a2 long, an int, ap int, ak int, b1 long, b2 long, bn int, bp int, bk int, c int"
+PAIR = "kind int, h long, a1 long, a2 long, an int, ap int, ak int, b1 long, b2 long, bn int, bp int, bk int, c int, r int"
 
 
 def overlaps(docs: DataFrame, size: int, num: int, den: int, entries: int, listed) -> DataFrame:
     """Counts of shared leading entries by block (kind 0), and leading entries in frequent columns (kind 1).
 
-    n, p, k: a row's entries, its leading entries, and those of them that no block multiplies.
+    n, p, k: a row's entries, its leading entries, and those of them that no block multiplies. r: common
+    entries that may be behind the leading ones of either row, at most.
     """
     bits = max(4, math.ceil(math.log2(max(1, entries * (1 - num / den) / BLOCK_ENTRIES))))
 
@@ -237,7 +239,7 @@ def overlaps(docs: DataFrame, size: int, num: int, den: int, entries: int, liste
                 more = found[hot][: p - len(rare)].copy()
             else:
                 rare, more = found[:p].copy(), found[:0]
-            rows.append((s1, s2, len(found), len(more)))
+            rows.append((s1, s2, len(found), len(more), int((more if len(more) else rare)[-1]) >> 32))
             held.append((rare, more))
             n += p
             if n >= HELD:
@@ -315,8 +317,12 @@ def _rows(kind: int, h: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray,
         n = side["n"].astype(np.int64)
         cols += [pa.array(signed(side[k])) for k in ("s1", "s2")]
         cols += [pa.array(x.astype(np.int32)) for x in (n, prefix_length(n, *share), side["k"])]
+    # in the common order (frequent columns last) what is not counted is behind the leading entries that end first
+    ends = [(side["k"] > 0).astype(np.int64) << 32 | side["last"].astype(np.int64) for side in (a, b)]
+    rest = [side["n"] - prefix_length(side["n"].astype(np.int64), *share) for side in (a, b)]
+    rest = np.where(ends[0] < ends[1], rest[0], np.where(ends[0] > ends[1], rest[1], np.maximum(*rest)))
     names = [x.split(" ")[0] for x in PAIR.split(", ")]
-    return pa.RecordBatch.from_arrays([*cols, pa.array(c.astype(np.int32))], names=names)
+    return pa.RecordBatch.from_arrays([*cols, *(pa.array(x.astype(np.int32)) for x in (c, rest))], names=names)
 
 
 def _frequent_rows(num: int, den: int):
@@ -414,18 +420,16 @@ def jaccard_components(
     found = materialise(overlaps(docs, size, num, den, entries, listed), "overlaps")
     # A frequent column missing from the list is counted in no block: allow for it in the bound.
     slack = (
-        found.filter("kind = 1").groupBy("a1", "a2").agg((F.count(F.lit(1)) - F.max("ak")).alias("extra"))
+        found.filter("kind = 1").select("a1", "a2", "h", "ak").distinct()
+        .groupBy("a1", "a2").agg((F.count(F.lit(1)) - F.max("ak")).alias("extra"))
         .agg(F.max("extra")).first()[0] or 0
     )
     bound = F.ceil((F.col("an") + F.col("bn")) * num / (num + den))
     pairs = (
         found.filter("kind = 0")
         .groupBy("a1", "a2", "b1", "b2")
-        .agg(F.sum("c").alias("c"), *(F.first(x).alias(x) for x in ("an", "ap", "ak", "bn", "bp", "bk")))
-        .filter(
-            F.col("c") + F.least("ak", "bk") + F.lit(max(0, slack))
-            + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= bound
-        )
+        .agg(F.sum("c").alias("c"), *(F.first(x).alias(x) for x in ("an", "ak", "bn", "bk", "r")))
+        .filter(F.col("c") + F.least("ak", "bk") + F.lit(max(0, slack)) + F.col("r") >= bound)
     )
     side = lambda x: classes.select(F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.col("rep").alias(x))
     pairs = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).select("a", "b", "c")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -81,6 +82,21 @@ def test_large_groups_of_near_copies(spark, monkeypatch, limit):
     assert got == brute(rows)
 
 
+def test_contained_texts_of_other_length(spark):
+    """A text cut to 80 to 90 % of its length links with the whole: every column is rare here."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        whole = [f"w{rng.randrange(10**9)}" for _ in range(rng.choice((60, 104, 204)))]
+        shorter = math.ceil((0.80, 0.82, 0.85, 0.90)[k % 4] * (len(whole) - 4)) + 4
+        rows += [(2 * k, " ".join(whole)), (2 * k + 1, " ".join(whole[:shorter]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccardjoin.jaccard_components(docs).collect()}
+    want = brute(rows)
+    assert all(want[2 * k + 1][1] == 2 * k for k in range(60))
+    assert got == want
+
+
 def test_line_chunks(spark, odd, none):
     rng = random.Random(3)
     long = sentence(rng, 60)
