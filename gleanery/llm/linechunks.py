@@ -1,11 +1,10 @@
-"""Line dedup by content-defined chunks of lines.
-
-A rolling hash over the hashes of two neighbouring lines decides where a chunk ends, so that boundaries
-move with the text and a passage that is inserted elsewhere is cut in the same places. A long line is a
-chunk of its own. Chunks of several lines, or of one long line, that occur more than once are removed
-everywhere but at their first occurrence (by id, then text, then place), after comparison with its bytes.
-A repeated chunk is also tried together with the lines before and after it, through the next such chunk,
-so that the ends of a repeated passage, which fall into chunks shared with their surroundings, go with it.
+"""Line dedup by windows of lines.
+
+A long line counts on its own. Of several lines, the shortest window of at least two lines and LEAST_WORDS
+words is taken from each line forwards and from each line backwards: whatever stands around it, a repeated
+run of lines of so many words is the union of such windows, which all occur in its copies. What occurs more
+than once is removed everywhere but at its first occurrence (by id, then text, then place), after comparison
+with its bytes.
 """
 
 from __future__ import annotations
@@ -18,20 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.session import attach, tidy
-from gleanery.llm.textnum import NOT_NEWLINE, SOLID, U, mix, pieces, signed
+from gleanery.llm.textnum import NOT_NEWLINE, SOLID, U, mix, pieces, powers, signed
 from gleanery.session import materialise
 
-#: Words of a line that is a chunk of its own.
+#: Words of a line that counts on its own.
 LONG_LINE = 25
-#: Words that a chunk of several lines has at least.
+#: Words that a window of several lines has at least.
 LEAST_WORDS = 12
-#: One boundary in so many neighbouring lines.
-EVERY = U(2)
 STEP, OTHER = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)
 
 
 def _keys(piece) -> dict[str, np.ndarray]:
-    """Hashes of chunks, and of chunks with neighbouring lines: key, owner, first line, end line."""
+    """Hashes of long lines and of windows of lines: key, owner, first line, end line."""
     starts, ends, owner = piece.spans(NOT_NEWLINE)
     none = np.zeros(0, np.int64)
     if not len(starts):
@@ -40,55 +37,28 @@ def _keys(piece) -> dict[str, np.ndarray]:
     at = piece.spans(SOLID)[0]
     words = np.searchsorted(at, ends) - np.searchsorted(at, starts)
     n = len(h)
-    line = np.arange(n) - np.searchsorted(owner, owner)  # of its text, blank lines not counted
+    opens, closes = np.searchsorted(owner, owner), np.searchsorted(owner, owner, side="right")
     long = words >= LONG_LINE
-    opens = np.ones(n, bool)
-    same = owner[1:] == owner[:-1]
-    roll = mix(h[:-1] * STEP + h[1:]) % EVERY == 0
-    opens[1:] = ~same | long[1:] | long[:-1] | roll
-    head = np.flatnonzero(opens)
-    size = np.diff([*head, n])
-    chunk = np.cumsum(opens) - 1
+    total = np.concatenate([[0], np.cumsum(words)])
     number = np.arange(n)
-    fit = (long[head] | (size > 1)) & (np.add.reduceat(words, head) >= LEAST_WORDS)
-    out = {"k1": [], "k2": [], "owner": [], "first": [], "end": []}
-
-    def add(sums, rows, first, end, tag):
-        for name, value, salt in (("k1", sums[0], U(tag)), ("k2", sums[1], U(tag + 16))):
-            out[name].append(mix(value + salt))
-        out["owner"].append(owner[rows])
-        out["first"].append(first)
-        out["end"].append(end)
-
-    def placed(place):
-        return [mix(h ^ mix(place.astype(U) + s)) for s in (STEP, OTHER)]
-
-    total = [np.add.reduceat(x, head) for x in placed(number - head[chunk])]
-    add([x[fit] for x in total], head[fit], line[head[fit]], line[head[fit]] + size[fit], 1)
-    # a chunk and the lines behind it, up to the end of the next such chunk: each of them ends one
-    which = np.arange(len(head))
-    before = np.concatenate([[-1], np.maximum.accumulate(np.where(fit, which, -1))[:-1]])[chunk]
-    held = (before >= 0) & ~(fit[chunk] & (number == (head + size - 1)[chunk]))
-    held &= owner[head[before]] == owner
-    open_at = np.where(before >= 0, (head + size)[before], number)
-    x = placed(number - open_at)
-    running = [np.cumsum(v, dtype=U) for v in x]
-    upto = [r - (r[open_at] - v[open_at]) for r, v in zip(running, x)]
-    i = np.flatnonzero(held)
-    add([mix(t[before[i]]) + u[i] for t, u in zip(total, upto)], i, line[open_at[i]], line[i] + 1, 2)
-    # and the lines before it, from the start of the one before: each of them begins one
-    far = len(head)
-    after = np.append(np.minimum.accumulate(np.where(fit, which, far)[::-1])[::-1][1:], far)[chunk]
-    held = (after < far) & ~(fit[chunk] & (number == head[chunk]))
-    after = np.minimum(after, far - 1)
-    held &= owner[head[after]] == owner
-    close_at = np.where(held, head[after] - 1, number)
-    x = placed(close_at - number)
-    running = [np.cumsum(v, dtype=U) for v in x]
-    rest = [r[close_at] - r + v for r, v in zip(running, x)]
-    i = np.flatnonzero(held)
-    add([mix(t[after[i]]) + u[i] for t, u in zip(total, rest)], i, line[i], line[close_at[i]] + 1, 3)
-    return {k: np.concatenate(v) for k, v in out.items()}
+    # the shortest window from each line on, and to each line; not again if it is the one from its first line on
+    to = np.maximum(number + 2, np.searchsorted(total, total[:-1] + LEAST_WORDS))
+    since = np.minimum(number - 1, np.searchsorted(total, total[1:] - LEAST_WORDS, side="right") - 1)
+    ahead = np.flatnonzero(to <= closes)
+    back = np.flatnonzero(since >= opens)
+    back = back[to[since[back]] != back + 1]
+    first, end = np.concatenate([ahead, since[back]]), np.concatenate([to[ahead], back + 1])
+    longs = np.concatenate([[0], np.cumsum(long)])
+    some = longs[end] - longs[first] < end - first  # windows of long lines only go line by line
+    alone = np.flatnonzero(long)
+    first, end = np.concatenate([alone, first[some]]), np.concatenate([alone + 1, end[some]])
+    up, down = powers(n + 1)
+    out = {"owner": owner[first], "first": first - opens[first], "end": end - opens[first]}
+    for name, salt in (("k1", STEP), ("k2", OTHER)):
+        sums = np.zeros(n + 1, U)
+        np.cumsum(mix(h ^ salt) * up[:-1], out=sums[1:])
+        out[name] = mix((sums[end] - sums[first]) * down[first] + (end - first).astype(U))
+    return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +114,7 @@ def _without(text: str | None, parts: list | None) -> tuple[str | None, int, int
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with repeated chunks of lines removed, and n_lines, n_removed (lines that are not empty).
+    """`docs` with repeated passages of lines removed, and n_lines, n_removed (lines that are not empty).
 
     One output row for each input row and all its columns; input columns called n_lines or n_removed give
     way. Texts keep their null or empty value; a text may become empty. Rows with the same id and text are

@@ -129,6 +129,39 @@ def test_line_chunks(spark, odd, none):
     assert linechunks.dedup_lines(none).collect() == []
 
 
+def repeated_lines(rows):
+    """Lines left of each text: all runs of lines (12 words in several, 25 in one) but the first of each kind go."""
+    split = [(i, [x for x in t.split("\n") if x]) for i, t in sorted(rows)]
+    seen, left = set(), {}
+    for i, lines in split:
+        n, gone = [len(x.split()) for x in lines], set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(n[a:b]) < (12 if b > a + 1 else 25):
+                    continue
+                run = tuple(lines[a:b])
+                if run in seen:
+                    gone.update(range(a, b))
+                seen.add(run)
+        left[i] = [x for k, x in enumerate(lines) if k not in gone]
+    return left
+
+
+def test_repeated_passages_of_short_lines(spark):
+    """Whatever the neighbours, a passage that was there before goes whole."""
+    rng = random.Random(14)
+    rows = []
+    for k, (count, length) in enumerate([(3, 18), (4, 14), (5, 11), (6, 9), (8, 7), (11, 5), (14, 4), (2, 6)] * 4):
+        passage = [sentence(rng, length) for _ in range(count)]
+        near = rng.choice((3, 40))
+        for copy in range(2):
+            around = [[sentence(rng, near) for _ in range(rng.randrange(0, 3))] for _ in range(2)]
+            rows.append((2 * k + copy, "\n".join([*around[0], *passage, *around[1]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [x for x in r["text"].split("\n") if x] for r in linechunks.dedup_lines(docs).collect()}
+    assert got == repeated_lines(rows)
+
+
 def contaminated(rows, items):
     import re
 
