@@ -4,7 +4,7 @@ The vocabulary is a trie over the letters of marked words (a word-start mark, th
 has a failure link: where matching goes on after the longest pieces of the text read so far are popped,
 and the number of those pieces. A word is read once, letter by letter; no piece is ever cut out.
 
-Words end at ASCII white space. A word that the vocabulary cannot cover counts as one unknown token, as
+Words end at ASCII white space. The start mark alone is a piece too where the vocabulary has it. A word that the vocabulary cannot cover counts as one unknown token, as
 in word-piece tokenizers.
 """
 
@@ -28,13 +28,18 @@ WORDS_KEPT = 400_000
 
 
 class LongestMatch:
-    """Trie, failure links and popped-token counts of a vocabulary of pieces."""
+    """Trie, failure links and popped-token counts of a vocabulary of pieces.
 
-    def __init__(self, pieces: Iterable[str]) -> None:
+    With `lone_start` the word-start mark alone is a piece where the vocabulary has it, so that a word can
+    begin with a piece that has no word-start form; without it such a word is unknown.
+    """
+
+    def __init__(self, pieces: Iterable[str], lone_start: bool = False) -> None:
         root: dict = {}
         self.next: list[dict] = [root, {}]  # 0: before a word; 1: inside one, no letter read
         self.final = [False, False]
-        for piece in sorted(set(pieces)):
+        pieces = set(pieces)
+        for piece in sorted(pieces):
             inside = not piece.startswith(WORD_START)
             if not piece or piece == WORD_START:
                 continue
@@ -49,6 +54,8 @@ class LongestMatch:
             self.final[node] = True
         n = len(self.next)
         self.fail, self.pops = [-1] * n, [0] * n
+        if lone_start and WORD_START in pieces:
+            self.fail[0], self.pops[0] = 1, 1
         queue = deque([0, 1])
         while queue:
             u = queue.popleft()
@@ -143,7 +150,7 @@ def token_counts(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _built:
             _built.clear()
-            _built[key] = LongestMatch(sent.value)
+            _built[key] = LongestMatch(sent.value, lone_start=True)
         match = _built[key]
         for batch in batches:
             rows = [match.text(t.as_py() or "") for t in batch.column("text")]

@@ -82,6 +82,34 @@ def test_piece_counts(odd, none):
     assert piececount.token_counts(none, pieces).collect() == []
 
 
+def greedy_whole(word: str, pieces: set[str]) -> int:
+    """Longest match with the whole vocabulary, the start mark alone included; 0 if it does not cover the word."""
+    text, n, start, longest = "▁" + word, 0, 0, max(map(len, pieces))
+    while start < len(text):
+        end = next((e for e in range(min(len(text), start + longest), start, -1) if text[start:e] in pieces), start)
+        if end == start:
+            return 0
+        n, start = n + 1, end
+    return n
+
+
+def test_words_begin_with_the_mark_alone(spark):
+    pieces = piececount.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    known, match = set(pieces), piececount.LongestMatch(pieces, lone_start=True)
+    assert "▁" in known
+    rng = random.Random(6)
+    for _ in range(3000):
+        word = "".join(rng.choice("0123456789abehnorstñßçé漢字.-\u0378") for _ in range(rng.randrange(1, 20)))
+        assert match.count(word) == greedy_whole(word, known), word
+    far = next(p for p in pieces if len(p) == 1 and "\u4e00" <= p <= "\u9fff" and "▁" + p not in known)
+    texts = ["2024", far * 10_000, "ñandú ßa ça 007 the 3rd", "\u0378"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["n_unknown"]) for r in piececount.token_counts(docs, pieces).collect()}
+    counts = [[greedy_whole(w, known) for w in t.split()] for t in texts]
+    assert got == {k: (sum(n or 1 for n in c), c.count(0)) for k, c in enumerate(counts)}
+    assert got[0][0] > 1 and got[1][0] > 5_000 and got[3] == (1, 1)
+
+
 def test_expressions():
     assert licences.postfix("MIT OR Apache-2.0 AND BSD-3-Clause") == ["MIT", "Apache-2.0", "BSD-3-Clause", "and", "or"]
     assert licences.postfix("(MIT or X) and GPL-2.0 with Classpath-exception-2.0") == [
