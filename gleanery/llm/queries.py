@@ -85,6 +85,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piececount.token_counts(_table(spark, sf_dir, "documents"), pieces)
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm import rules
+
+    return rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_jaccard": op2_jaccard,
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
+    "op11_quality_rules": op11_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
