@@ -87,7 +87,7 @@ def contamination(
     )
     items = materialise(items, "items")
     lengths = sorted(r[0] for r in items.select("t").distinct().collect())  # thirteen at most
-    n_words = F.size(words(F.lower("text")))  # full lower case never changes where words end
+    n_words = F.size(words(folded(F.col("text"))))
     if not lengths:
         hits = None
     else:
@@ -126,11 +126,9 @@ def _hits(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
     ])
     wins = wins.groupBy("h").agg(F.first("t").alias("t"), F.collect_set("item_id").alias("ids"))
 
-    found = docs.select("doc_id", "text_key", words(F.lower("text")).alias("words"))
-    # lower() also changes letters outside ASCII: it finds all that A-Z alone would, and sometimes more
-    low = items.select("item_id", "t", F.transform("words", F.lower).alias("words"))
+    found = docs.select("doc_id", "text_key", words(folded(F.col("text"))).alias("words"))
     low_prints = _all([
-        kept(low.filter(F.col("t") == t), "words", t, "p").select(F.explode_outer("p").alias("p")) for t in lengths
+        kept(items.filter(F.col("t") == t), "words", t, "p").select(F.explode_outer("p").alias("p")) for t in lengths
     ]).distinct()
     names = []
     for t in lengths:

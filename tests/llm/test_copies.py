@@ -230,3 +230,11 @@ def test_vectors(spark):
     for i in (2002, 2003, 2004, 2005, 2006, 2007):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert forest.near_vectors(frame.limit(0)).collect() == []
+
+
+def test_capital_sigma_counts_as_itself(spark):
+    """Only A-Z are folded: the lower case of a capital sigma, which depends on what follows it, plays no part."""
+    docs = spark.createDataFrame([(1, "ΟΔΟΣ.ΑΒ"), (2, "οδος.αβ"), (3, "x ΟΔΟΣ ΑΒ Y")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "ΟΔΟΣ.ΑΒ")], "item_id string, text string")
+    got = {r["doc_id"]: r["n_hit"] for r in winnow.contamination(docs, items).collect()}
+    assert got == {1: 2, 2: 0, 3: 2}
