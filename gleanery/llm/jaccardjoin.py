@@ -266,12 +266,13 @@ def overlaps(docs: DataFrame, size: int, num: int, den: int, entries: int, liste
             if not len(value):
                 continue
             row = np.repeat(np.arange(len(held)), [len(x[part]) for x in held])
-            order = np.argsort(value, kind="stable")
-            value, row = value[order], row[order]
+            # leading entries are a row's smallest: mixed anew, they fill all blocks alike
+            block = np.zeros(len(value), np.int64) if part else (mix(value) >> U(64 - bits)).astype(np.int64)
+            order = np.lexsort((value, block))
+            value, row, block = value[order], row[order], block[order]
             if part:
                 add(-1, value, row)
                 continue
-            block = (value >> U(64 - bits)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(block, prepend=-1))
             for a, b in zip(cuts, [*cuts[1:], len(block)]):
                 add(int(block[a]), value[a:b], row[a:b])
