@@ -18,6 +18,7 @@ import itertools
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -28,13 +29,15 @@ from pyspark.sql import functions as F
 from gleanery.llm.session import attach, tidy
 
 
-#: Entries of each of the two tables of encoded chunks in one Python worker: when the newer one is
-#: full it becomes the older one, so that chunks in use stay.
-CHUNKS_KEPT = 250_000
-#: Entries of the table of known arcs.
-ARCS_KEPT = 2_000_000
+#: Bytes of each of the two tables of encoded chunks in one Python worker: when the newer one is full it becomes
+#: the older one, so that chunks in use stay. An entry is the chunk, its packed ids and about ENTRY bytes besides.
+TABLE_BYTES, ENTRY = 48 << 20, 200
+#: Entries of the table of known arcs (about 130 bytes each).
+ARCS_KEPT = 200_000
 #: Entries of either table that stay from one task to the next: the worker lives on, and others need memory.
-KEPT_BETWEEN_TASKS = 60_000
+KEPT_BETWEEN_TASKS = 120_000
+#: Tokens of an output batch, about.
+MOST_TOKENS = 250_000
 NO_STATE = 0
 
 # White space by which the normaliser's pattern splits: Unicode's property, without the separators
@@ -74,8 +77,11 @@ class Automaton:
                     node = node.setdefault(c, {})
                 node[""] = token
         self.table: dict[int, bool] = {}
-        self.chunks: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+        self.numbers = [str(i) for i in range(max(self.labels) + 1)]
+        self.marks = [self.labels.get(i, "") for i in range(len(self.numbers))]
 
     def _compile(self, merges: list) -> None:
         merged = set()
@@ -170,17 +176,18 @@ class Automaton:
             ids += self.encode_word(word.encode().decode("latin-1").translate(self.letters))
         return ids
 
-    def chunk(self, chunk: str) -> tuple[int, str, str]:
+    def chunk(self, chunk: str) -> bytes:
+        """The packed ids of a normalised text without white space."""
         got = self.chunks.get(chunk)
         if got is None:
             got = self.older.get(chunk)
             if got is None:
-                ids = self.encode_chunk(chunk)
-                got = len(ids), " ".join(map(str, ids)), self.decode(ids)
+                got = array("i", self.encode_chunk(chunk)).tobytes()
             if len(chunk) <= 64:
-                if len(self.chunks) >= CHUNKS_KEPT:
-                    self.older, self.chunks = self.chunks, {}
+                if self.held >= TABLE_BYTES:
+                    self.older, self.chunks, self.held = self.chunks, {}, 0
                 self.chunks[chunk] = got
+                self.held += len(chunk) + len(got) + ENTRY
         return got
 
     def rest(self) -> None:
@@ -188,6 +195,7 @@ class Automaton:
         self.older = {}
         self.chunks = dict(itertools.islice(self.chunks.items(), KEPT_BETWEEN_TASKS))
         self.table = dict(itertools.islice(self.table.items(), KEPT_BETWEEN_TASKS))
+        self.held = sum(len(k) + len(v) + ENTRY for k, v in self.chunks.items())
 
     def normal(self, text: str) -> list[str]:
         """The normalised text, cut at white space."""
@@ -197,22 +205,26 @@ class Automaton:
             return [p.replace("Σ", "σ").lower() for p in parts]
         return text.replace("Σ", "σ").lower().split()
 
-    def parts(self, text: str | None) -> Iterator[tuple[int, str, str]]:
-        """(count, ids, labels) of consecutive parts of a text."""
+    def parts(self, text: str | None) -> Iterator[bytes]:
+        """The packed ids of consecutive parts of a text."""
         at = 0
         if self.special_at is not None and "<|" in (text or ""):
             for m in self.special_at.finditer(text):
                 yield from map(self.chunk, self.normal(text[at : m.start()]))
-                i = self.special[m[0]]
-                yield 1, str(i), self.labels[i]
+                yield array("i", [self.special[m[0]]]).tobytes()
                 at = m.end()
         yield from map(self.chunk, self.normal((text or "")[at:]))
 
+    def packed(self, text: str | None) -> array:
+        ids = array("i")
+        ids.frombytes(b"".join(self.parts(text)))
+        return ids
+
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts(text) if ids for i in ids.split(" ")]
+        return self.packed(text).tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(self.labels[i] for i in ids)
+    def decode(self, ids: Sequence[int]) -> str:
+        return " ".join([self.labels[i] for i in ids])
 
 
 _built: dict[str, Automaton] = {}
@@ -240,17 +252,29 @@ def encode(
     and has no tokens. Other columns are ignored. The tokenizer file is read on the driver (a
     published vocabulary of a few MB) and sent to the executors.
     """
-    return _applied(docs, tokenizer, id_col, text_col, False, keep)
+    return _applied(docs, tokenizer, id_col, text_col, ("n_tokens", "ids", "decoded"), keep)
 
 
-def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) for each row, as `encode` but without the lists."""
-    return _applied(docs, tokenizer, id_col, text_col, True)
+DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def _applied(
-    docs: DataFrame, tokenizer: str, id_col: str, text_col: str, digests: bool, keep: Sequence[str] = ()
+def digests(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, keep: Sequence[str] = ()
 ) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) for each row, as `encode` but without the lists; with `ids` the
+    token ids too, and the columns in `keep`."""
+    return _applied(docs, tokenizer, id_col, text_col, (*DIGESTS, *["ids"] * ids), keep)
+
+
+KINDS = {
+    "n_tokens": ("long", lambda auto, ids: len(ids)),
+    "decoded": ("string", lambda auto, ids: " ".join([auto.marks[i] for i in ids])),
+    "ids_sha256": ("string", lambda auto, ids: _sha(" ".join([auto.numbers[i] for i in ids]))),
+    "decoded_sha256": ("string", lambda auto, ids: _sha(" ".join([auto.marks[i] for i in ids]))),
+}
+
+
+def _applied(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, wanted: Sequence[str], keep: Sequence[str]) -> DataFrame:
     spark = attach(docs.sparkSession)
     raw = spark.sparkContext.broadcast(_read(tokenizer))
     docs = docs.select(
@@ -261,34 +285,39 @@ def _applied(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(raw.value)
         for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.slice(start, 512)
-                counts, ids, texts = [], [], []
-                for text in part.column("text"):
-                    got = [x for x in auto.parts(text.as_py()) if x[0]]
-                    counts.append(sum(x[0] for x in got))
-                    ids.append(" ".join([x[1] for x in got]))
-                    texts.append(" ".join([x[2] for x in got]))
-                if digests:
-                    cols = [_sha(ids), _sha(texts)]
-                else:
-                    cols = [pa.array([[int(i) for i in x.split()] for x in ids], pa.list_(pa.int32())), texts]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(counts, pa.int64()), *map(pa.array, cols)],
-                    names=["row", "n_tokens", *names],
-                )
+            first, size = 0, 0
+            out: dict[str, list] = {name: [] for name in wanted}
+            lists, ends = array("i"), [0]
+            for k, text in enumerate(batch.column("text")):
+                ids = auto.packed(text.as_py())
+                for name in wanted:
+                    if name != "ids":
+                        out[name].append(KINDS[name][1](auto, ids))
+                size += len(ids)
+                if "ids" in out:
+                    lists += ids
+                    ends.append(size)
+                if size >= MOST_TOKENS or k == len(batch) - 1:
+                    if "ids" in out:
+                        values = pa.Array.from_buffers(pa.int32(), size, [None, pa.py_buffer(lists)])
+                        out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("row").slice(first, k + 1 - first), *map(pa.array, out.values())], names=["row", *wanted]
+                    )
+                    first, size = k + 1, 0
+                    out = {name: [] for name in wanted}
+                    lists, ends = array("i"), [0]
         auto.rest()
 
-    names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-    kinds = ("string", "string") if digests else ("array<int>", "string")
     row = docs.schema["row"].dataType.simpleString()
-    out = docs.mapInArrow(tidy(run), f"row {row}, n_tokens long, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}")
+    kinds = {name: kind for name, (kind, _) in KINDS.items()} | {"ids": "array<int>"}
+    out = docs.mapInArrow(tidy(run), f"row {row}, " + ", ".join(f"{name} {kinds[name]}" for name in wanted))
     kept = [F.col(f"row.k{i}.x").alias(c) for i, c in enumerate(keep)]
-    return out.select(F.col("row.doc_id").alias(id_col), *kept, "n_tokens", *names)
+    return out.select(F.col("row.doc_id").alias(id_col), *kept, *wanted)
 
 
-def _sha(texts: list[str]) -> list[str]:
-    return [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 def decode(tokens: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
