@@ -1,7 +1,8 @@
 """A corpus from raw documents to tokens: five stages, each a written table that the next one reads.
 
 Rows that share a doc_id stand and fall together. Rows with a null doc_id pass the filters, since
-decisions are made by id. Extra columns are carried along to the last stage.
+decisions are made by id. Extra columns are carried along, whatever their names; only in the last stage
+its own n_tokens, ids, ids_sha256 and decoded_sha256 take the place of columns called so.
 """
 
 from __future__ import annotations
@@ -9,20 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.bpe import encode
+from gleanery.llm.bpe import DIGESTS, digests
 from gleanery.llm.jaccardjoin import jaccard_components
 from gleanery.llm.linechunks import dedup_lines
 from gleanery.llm.neighbours import toxicity
 from gleanery.llm.session import attach
 from gleanery.llm.winnow import contamination
-from gleanery.session import scratch_path, small_side
+from gleanery.session import materialise, scratch_path, small_side
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` without the ids listed; the list is sent to the executors only if a count shows it small."""
-    return docs.join(small_side(ids.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    """`docs` without the ids listed; the list is written first, and sent to the executors only if a count shows
+    it small."""
+    ids = materialise(ids.select("doc_id").distinct(), "dropped")
+    return docs.join(small_side(ids), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +36,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: repeated passages go, and documents of which nothing else is left; n_chars follows."""
-    out = dedup_lines(docs).filter(~F.coalesce((F.col("n_removed") > 0) & (F.trim("text") == ""), F.lit(False)))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", changed.cast(kind))
-    return out.select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(F.lit(0).alias("_"), *[F.struct(F.col(f"`{c}`").alias("x")).alias(f"k{i}") for i, c in enumerate(others)])
+    out = dedup_lines(docs.select("doc_id", "text", row.alias("row")))
+    out = out.filter(~F.coalesce((F.col("n_removed") > 0) & (F.trim("text") == ""), F.lit(False)))
+    kept = {c: F.col(f"row.k{i}.x") for i, c in enumerate(others)}
+    if "n_chars" in kept:
+        changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(kept["n_chars"])
+        kept["n_chars"] = changed.cast(docs.schema["n_chars"].dataType)
+    return out.select(*[kept[c].alias(c) if c in kept else F.col(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,14 +62,9 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE: token ids of each document, with digests of the ids and of the decoded text."""
     import public_tokenizers
 
-    keep = [c for c in docs.columns if c not in ("doc_id", "text", "n_tokens", "ids", "decoded")]
-    out = encode(docs, public_tokenizers.path(TOKENIZER), keep=keep)
-    return out.withColumns(
-        {
-            "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256),
-            "decoded_sha256": F.sha2("decoded", 256),
-        }
-    ).drop("decoded")
+    own = (*DIGESTS, "ids")
+    keep = [c for c in docs.columns if c not in ("doc_id", "text", *own)]
+    return digests(docs, public_tokenizers.path(TOKENIZER), ids=True, keep=keep)
 
 
 STAGES = [
