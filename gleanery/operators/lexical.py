@@ -127,18 +127,21 @@ def bm25(
 
     With `regroup` the matching postings are placed by bag first, so that scoring and the local
     top-k need no further shuffle and only the survivors travel. `chosen` (qid, path) leaves out
-    every other pair before anything is summed.
+    every other pair before anything is summed. Where bags and weights both have a `bucket`, they are
+    joined on it too, and a scan of the bags reads the buckets of the weights alone.
     """
-    weights = small_side(weights)
+    on = [c for c in ("bucket", "term") if c in bags.columns and c in weights.columns]
+    # an idf is positive: the filter only tells the optimiser that this side is worth pruning by
+    weights = small_side(weights).filter(F.col("idf") > 0)
     if chosen is not None:
         chosen = small_side(chosen)
         bags = bags.join(chosen.select("path").distinct(), "path", "left_semi")
     if regroup:
-        asked = bags.join(weights.select("term").distinct(), "term", "left_semi")
+        asked = bags.join(weights, on, "left_semi")
         bags = asked.repartition(*[F.col(k) for k in keys])
     norm = params.k1 * (1 - params.b + params.b * F.col("dl") / avgdl)
     part = F.col("idf") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + F.col("_norm"))
-    matched = bags.withColumn("_norm", norm).join(weights, "term")
+    matched = bags.withColumn("_norm", norm).join(weights, on)
     if chosen is not None:
         matched = matched.join(chosen, ["qid", "path"], "left_semi")
     return (

@@ -14,6 +14,7 @@ from gleanery.functions.vectors import base64_text, hashed_embedding
 from gleanery.functions.words import model_text
 from gleanery.operators import lexical
 from gleanery.params import DEFAULT_RANK, RankParams
+from gleanery.plans.postings import write_postings
 from gleanery.session import materialise, scratch_path
 
 PASSAGES = T.StructType([
@@ -35,7 +36,8 @@ TABLES = {
     "meta": (
         "repo string, commit string, params string, passages bigint, passage_avgdl double, "
         "files bigint, file_avgdl double, files_read bigint, skipped bigint, empty_dropped bigint, "
-        "truncated bigint, tau_salad double, tau_offtopic double, threshold double"
+        "truncated bigint, tau_salad double, tau_offtopic double, threshold double, "
+        "passage_buckets int, file_buckets int"
     ),
 }
 
@@ -60,6 +62,8 @@ class Meta:
     tau_salad: float = 0.0
     tau_offtopic: float | None = None
     threshold: float = 0.0
+    passage_buckets: int = 0
+    file_buckets: int = 0
 
 
 @dataclass(frozen=True)
@@ -75,6 +79,12 @@ class Index:
         schema = TABLES[name] if name != "passages" else PASSAGES
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
+    def postings(self, unit: str) -> tuple[DataFrame, int]:
+        """The postings of passages or files with the bucket they lie in, and the number of buckets."""
+        schema = f"{TABLES[f'{unit}_terms']}, bucket int"
+        found = self.spark.read.schema(schema).parquet(f"{self.root}/{unit}_terms")
+        return found, getattr(self.meta, f"{unit}_buckets")
+
 
 def embed_text(text: Column, dim: int) -> Column:
     """The offline embedder. A model port takes its place by the same signature."""
@@ -100,9 +110,7 @@ def build_index(
 ) -> Index:
     """Write every table of the index below a fresh directory, then open it.
 
-    Postings are sorted by term inside each file. A question batch joins them with its broadcast terms,
-    which reads every posting: a joined value is not pushed into a Parquet scan. Nothing is partitioned
-    by term: a frequent term would be one huge file.
+    Postings lie in buckets of terms, a bucket with a frequent term in several files (`write_postings`).
     """
     spark = passages.sparkSession
     root = root or scratch_path(spark, "index")
@@ -110,13 +118,12 @@ def build_index(
     spread(passages.select(*fields), "path", "line_start").write.parquet(f"{root}/passages")
     stored = spark.read.schema(PASSAGES).parquet(f"{root}/passages")
 
-    bags = lexical.passage_bags(stored, params)
-    bags.sortWithinPartitions("term").write.parquet(f"{root}/passage_terms")
+    bags = materialise(lexical.passage_bags(stored, params), "passage-bags")
+    buckets = {"passage_buckets": write_postings(bags, lexical.PASSAGE, f"{root}/passage_terms")}
     summed = materialise(lexical.file_bags(stored, params), "file-bags")
-    files = summed.join(lexical.lengths(summed, ["path"]), "path")
-    files.sortWithinPartitions("term").write.parquet(f"{root}/file_terms")
-    for unit in ("passage", "file"):
-        postings = spark.read.schema(TABLES[f"{unit}_terms"]).parquet(f"{root}/{unit}_terms")
+    files = materialise(summed.join(lexical.lengths(summed, ["path"]), "path").select("path", "dl", "term", "tf"), "file-terms")
+    buckets["file_buckets"] = write_postings(files, ("path",), f"{root}/file_terms")
+    for unit, postings in (("passage", bags), ("file", files)):
         lexical.document_frequency(postings).write.parquet(f"{root}/{unit}_vocabulary")
     text = model_text(F.col("text"), F.col("heading_path"))
     stored.select(
@@ -126,13 +133,12 @@ def build_index(
         skipped = spark.createDataFrame([], TABLES["skipped"])
     skipped.write.parquet(f"{root}/skipped")
 
-    terms = spark.read.schema(TABLES["passage_terms"]).parquet(f"{root}/passage_terms")
-    by_passage = lexical.corpus_stats(terms, stored).first()
+    by_passage = lexical.corpus_stats(bags, stored).first()
     by_file = lexical.corpus_stats(summed, stored.select("path").distinct()).first()
     meta = Meta(
         repo, commit, json.dumps(params.as_dict(), sort_keys=True),
         by_passage["n_bags"], by_passage["avgdl"], by_file["n_bags"], by_file["avgdl"],
-        **(counters or {}),
+        **(counters or {}), **buckets,
     )
     return write_meta(Index(spark, root, meta, params))
 

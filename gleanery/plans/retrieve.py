@@ -12,6 +12,7 @@ from gleanery.operators import dense, lexical
 from gleanery.operators.fusion import rrf
 from gleanery.operators.topk import top_k
 from gleanery.plans.index import Index, embed_text
+from gleanery.plans.postings import bucket_of
 from gleanery.session import materialise, small_side
 
 
@@ -37,27 +38,27 @@ def embedded(index: Index, questions: DataFrame) -> DataFrame:
     return questions.select("qid", embed_text(F.col("question"), dim).alias("embedding"))
 
 
+def _weights(index: Index, questions: DataFrame, unit: str, bags: int, buckets: int) -> DataFrame:
+    """(qid, term, idf, bucket) of the asked terms, written once: stemming is the costly part of a question."""
+    weights = lexical.weigh(lexical.query_terms(questions), index.table(f"{unit}_vocabulary"), F.lit(bags))
+    return materialise(weights.withColumn("bucket", bucket_of(F.col("term"), buckets)), "weights")
+
+
 def file_scores(index: Index, questions: DataFrame) -> DataFrame:
     """Whole-file BM25 of every file that shares a term with a question."""
-    weights = lexical.weigh(
-        lexical.query_terms(questions), index.table("file_vocabulary"), F.lit(index.meta.files)
-    )
-    return lexical.bm25(
-        index.table("file_terms"), weights, F.lit(index.meta.file_avgdl), ("path",), index.params
-    )
+    postings, buckets = index.postings("file")
+    weights = _weights(index, questions, "file", index.meta.files, buckets)
+    return lexical.bm25(postings, weights, F.lit(index.meta.file_avgdl), ("path",), index.params)
 
 
 def passage_scores(
     index: Index, questions: DataFrame, chosen: DataFrame | None = None
 ) -> DataFrame:
     """Passage BM25; `chosen` (qid, path) restricts the pairs scored, not the corpus statistics."""
-    weights = lexical.weigh(
-        lexical.query_terms(questions), index.table("passage_vocabulary"),
-        F.lit(index.meta.passages),
-    )
+    postings, buckets = index.postings("passage")
+    weights = _weights(index, questions, "passage", index.meta.passages, buckets)
     return lexical.bm25(
-        index.table("passage_terms"), weights, F.lit(index.meta.passage_avgdl), lexical.PASSAGE,
-        index.params, regroup=True, chosen=chosen,
+        postings, weights, F.lit(index.meta.passage_avgdl), lexical.PASSAGE, index.params, regroup=True, chosen=chosen,
     )
 
 
