@@ -34,7 +34,7 @@ from gleanery.operators import (
 from gleanery.params import DEFAULT_LIMITS, DEFAULT_RANK, DEFAULT_RERANK
 from gleanery.plans import fixtures as fx
 from gleanery.plans import retrieve as rt
-from gleanery.plans.index import fingerprint
+from gleanery.plans.index import Index, fingerprint
 from gleanery.session import materialise, small_side
 from gleanery.sources import corpus, tables
 
@@ -359,7 +359,10 @@ def result_invariants(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rerank_files(spark: SparkSession, d: str) -> DataFrame:
-    index, q = fx.index_of(spark, d), fx.questions(spark, d)
+    return _reranked(fx.index_of(spark, d), fx.questions(spark, d))
+
+
+def _reranked(index: Index, q: DataFrame) -> DataFrame:
     queries = rt.embedded(index, q)
     first = materialise(rt.ranked_files(index, q, queries, DEFAULT_RERANK.candidates), "candidates")
     shown = rt.shown_passages(index, q, queries, first).join(first, ["qid", "path"])
@@ -367,6 +370,30 @@ def rerank_files(spark: SparkSession, d: str) -> DataFrame:
     return found.select("qid", "path", "score", *_long("first_rank", "rank"))
 
 
+@query
+def markdown_bm25(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of the ingested Markdown by BM25: headings and paths weighted, the list cut at its depth."""
+    scores = rt.passage_scores(fx.markdown_index_of(spark, d), fx.questions(spark, d))
+    found = lexical.ranked_passages(scores, DEFAULT_RANK.embedding.fusion_depth)
+    return found.select("qid", "path", "line_start", F.round("score", 6).alias("score"), *_long("rank"))
+
+
+@query
+def markdown_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """From Markdown files to shown passages: split, index, both rankings, fusion."""
+    found = rt.retrieve(fx.markdown_index_of(spark, d), fx.questions(spark, d))
+    return found.select(
+        "qid", "path", "line_start", F.round("score", 9).alias("score"), F.round("within", 9).alias("within"),
+        *_long("rank", "passage_rank"),
+    )
+
+
+@query
+def markdown_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """The first candidates of the Markdown index, reranked by their shown passages."""
+    return _reranked(fx.markdown_index_of(spark, d), fx.questions(spark, d))
+
+
 @query
 def ranking_modes(spark: SparkSession, d: str) -> DataFrame:
     index = fx.index_of(spark, d)
@@ -794,9 +821,9 @@ def retrieve_errors(spark: SparkSession, d: str) -> DataFrame:
 @query
 def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
     """The whole ingest of the Markdown files: split, index, calibrate, count."""
-    from gleanery.plans.ingest import ingest_report, run_ingest
+    from gleanery.plans.ingest import ingest_report
 
-    return ingest_report(run_ingest(fx.markdown(spark, d), "docs/fixture", "0" * 40))
+    return ingest_report(fx.markdown_index_of(spark, d))
 
 
 @query

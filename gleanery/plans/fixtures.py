@@ -175,6 +175,16 @@ def index_of(spark: SparkSession, sf_dir: str) -> Index:
     return _indexes[key]
 
 
+def markdown_index_of(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the Markdown files, split, built and calibrated once per application."""
+    from gleanery.plans.ingest import run_ingest
+
+    key = (spark.sparkContext.applicationId, sf_dir, "markdown")
+    if key not in _indexes:
+        _indexes[key] = run_ingest(markdown(spark, sf_dir), "docs/fixture", "0" * 40)
+    return _indexes[key]
+
+
 _results: dict[tuple[str, str], DataFrame] = {}
 
 

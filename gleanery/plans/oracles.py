@@ -141,10 +141,10 @@ cte("f_df", "SELECT term, count(*) AS df FROM f_terms GROUP BY ALL")
 cte("q_terms", "SELECT DISTINCT qid, term FROM q_words JOIN stems USING (word)")
 
 
-def _bm25(u: str, keys: str) -> str:
+def _bm25(u: str, keys: str, asked: str = "q_terms") -> str:
     return f"""SELECT qid, {keys}, round(sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * tf * 2.2
         / (tf + 1.2 * (0.25 + 0.75 * dl / (s.total / s.n)))), 9) AS score
-        FROM q_terms JOIN {u}_terms USING (term) JOIN {u}_df USING (term) JOIN {u}_len USING ({keys}) CROSS JOIN {u}_stat s
+        FROM {asked} JOIN {u}_terms USING (term) JOIN {u}_df USING (term) JOIN {u}_len USING ({keys}) CROSS JOIN {u}_stat s
         GROUP BY qid, {keys}"""
 
 
@@ -179,11 +179,11 @@ cte("f_all", "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC,
 cte("files", "SELECT * FROM f_all WHERE rank <= 5")
 
 
-def _shown(files: str, name: str) -> None:
+def _shown(files: str, name: str, lexical: str = "p_score", dense: str = "dots") -> None:
     cte(f"{name}_in", f"""SELECT s.qid, s.path, s.line_start, row_number() OVER (PARTITION BY s.qid, s.path ORDER BY s.score DESC, s.line_start) AS r
-        FROM p_score s SEMI JOIN {files} f ON f.qid = s.qid AND f.path = s.path
+        FROM {lexical} s SEMI JOIN {files} f ON f.qid = s.qid AND f.path = s.path
         UNION ALL SELECT s.qid, s.path, s.line_start, row_number() OVER (PARTITION BY s.qid, s.path ORDER BY s.dot DESC, s.line_start)
-        FROM dots s SEMI JOIN {files} f ON f.qid = s.qid AND f.path = s.path""")
+        FROM {dense} s SEMI JOIN {files} f ON f.qid = s.qid AND f.path = s.path""")
     cte(f"{name}_w", f"SELECT qid, path, line_start, sum(1.0::DOUBLE / (60 + r)) AS within FROM {name}_in WHERE r <= 100 GROUP BY ALL")
     cte(f"{name}_r", f"SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY within DESC, line_start) AS passage_rank FROM {name}_w")
     cte(name, f"""SELECT f.qid, f.rank, f.path, f.score, s.line_start, s.within, s.passage_rank FROM {files} f
@@ -361,6 +361,35 @@ cte("md_words", f"""SELECT path, line_start, unnest({kept_words('body')}) AS w,
     UNION ALL SELECT path, line_start, unnest({kept_words("regexp_replace(path, '[.][^./]*$', '')")}), 1 FROM md_body""")
 cte("md_terms", f"SELECT path, line_start, {S_STEM} AS term, sum(weight)::BIGINT AS tf FROM md_words GROUP BY ALL")
 
+# --- the index of the Markdown files ------------------------------------------------------------------
+
+cte("mf_words", f"""SELECT path, unnest({kept_words('text')}) AS w FROM md_body
+    UNION ALL SELECT path, unnest({kept_words("regexp_replace(path, '[.][^./]*$', '')")}) FROM (SELECT DISTINCT path FROM md_body)""")
+cte("mvocab", "SELECT w AS word FROM md_words UNION SELECT w FROM mf_words UNION SELECT word FROM q_words")
+CTES["mstems"] = re.sub(r"\b(s_[abc2345]|stems|vocab)\b", r"m\1", STEMS)
+cte("mq_terms", "SELECT DISTINCT qid, term FROM q_words JOIN mstems USING (word)")
+cte("mp_terms", "SELECT path, line_start, term, sum(weight)::BIGINT AS tf FROM md_words JOIN mstems ON word = w GROUP BY ALL")
+cte("mf_terms", "SELECT path, term, count(*) AS tf FROM mf_words JOIN mstems ON word = w GROUP BY ALL")
+for _u, _keys, _n in (("mp", "path, line_start", "count(*)"), ("mf", "path", "count(DISTINCT path)")):
+    cte(f"{_u}_len", f"SELECT {_keys}, sum(tf)::BIGINT AS dl FROM {_u}_terms GROUP BY ALL")
+    cte(f"{_u}_stat", f"SELECT {_n} AS n, (SELECT sum(tf) FROM {_u}_terms)::BIGINT AS total FROM md_body")
+    cte(f"{_u}_df", f"SELECT term, count(*) AS df FROM {_u}_terms GROUP BY ALL")
+    cte(f"{_u}_score", _bm25(_u, _keys, "mq_terms"))
+    cte(f"{_u}_lex", f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, {_keys}) AS rank FROM {_u}_score")
+cte("md_model", f"SELECT path, line_start, array_to_string(trail, ' > ') || {NL} || body AS text FROM md_body")
+_vec("md_model", "path, line_start", "text", "mv")
+cte("mdot_some", "SELECT qid, path, line_start, sum(q.b * d.b)::BIGINT AS dot FROM qv_q q JOIN mv_q d USING (slot) GROUP BY ALL")
+cte("mdots", """SELECT q.qid, d.path, d.line_start, coalesce(s.dot, 0) AS dot
+    FROM qs q CROSS JOIN md_model d LEFT JOIN mdot_some s ON s.qid = q.qid AND s.path = d.path AND s.line_start = d.line_start""")
+cte("mf_near", "SELECT qid, path, max(dot) AS dot, row_number() OVER (PARTITION BY qid ORDER BY max(dot) DESC, path) AS rank FROM mdots GROUP BY qid, path")
+cte("mfused", """SELECT qid, path, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (
+    SELECT qid, path, rank FROM mf_lex WHERE rank <= 100 UNION ALL SELECT qid, path, rank FROM mf_near WHERE rank <= 100) GROUP BY ALL""")
+cte("mf_all", "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM mfused")
+cte("mfiles", "SELECT * FROM mf_all WHERE rank <= 5")
+cte("mcands", "SELECT * FROM mf_all WHERE rank <= 20")
+_shown("mfiles", "mshown", "mp_score", "mdots")
+_shown("mcands", "mcshown", "mp_score", "mdots")
+
 # --- logs -----------------------------------------------------------------------------------------------
 
 cte("log", """SELECT user_id::VARCHAR AS key, epoch_us(ts) AS us, event_id, event_type, value, ts,
@@ -445,7 +474,7 @@ def render(body: str) -> str:
                     names.append(name)
 
     need(body, "")
-    parts = [CTES[n] if n in RECURSIVE or n == "stems" else f"{n} AS ({CTES[n]})" for n in names]
+    parts = [CTES[n] if n in RECURSIVE or n.endswith("stems") else f"{n} AS ({CTES[n]})" for n in names]
     return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
 
 
@@ -525,6 +554,11 @@ WSET = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
 cte("pairs", f"""SELECT c.qid, c.path, c.rank AS first_rank, max(len(list_intersect({WSET.format('q.question')}, {WSET.format('d.text')})))::DOUBLE AS score
     FROM cshown c JOIN qs q USING (qid) JOIN documents d ON d.doc_id = c.line_start GROUP BY ALL""")
 oracle("rerank_files", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first_rank) AS rank FROM pairs) WHERE rank <= 5")
+cte("mpairs", f"""SELECT c.qid, c.path, c.rank AS first_rank, max(len(list_intersect({WSET.format('q.question')}, {WSET.format('d.text')})))::DOUBLE AS score
+    FROM mcshown c JOIN qs q USING (qid) JOIN md_model d ON d.path = c.path AND d.line_start = c.line_start GROUP BY ALL""")
+oracle("markdown_bm25", "SELECT qid, path, line_start, round(score, 6) AS score, rank FROM mp_lex WHERE rank <= 100")
+oracle("markdown_retrieve", "SELECT qid, path, line_start, round(score, 9) AS score, round(within, 9) AS within, rank, passage_rank FROM mshown")
+oracle("markdown_rerank", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first_rank) AS rank FROM mpairs) WHERE rank <= 5")
 oracle("ranking_modes", f"SELECT qid, '{MODE}' AS mode, '{MODE.replace('file-rrf-v1', 'file-rerank-v1')}{CE}' AS reranked_mode FROM qs")
 oracle("eval_lines", """SELECT qid, qid || '  ' || rpad(CASE WHEN NOT answerable THEN 'DIAG' WHEN rank IS NOT NULL THEN 'HIT' ELSE 'MISS' END, 6, ' ')
     || CASE WHEN NOT answerable THEN 'top file ' || top_path || printf('  top score %.2f', top_score) || CASE WHEN hard_negative THEN ' [hard negative]' ELSE '' END
