@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import Decimal
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.formats import usd
+from gleanery.operators.scan import laid_out, running
 from gleanery.params import DEFAULT_LIMITS, LimitParams
+from gleanery.session import materialise, small_side
 
 NEVER_BILLED = ("status_4xx", "connection")
 RETRIED = ("status_429", "status_5xx", "connection")
 DAYS_IN_LONGEST_MONTH = 31
-SPEND_COLUMNS = "day string, us bigint, seq bigint, kind string, rid bigint, amount bigint"
 
 
 def daily_cap(monthly_usd: str) -> int:
@@ -71,71 +72,116 @@ def attempt_summary(attempts: DataFrame) -> DataFrame:
     )
 
 
-class _Day:
-    """One day's counter while its operations go by in order."""
-
-    def __init__(self, cap: int) -> None:
-        self.cap, self.spent, self.closed = cap, 0, False
-        self.open: dict[int, int] = {}  # accepted and unsettled; bounded by the cap
-        self.in_flight = 0
-
-    def reserve(self, rid: int, amount: int) -> str:
-        if not self.closed and self.spent + amount > self.cap:
-            self.closed = True
-            return "closes"
-        if self.closed:
-            return "paused"
-        if self.spent + self.in_flight + amount > self.cap:
-            return "busy"
-        self.open[rid] = amount
-        self.in_flight += amount
-        return "accepted"
-
-    def settle(self, rid: int, actual: int) -> str:
-        """The cost counts whatever became of the reservation; one that is open is in flight no more."""
-        self.in_flight -= self.open.pop(rid, 0)
-        self.spent += actual
-        return "settled"
-
-
-def spend_log(ops: DataFrame, cap: int) -> DataFrame:
+def spend_log(ops: DataFrame, cap: int, ranges: int | None = None) -> DataFrame:
     """`ops` plus `decision` and `spent`, the settled spend of the day after each operation.
 
-    `ops` (day, us, seq, kind, rid, reserved_day, amount): a reserve asks for `amount`; a settle
-    adds `amount` to the day's spend and ends the reservation `rid` if it is open that day. A day whose reservations all fit under the cap needs no order:
-    everything is accepted. Only the other days are folded, one day per task, sorted and spilling.
+    `ops` (day, us, seq, kind, rid, amount, ...): a reserve asks for `amount`; a settle adds `amount` to the day's
+    spend, whatever became of its reservation `rid`, and ends that reservation if it is open that day. The first
+    reserve that the settled spend leaves no room for closes the day. Before, a reserve is busy if spend and open
+    reservations leave no room. A `rid` is reserved once a day.
+
+    Settled spend doesn't hang on decisions: it is a running sum over ranges of the day's operations, and where it
+    closes the day another. So does what was asked for at most: reserves that fit even so are accepted. Only what
+    is left of a day, if anything, is replayed for its open reservations, range by range (`_replayed`).
     """
-    by_day = ops.groupBy("day").agg(F.sum(F.greatest("amount", F.lit(0))).alias("_ceiling"))
-    tight = by_day.withColumn("_tight", F.col("_ceiling") > cap).select("day", "_tight")
-    marked = ops.join(F.broadcast(tight), "day")  # one row per day
-    decided = _fold_days(marked.filter("_tight").drop("_tight"), cap)
-    plain = marked.filter(~F.col("_tight")).drop("_tight")
-    free = plain.withColumn(
-        "decision", F.when(F.col("kind") == "reserve", "accepted").otherwise("settled")
+    reserve = F.col("kind") == "reserve"
+    stored = laid_out(ops, ["day"], ["us", "seq"], ranges=ranges)
+    zero = F.lit(0).cast("long")
+    sums = running(stored, ["day"], {
+        "spent": ("sum", F.when(~reserve, F.col("amount")).otherwise(zero)),
+        "_asked": ("sum", F.when(reserve, F.greatest("amount", zero)).otherwise(zero)),
+    })
+    over = reserve & (F.col("spent") + F.col("amount") > cap)
+    known = running(sums, ["day"], {"_over": ("sum", over.cast("long"))})
+    sure = F.col("spent") + F.col("_asked") <= cap
+    known = known.withColumn(
+        "decision",
+        F.when(~reserve, "settled").when(over & (F.col("_over") == 1), "closes").when(F.col("_over") > 0, "paused").when(sure, "accepted"),
     )
-    return decided.unionByName(free.select(*decided.columns))
-
-
-def _fold_days(ops: DataFrame, cap: int) -> DataFrame:
-    names = ops.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        day, state = None, None
-        for pdf in batches:
+    known = materialise(known.drop("_asked"), "spend")
+    tight = known.filter("decision is null").select("day").distinct()
+    live = known.filter("_over = 0").join(tight, "day", "left_semi")
+    decided = _replayed(live.select("day", "_part", "_at", "kind", "rid", "amount", "spent"), cap)
+    decided = decided.select(F.col("_at").alias("_place"), F.col("decision").alias("_found"))
+    out = known.join(decided, F.col("_at") == F.col("_place"), "left")
+    return out.select(*ops.columns, F.coalesce("decision", "_found").alias("decision"), "spent")
+
+
+def _replayed(live: DataFrame, cap: int) -> DataFrame:
+    """(day, _part, _at, rid, amount, decision) of the reserves of `live`, all ranges at once.
+
+    A range is replayed from the reservations open at its start, which first are guessed to be none. From the
+    decisions follows what really was open at the start of each range; ranges that began otherwise are replayed
+    again, until none did. The first range of a day is right from the start and each round makes at least the next
+    one right, but as later ones hardly hang on the start, a few rounds do. The result is that of one replay in order.
+    """
+    live = materialise(live, "live")
+    numbered = Window.partitionBy("day").orderBy("_part")
+    chain = live.groupBy("day", "_part").agg(F.count(F.lit(1)).alias("_rows"))  # a row for each range of a day
+    chain = materialise(chain.select("day", "_part", F.row_number().over(numbered).alias("_i")), "chain")
+    begins = live.filter("kind = 'reserve'").join(chain, ["day", "_part"]).select("day", "rid", "_at", F.col("_i").alias("_from"))
+    ends = live.filter("kind = 'settle'").join(chain, ["day", "_part"]).select("day", "rid", F.col("_at").alias("_end"), F.col("_i").alias("_to"))
+    last = chain.groupBy("day").agg(F.max("_i").alias("_last"))
+    lives = begins.join(ends, ["day", "rid"], "left").groupBy("day", "_at", "_from").agg(F.min(F.when(F.col("_end") > F.col("_at"), F.col("_to"))).alias("_to"))
+    lives = lives.join(last, "day").withColumn("_to", F.coalesce("_to", "_last")).filter("_to > _from").select("_at", "_from", "_to")
+    lives = materialise(lives, "lives")  # reservations that are open where a range ends, if accepted
+    done = _from_open(live, None, cap)
+    began = live.limit(0).select("day", "_part", *[F.lit(0).cast("long").alias(c) for c in ("mark", "n")])
+    while True:
+        held = done.filter("decision = 'accepted'").join(lives, "_at").withColumn("_i", F.explode(F.sequence(F.col("_from") + 1, F.col("_to"))))
+        carry = materialise(held.select("day", "_i", "rid", "amount").join(chain, ["day", "_i"]).select("day", "_part", "rid", "amount"), "carry")
+        starts = carry.groupBy("day", "_part").agg(F.bit_xor(F.xxhash64("rid", "amount")).alias("mark"), F.count(F.lit(1)).alias("n"))
+        starts = materialise(starts, "starts")
+        same = ["day", "_part", "mark", "n"]
+        changed = starts.join(began, same, "left_anti").unionByName(began.join(starts, same, "left_anti")).select("day", "_part").distinct()
+        changed = materialise(changed, "changed")
+        if changed.isEmpty():
+            return done
+        few = small_side(changed)
+        again = _from_open(live.join(few, ["day", "_part"], "left_semi"), carry.join(few, ["day", "_part"], "left_semi"), cap)
+        done = materialise(done.join(few, ["day", "_part"], "left_anti").unionByName(again), "replayed")
+        began = starts
+
+
+REPLAYED = "day {}, _part int, _at long, rid {}, amount long, decision string"
+
+
+def _from_open(live: DataFrame, carry: DataFrame | None, cap: int) -> DataFrame:
+    """Decisions of each range, from the reservations open at its start that `carry` says."""
+    rows = live.select("day", "_part", "_at", "kind", "rid", "amount", "spent")
+    if carry is not None:
+        rows = rows.unionByName(carry.select(
+            "day", "_part", F.lit(-1).cast("long").alias("_at"), F.lit("open").alias("kind"), "rid", "amount", F.lit(0).cast("long").alias("spent")
+        ))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, flight = None, {}, 0  # open reservations; the cap bounds them
+        for batch in batches:
             out = []
-            rows = zip(*(pdf[c].tolist() for c in ("day", "kind", "rid", "amount")))
-            for today, kind, rid, amount in rows:
-                if state is None or today != day:
-                    day, state = today, _Day(cap)
-                if kind == "reserve":
-                    out.append(state.reserve(rid, amount))
+            for day, part, place, kind, rid, amount, spent in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (day, part):
+                    at, held, flight = (day, part), {}, 0
+                if kind == "settle":
+                    flight -= held.pop(rid, 0)
+                elif kind == "reserve" and spent + flight + amount > cap:
+                    out.append((day, part, place, rid, amount, "busy"))
                 else:
-                    out.append(state.settle(rid, amount))
-            yield pdf.assign(decision=out)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ops.schema)
-    ordered = ops.repartition("day").sortWithinPartitions("day", "us", "seq")
-    return ordered.select(*names).mapInPandas(run, f"{schema}, decision string")
+                    flight += amount - held.get(rid, 0)
+                    held[rid] = amount
+                    if kind == "reserve":
+                        out.append((day, part, place, rid, amount, "accepted"))
+            if out:
+                yield _rows(out, batch.schema)
+
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("day", "rid")]
+    ordered = rows.repartition("day", "_part").sortWithinPartitions("day", "_part", "_at")
+    return materialise(ordered.mapInArrow(run, REPLAYED.format(*kinds)), "replay")
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    names = ["day", "_part", "_at", "rid", "amount", "decision"]
+    kinds = [schema.field(n).type if n in schema.names else pa.string() for n in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def day_totals(log: DataFrame, cap: int, floor: int) -> DataFrame:

@@ -909,7 +909,7 @@ def visitor_keys(spark: SparkSession, d: str) -> DataFrame:
 @query
 def spend_log(spark: SparkSession, d: str) -> DataFrame:
     found = spend.spend_log(fx.spend_ops(spark, d), fx.SPEND_CAP)
-    return found.select("day", "seq", "kind", "amount", "decision")
+    return found.select("day", "seq", "kind", "amount", "decision", F.col("spent").alias("spent_after"))
 
 
 @query

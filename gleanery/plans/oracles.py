@@ -411,7 +411,7 @@ CTES["spend_walk"] = f"""spend_walk AS (SELECT day, 0::BIGINT AS n, 0::BIGINT AS
             WHEN w.closed THEN 'paused' WHEN w.spent + o.amount > {SPEND_CAP} THEN 'closes'
             WHEN w.spent + w.flight + o.amount > {SPEND_CAP} THEN 'busy' ELSE 'accepted' END
         FROM spend_walk w JOIN ops_n o ON o.day = w.day AND o.n = w.n + 1 JOIN ops r ON r.rid = o.rid AND r.kind = 'reserve')"""
-cte("spent", "SELECT o.day, o.seq, o.kind, o.rid, o.amount, w.decision FROM spend_walk w JOIN ops_n o ON o.day = w.day AND o.n = w.n")
+cte("spent", "SELECT o.day, o.seq, o.kind, o.rid, o.amount, w.decision, w.spent AS spent_after FROM spend_walk w JOIN ops_n o ON o.day = w.day AND o.n = w.n")
 
 
 def _walk(name: str, src: str, limit: int) -> None:
@@ -651,7 +651,7 @@ oracle("limit_rolling", "SELECT key, event_id, admitted FROM adm_w")
 oracle("limit_clicks", "SELECT event_id, admitted FROM clk_w")
 oracle("limit_two_level", "SELECT key, event_id, ok AS retrieved, ok AND reaches AS asked FROM two_w")
 oracle("limit_keys", "SELECT slot, count(DISTINCT key) AS active_keys, count(DISTINCT key) <= 100 AS within_bound FROM (SELECT key, slot FROM slots UNION ALL SELECT key, slot + 1 FROM slots) GROUP BY ALL")
-oracle("spend_log", "SELECT day, seq, kind, amount, decision FROM spent")
+oracle("spend_log", "SELECT day, seq, kind, amount, decision, spent_after FROM spent")
 oracle("spend_days", f"""SELECT *, closed OR spent + 10240000 > {SPEND_CAP} AS resting, {usd('spent')} AS spent_usd FROM (SELECT day, count(*) FILTER (kind = 'reserve' AND decision = 'accepted') AS accepted,
     count(*) FILTER (kind = 'reserve' AND decision <> 'accepted') AS refused, count(*) FILTER (decision = 'settled') AS judged,
     sum(CASE WHEN decision = 'settled' THEN amount ELSE 0 END)::BIGINT AS spent, max(decision = 'closes') AS closed FROM spent GROUP BY ALL)""")

@@ -112,6 +112,35 @@ def test_spend_log_equals_plain_replay(spark):
     assert {"accepted", "busy", "closes", "paused", "settled"} == set(got.values())
 
 
+def test_a_tight_day_is_replayed_in_many_ranges(spark, monkeypatch):
+    """Reservations stay open over range ends, so that ranges begin otherwise than guessed."""
+    rng = random.Random(4)
+    rows, seq = [], 0
+    for rid in range(2000):
+        at, ask = rid * 10, rng.randrange(50, 150)
+        rows.append(("d", at, seq, "reserve", rid, "d", ask))
+        if rng.random() < 0.97:  # some never settle
+            rows.append(("d", at + rng.randrange(200), seq + 1, "settle", rid, "d", ask // 4))
+        seq += 2
+    cap = 45_000
+    df = spark.createDataFrame(rows, "day string, us bigint, seq bigint, kind string, rid bigint, reserved_day string, amount bigint")
+    rounds, once = [], spend._from_open
+
+    def counted(live, carry, cap):
+        rounds.append(live.select("day", "_part").distinct().count())
+        return once(live, carry, cap)
+
+    monkeypatch.setattr(spend, "_from_open", counted)
+    log = spend.spend_log(df.repartition(4), cap, ranges=12).collect()
+    assert {r.seq: r.decision for r in log} == replay(rows, cap)
+    assert {"accepted", "busy", "closes", "paused"} < {r.decision for r in log}
+    assert rounds[0] > 5 and len(rounds) > 1 and sum(rounds) < 12 * 12 / 2
+    spent = 0
+    for r in sorted(log, key=lambda r: (r.us, r.seq)):
+        spent += r.amount if r.kind == "settle" else 0
+        assert r.spent == spent
+
+
 def test_daily_cap_and_reservation(spark):
     assert spend.daily_cap("10") == 10 * 10**9 // 31
     row = spark.range(1).select(spend.reservation(F.lit(100), F.lit(50)).alias("r")).first()
