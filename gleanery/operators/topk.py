@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.session import materialise
+from gleanery.operators.scan import laid_out, running
+from gleanery.session import materialise, small_side
 
 
 def top_k(
@@ -40,65 +41,32 @@ def order_statistics(
     keys: Sequence[str],
     value: str,
     positions: dict[str, Column],
-    bins: int = 1024,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """Exact values at 1-based positions of each group's sorted `value`.
+    """Exact values at 1-based positions of each group's sorted `value`, with the group's n, min and max.
 
-    `positions` maps an output name to a position computed from the column `n`, the group size.
-    Equal values are counted first, then a histogram finds the bin of each position, so that only
-    those bins are sorted: a hot group is never sorted or gathered whole.
+    `positions` maps an output name to a position computed from the column `n`, the group size. Equal values are
+    counted first, map-side. The counts of different values are dealt to ranges of (keys, value) and summed up
+    over the ranges, so that a group of any size and any spread of values, outliers included, lies in many
+    tasks; a position is found in the one range that its running count falls in.
     """
     keys = list(keys)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    span = counted.groupBy(*keys).agg(
-        F.sum("_c").alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
-    )
-    marked = _join(counted, span, keys).withColumn(
-        "_bin",
-        F.when(F.col("_hi") > F.col("_lo"), F.least(
-            F.lit(bins - 1),
-            F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins),
-        )).otherwise(F.lit(0)).cast("int"),
-    )
-    hist = marked.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_bc"))
-    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_bc").over(upto), F.lit(0)))
-    wanted = span.select(
-        *keys,
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(name).alias("name"), pos.cast("bigint").alias("pos"))
-                for name, pos in positions.items()
-            ])
-        ).alias("w"),
-    ).select(*keys, "w.name", "w.pos")
-    target = _join(hist, wanted, keys).filter(
-        (F.col("_before") < F.col("pos")) & (F.col("pos") <= F.col("_before") + F.col("_bc"))
-    ).select(*keys, "_bin", "_before", "name", "pos")
-    inside = marked.join(target.select(*keys, "_bin").distinct(), [*keys, "_bin"], "left_semi")
-    run = Window.partitionBy(*keys, "_bin").orderBy(value)
-    inside = inside.select(
-        *keys, "_bin", F.col(value).alias("_v"),
-        F.sum("_c").over(run.rowsBetween(Window.unboundedPreceding, 0)).alias("_to"),
-        "_c",
-    )
-    hit = inside.join(target, [*keys, "_bin"]).filter(
-        (F.col("_before") + F.col("_to") - F.col("_c") < F.col("pos"))
-        & (F.col("pos") <= F.col("_before") + F.col("_to"))
-    )
-    found = hit.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in positions
-    ])
-    return _join(span.select(*keys, "n", F.col("_lo").alias("min"), F.col("_hi").alias("max")),
-                 found, keys)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    stored = laid_out(counted, keys, ["_v"], ranges=ranges)
+    span = stored.groupBy(*keys).agg(F.sum("_c").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), pos.cast("bigint").alias("pos")) for name, pos in positions.items()])
+    wanted = span.select(*keys, F.explode(wanted).alias("w")).select(*keys, "w.name", "w.pos")
+    summed = running(stored, keys, {"_to": ("sum", F.col("_c"))})
+    hit = _join(summed, small_side(wanted), keys).filter((F.col("_to") - F.col("_c") < F.col("pos")) & (F.col("pos") <= F.col("_to")))
+    found = hit.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in positions])
+    return _join(span, found, keys)
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """On the keys; without keys `right` has a row or a few, and goes to all tasks."""
     if keys:
         return left.join(right, keys)
-    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return left.withColumn("_one", F.lit(1)).join(F.broadcast(right.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 def nearest_rank(quantile: float) -> Column:

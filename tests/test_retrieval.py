@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.operators import calibration, dense, fusion, sweep, topk
 from gleanery.plans import retrieve as rt
@@ -70,6 +71,27 @@ def test_dense_ranking_with_ties_and_several_blocks(spark, monkeypatch):
             assert files[qid, at] == (p, -d)
 
 
+def test_order_statistics_with_an_extreme_outlier(spark, monkeypatch):
+    """One huge value doesn't put the rest of its group together: it lies in many ranges, whatever the values."""
+    rng = np.random.default_rng(2)
+    values = [*rng.integers(0, 10**6, 1500).tolist(), 10**15]
+    other = rng.integers(0, 50, 200).tolist()
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", v) for v in other] + [("b", None), ("c", None)], "k string, v bigint")
+    laid = []
+    once = topk.laid_out
+    monkeypatch.setattr(topk, "laid_out", lambda *a, **b: laid.append(once(*a, **b)) or laid[-1])
+    positions = {"first": F.lit(1), "middle": F.floor((F.col("n") + 1) / 2), "last": F.col("n"), "beyond": F.col("n") + 1}
+    got = {r.k: r for r in topk.order_statistics(df.repartition(3), ["k"], "v", positions, ranges=10).collect()}
+    assert set(got) == {"a", "b"}
+    for k, own in (("a", sorted(values)), ("b", sorted(other))):
+        assert (got[k].n, got[k]["min"], got[k]["max"]) == (len(own), own[0], own[-1])
+        assert (got[k].first, got[k].middle, got[k].last, got[k].beyond) == (own[0], own[(len(own) + 1) // 2 - 1], own[-1], None)
+    most = laid[0].filter("k = 'a'").groupBy("_part").count().agg(F.max("count")).first()[0]
+    assert most < len(set(values)) / 4
+    whole = topk.order_statistics(df, [], "v", {"last": F.col("n")}).collect()
+    assert [(r.n, r.last) for r in whole] == [(len(values) + len(other), 10**15)]
+
+
 def test_order_statistics_and_numbers(spark):
     rng = random.Random(2)
     rows = [("hot" if i % 3 else f"k{i % 5}", float(rng.choice([1, 2, 2, 3, rng.randrange(90)]))) for i in range(900)]
