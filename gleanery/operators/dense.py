@@ -1,8 +1,9 @@
-"""Exact dense ranking: int8 vectors against a block of queries, pruned where the vectors are.
+"""Exact dense ranking: int8 vectors against blocks of queries, pruned where the vectors are.
 
-No pair of passage and query is ever shuffled. A task multiplies its vectors by a bounded block of
-queries and keeps, per query, only what can still be in the top k; the few survivors are merged.
-Larger question sets are done block by block, each in its own pass.
+No pair of passage and query is ever shuffled. The queries are written as packed blocks and the vectors packed into
+chunks where they lie; Spark brings every chunk together with every block, by a broadcast of as many blocks at a
+time as its bound allows. A task multiplies chunk by block and keeps, per query, only what can still be in the top
+k of what it has seen; the survivors are merged in slices, then together. Nothing passes through the driver's Python.
 """
 
 from __future__ import annotations
@@ -13,14 +14,20 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.scan import laid_out, running
 from gleanery.operators.topk import top_k
-from gleanery.session import at_most
+from gleanery.session import at_most, materialise
 
+#: Queries of a block, vectors of a chunk, and blocks that are broadcast together (of 384 components: 100 MB).
 BLOCK_QUERIES = 2048
 CHUNK_ROWS = 4096
+BLOCKS_AT_ONCE = 128
+#: Parts in which survivors of one query are merged first, where more tasks than this find some.
+SLICES = 32
 EXACT_FLOAT32 = 1 << 24  # integers below this are exact in single precision
 
 
@@ -38,24 +45,83 @@ def _multiply(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.rint(left.astype(kind) @ right.astype(kind).T).astype(np.int64)
 
 
-def query_blocks(queries: DataFrame, block: int = BLOCK_QUERIES) -> list[DataFrame]:
-    """The questions in pieces of bounded size. Usually one; the count reads no further than that."""
-    if at_most(queries, block):
-        return [queries]
-    pieces = -(-queries.count() * 2 // block)
-    bucket = F.pmod(F.xxhash64("qid"), F.lit(pieces))
-    return [queries.filter(bucket == i) for i in range(pieces)]
+def query_blocks(queries: DataFrame, extra: tuple[str, ...] = ()) -> list[DataFrame]:
+    """Tables of packed blocks (block, asked: qid, embedding and `extra` of each query), each small enough to broadcast.
+
+    A batch that fits one block is packed as it is; others are numbered by running counts, so that every block but
+    the last is full.
+    """
+    if at_most(queries, BLOCK_QUERIES):
+        one = F.sort_array(F.collect_list(F.struct(F.lit(0).cast("long").alias("_n"), "qid", "embedding", *extra)))
+        return [queries.agg(one.alias("asked")).filter(F.size("asked") > 0).select(F.lit(0).alias("block"), "asked")]
+    stored = laid_out(queries.select("qid", "embedding", *extra), [], ["qid"])
+    numbered = running(stored, [], {"_n": ("sum", F.lit(1).cast("long"))})
+    packed = numbered.groupBy(F.floor((F.col("_n") - 1) / BLOCK_QUERIES).cast("int").alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("_n", "qid", "embedding", *extra))).alias("asked")  # BLOCK_QUERIES at most
+    )
+    packed = materialise(packed, "query-blocks")
+    passes = -(-packed.count() // BLOCKS_AT_ONCE)
+    return [packed.filter(F.floor(F.col("block") / BLOCKS_AT_ONCE) == k) for k in range(passes)]
+
+
+class _Block:
+    """A block of queries in a task: ids, vectors, and the best k-th dots seen so far."""
+
+    def __init__(self, asked: pa.StructArray) -> None:
+        self.ids = asked.field("qid")
+        lists = asked.field("embedding")
+        self.vectors = _matrix(lists, len(lists.flatten()) // len(lists))
+        self.asked, self.floor = asked, _no_floor(len(asked))
+
+
+def _packed(vectors: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """The vectors as (chunk, rows: order columns and embedding), each chunk sorted by `order`."""
+    fields = [f"{c}: {vectors.schema[c].dataType.simpleString()}" for c in (*order, "embedding")]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHUNK_ROWS):
+                piece = batch.slice(start, CHUNK_ROWS)
+                piece = _in_order(piece, order) if order else piece
+                rows = pa.StructArray.from_arrays(piece.columns, names=piece.schema.names)
+                lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), lists], names=["chunk", "rows"])
+                number += 1
+
+    return vectors.select(*order, "embedding").mapInArrow(pack, f"chunk long, rows array<struct<{', '.join(fields)}>>")
 
 
-def _load(queries: DataFrame, extra: tuple[str, ...] = ()) -> tuple[list, np.ndarray, list]:
-    rows = queries.select("qid", "embedding", *extra).orderBy("qid").collect()
-    vectors = np.array([r["embedding"] for r in rows], dtype=np.int8)
-    return [r["qid"] for r in rows], vectors, [tuple(r[c] for c in extra) for r in rows]
+def _slices(vectors: DataFrame) -> int:
+    return SLICES if vectors.rdd.getNumPartitions() > SLICES else 1
 
 
-def _over_blocks(queries: DataFrame, one: Callable[[DataFrame], DataFrame | None]) -> DataFrame | None:
-    parts = [p for p in map(one, query_blocks(queries)) if p is not None]
-    return reduce(DataFrame.unionByName, parts) if parts else None
+#: What a task does with a chunk (rows, its matrix) and a block, and the columns of what it yields.
+Score = Callable[[pa.StructArray, np.ndarray, _Block], Iterator[list[pa.Array]]]
+
+
+def _met(vectors: DataFrame, queries: DataFrame, order: tuple[str, ...], schema: str, score: Score, extra: tuple[str, ...] = ()) -> DataFrame:
+    """What `score` yields for every chunk of vectors with every block of queries."""
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, _Block] = {}
+        chunk, rows, matrix = None, None, None
+        for batch in batches:
+            for k, (own, number) in enumerate(zip(batch.column("chunk").to_pylist(), batch.column("block").to_pylist())):
+                if own != chunk:
+                    chunk, rows = own, batch.column("rows")[k].values
+                    lists = rows.field("embedding")
+                    matrix = _matrix(lists, len(lists.flatten()) // max(len(lists), 1))
+                if number not in blocks:
+                    blocks[number] = _Block(batch.column("asked")[k].values)
+                for columns in score(rows, matrix, blocks[number]):
+                    if len(columns[0]):
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    chunks = _packed(vectors, order)
+    parts = [chunks.crossJoin(F.broadcast(blocks)).mapInArrow(scan, schema) for blocks in query_blocks(queries, extra)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _in_order(batch: pa.RecordBatch, columns: tuple[str, ...]) -> pa.RecordBatch:
@@ -93,39 +159,20 @@ def _qid_type(queries: DataFrame) -> str:
 def passage_dense(vectors: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
     """(qid, path, line_start, dot, rank): best passages by (-dot, path, line_start)."""
 
-    def one(block: DataFrame) -> DataFrame:
-        qids, matrix, _ = _load(block)
-        shared = vectors.sparkSession.sparkContext.broadcast((qids, matrix))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, right = shared.value
-            floor = _no_floor(len(ids))
-            for batch in batches:
-                for start in range(0, batch.num_rows if len(ids) else 0, CHUNK_ROWS):
-                    piece = _in_order(batch.slice(start, CHUNK_ROWS), ("path", "line_start"))
-                    dots = _multiply(_matrix(piece.column("embedding"), right.shape[1]), right)
-                    row, col = _survivors(dots, depth, floor)
-                    yield _emit(piece, ids, row, col, dots[row, col])
-
-        fields = vectors.select("path", "line_start", "embedding")
-        schema = f"qid {_qid_type(queries)}, path string, line_start bigint, dot bigint"
-        return fields.mapInArrow(scan, schema)
-
-    found = _over_blocks(queries, one)
+    def score(rows: pa.StructArray, matrix: np.ndarray, block: _Block) -> Iterator[list[pa.Array]]:
+        dots = _multiply(matrix, block.vectors)
+        row, col = _survivors(dots, depth, block.floor)
+        yield _emit(rows, block, row, col, dots[row, col])
+
+    schema = f"qid {_qid_type(queries)}, path string, line_start bigint, dot bigint"
+    found = _met(vectors, queries, ("path", "line_start"), schema, score)
     order = [F.desc("dot"), F.asc("path"), F.asc("line_start")]
-    return top_k(found, ["qid"], order, depth)
-
-
-def _emit(piece: pa.RecordBatch, ids: list, row: np.ndarray, col: np.ndarray, dots: np.ndarray):
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(ids).take(pa.array(col)),
-            piece.column("path").take(pa.array(row)),
-            piece.column("line_start").take(pa.array(row)).cast(pa.int64()),
-            pa.array(dots),
-        ],
-        names=["qid", "path", "line_start", "dot"],
-    )
+    return top_k(found, ["qid"], order, depth, slices=_slices(vectors))
+
+
+def _emit(rows: pa.StructArray, block: _Block, row: np.ndarray, col: np.ndarray, dots: np.ndarray) -> list[pa.Array]:
+    at = pa.array(row)
+    return [block.ids.take(pa.array(col)), rows.field("path").take(at), rows.field("line_start").take(at).cast(pa.int64()), pa.array(dots)]
 
 
 def file_dense(vectors: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
@@ -135,63 +182,28 @@ def file_dense(vectors: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
     the top `depth` of the chunk that holds its best passage, so cutting each chunk there is exact.
     """
 
-    def one(block: DataFrame) -> DataFrame:
-        qids, matrix, _ = _load(block)
-        shared = vectors.sparkSession.sparkContext.broadcast((qids, matrix))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, right = shared.value
-            floor = _no_floor(len(ids))
-            for batch in batches:
-                for start in range(0, batch.num_rows if len(ids) else 0, CHUNK_ROWS):
-                    piece = _in_order(batch.slice(start, CHUNK_ROWS), ("path",))
-                    dots = _multiply(_matrix(piece.column("embedding"), right.shape[1]), right)
-                    runs = pc.run_end_encode(piece.column("path"))
-                    ends = runs.run_ends.to_numpy(zero_copy_only=False)
-                    best = np.maximum.reduceat(dots, np.r_[0, ends[:-1]], axis=0)
-                    row, col = _survivors(best, depth, floor)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ids).take(pa.array(col)),
-                            runs.values.take(pa.array(row)),
-                            pa.array(best[row, col]),
-                        ],
-                        names=["qid", "path", "dot"],
-                    )
-
-        schema = f"qid {_qid_type(queries)}, path string, dot bigint"
-        return vectors.select("path", "embedding").mapInArrow(scan, schema)
-
-    found = _over_blocks(queries, one)
+    def score(rows: pa.StructArray, matrix: np.ndarray, block: _Block) -> Iterator[list[pa.Array]]:
+        runs = pc.run_end_encode(rows.field("path"))
+        ends = runs.run_ends.to_numpy(zero_copy_only=False)
+        best = np.maximum.reduceat(_multiply(matrix, block.vectors), np.r_[0, ends[:-1]], axis=0)
+        row, col = _survivors(best, depth, block.floor)
+        yield [block.ids.take(pa.array(col)), runs.values.take(pa.array(row)), pa.array(best[row, col])]
+
+    found = _met(vectors, queries, ("path",), f"qid {_qid_type(queries)}, path string, dot bigint", score)
     best = found.groupBy("qid", "path").agg(F.max("dot").alias("dot"))
-    return top_k(best, ["qid"], [F.desc("dot"), F.asc("path")], depth)
+    return top_k(best, ["qid"], [F.desc("dot"), F.asc("path")], depth, slices=_slices(vectors))
 
 
 def top_similarity(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, top_dot): the best dot product over every passage."""
 
-    def one(block: DataFrame) -> DataFrame:
-        qids, matrix, _ = _load(block)
-        shared = vectors.sparkSession.sparkContext.broadcast((qids, matrix))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, right = shared.value
-            best: np.ndarray | None = None
-            for batch in batches:
-                for start in range(0, batch.num_rows if len(ids) else 0, CHUNK_ROWS):
-                    piece = batch.slice(start, CHUNK_ROWS)
-                    dots = _multiply(_matrix(piece.column("embedding"), right.shape[1]), right)
-                    top = dots.max(axis=0)
-                    best = top if best is None else np.maximum(best, top)
-            if best is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(best)], names=["qid", "top_dot"]
-                )
-
-        schema = f"qid {_qid_type(queries)}, top_dot bigint"
-        return vectors.select("embedding").mapInArrow(scan, schema)
-
-    found = _over_blocks(queries, one)
+    def score(rows: pa.StructArray, matrix: np.ndarray, block: _Block) -> Iterator[list[pa.Array]]:
+        best = _multiply(matrix, block.vectors).max(axis=0)
+        better = np.flatnonzero(best > block.floor)
+        block.floor[better] = best[better]
+        yield [block.ids.take(pa.array(better)), pa.array(best[better])]
+
+    found = _met(vectors, queries, (), f"qid {_qid_type(queries)}, top_dot bigint", score)
     return found.groupBy("qid").agg(F.max("top_dot").alias("top_dot"))
 
 
@@ -206,34 +218,21 @@ def within_files(
     lists = chosen.groupBy("qid").agg(F.collect_set("path").alias("paths"))
     asked = queries.select("qid", "embedding").join(lists, "qid")
 
-    def one(block: DataFrame) -> DataFrame:
-        qids, matrix, extra = _load(block, ("paths",))
-        wanted: dict[str, list[int]] = {}
-        for i, (paths,) in enumerate(extra):
-            for path in paths:
-                wanted.setdefault(path, []).append(i)
-        shared = vectors.sparkSession.sparkContext.broadcast((qids, matrix, wanted))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, right, targets = shared.value
-            floors = {path: _no_floor(len(cols)) for path, cols in targets.items()}
-            for batch in batches:
-                for start in range(0, batch.num_rows if len(ids) else 0, CHUNK_ROWS):
-                    piece = _in_order(batch.slice(start, CHUNK_ROWS), ("path", "line_start"))
-                    runs = pc.run_end_encode(piece.column("path"))
-                    ends = [0, *runs.run_ends.to_pylist()]
-                    dense = _matrix(piece.column("embedding"), right.shape[1])
-                    for lo, hi, path in zip(ends, ends[1:], runs.values.to_pylist()):
-                        if path not in targets:
-                            continue
-                        cols = np.array(targets[path])
-                        dots = _multiply(dense[lo:hi], right[cols])
-                        row, col = _survivors(dots, depth, floors[path])
-                        yield _emit(piece, ids, row + lo, cols[col], dots[row, col])
-
-        fields = vectors.select("path", "line_start", "embedding")
-        schema = f"qid {_qid_type(queries)}, path string, line_start bigint, dot bigint"
-        return fields.mapInArrow(scan, schema)
-
-    found = _over_blocks(asked, one)
-    return top_k(found, ["qid", "path"], [F.desc("dot"), F.asc("line_start")], depth)
+    def score(rows: pa.StructArray, matrix: np.ndarray, block: _Block) -> Iterator[list[pa.Array]]:
+        if not hasattr(block, "targets"):
+            block.targets, block.floors = {}, {}
+            for k, paths in enumerate(block.asked.field("paths").to_pylist()):
+                for path in paths:
+                    block.targets.setdefault(path, []).append(k)
+        runs = pc.run_end_encode(rows.field("path"))
+        ends = [0, *runs.run_ends.to_pylist()]
+        for lo, hi, path in zip(ends, ends[1:], runs.values.to_pylist()):
+            if path in block.targets:
+                cols = np.array(block.targets[path])
+                dots = _multiply(matrix[lo:hi], block.vectors[cols])
+                row, col = _survivors(dots, depth, block.floors.setdefault(path, _no_floor(len(cols))))
+                yield _emit(rows, block, row + lo, cols[col], dots[row, col])
+
+    schema = f"qid {_qid_type(queries)}, path string, line_start bigint, dot bigint"
+    found = _met(vectors, asked, ("path", "line_start"), schema, score, ("paths",))
+    return top_k(found, ["qid", "path"], [F.desc("dot"), F.asc("line_start")], depth, slices=_slices(vectors))

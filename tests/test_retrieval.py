@@ -57,7 +57,11 @@ def test_dense_ranking_with_ties_and_several_blocks(spark, monkeypatch):
     asked = [(q, rows[q * 31][2]) for q in range(20)]
     queries = spark.createDataFrame(asked, "qid bigint, embedding array<tinyint>")
     monkeypatch.setattr(dense, "CHUNK_ROWS", 16)
-    monkeypatch.setattr(dense, "query_blocks", lambda q: [q.filter("qid % 2 = 0"), q.filter("qid % 2 = 1")])
+    monkeypatch.setattr(dense, "BLOCK_QUERIES", 6)
+    monkeypatch.setattr(dense, "BLOCKS_AT_ONCE", 2)
+    monkeypatch.setattr(dense, "SLICES", 2)  # the survivors of five tasks are merged in two parts first
+    blocks = dense.query_blocks(queries)
+    assert [sorted(len(r.asked) for r in b.collect()) for b in blocks] == [[6, 6], [2, 6]]
     got = {(r.qid, r["rank"]): (r.path, r.line_start, r.dot) for r in dense.passage_dense(df, queries, 7).collect()}
     files = {(r.qid, r["rank"]): (r.path, r.dot) for r in dense.file_dense(df, queries, 3).collect()}
     for qid, vector in asked:
@@ -69,6 +73,17 @@ def test_dense_ranking_with_ties_and_several_blocks(spark, monkeypatch):
             best[p] = min(d, best.get(p, 10**9))
         for at, (d, p) in enumerate(sorted((d, p) for p, d in best.items())[:3], 1):
             assert files[qid, at] == (p, -d)
+    top = {r.qid: r.top_dot for r in dense.top_similarity(df, queries).collect()}
+    assert top == {q: max(int(np.dot(v, w)) for _, _, w in rows) for q, v in asked}
+    chosen = [(q, f"f{q % 5}") for q in range(20)] + [(3, "f0"), (4, "none")]
+    inside = dense.within_files(df, queries, spark.createDataFrame(chosen, "qid bigint, path string"), 4)
+    inside = {(r.qid, r.path, r["rank"]): (r.line_start, r.dot) for r in inside.collect()}
+    want = {}
+    for q, path in chosen:
+        dots = sorted((-int(np.dot(asked[q][1], v)), n) for p, n, v in rows if p == path)[:4]
+        want |= {(q, path, at): (n, -d) for at, (d, n) in enumerate(dots, 1)}
+    assert inside == want
+    assert dense.passage_dense(df, queries.limit(0), 3).collect() == []
 
 
 def test_order_statistics_with_an_extreme_outlier(spark, monkeypatch):
