@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import random
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.words import body_text
@@ -21,6 +19,9 @@ from gleanery.params import (
 )
 from gleanery.session import materialise, small_side
 
+#: Files drawn for a question before the first ones fill up.
+DRAWS = 64
+
 
 def eligible(passages: DataFrame) -> DataFrame:
     """(path, line_start, terms): passages with at least one body term, terms distinct and sorted."""
@@ -29,15 +30,24 @@ def eligible(passages: DataFrame) -> DataFrame:
     return passages.select("path", "line_start", terms.alias("terms")).filter(F.size("terms") > 0)
 
 
-def draws(n_files: int, queries: int = CALIBRATION_QUERIES, seed: int = CALIBRATION_SEED) -> list:
-    """(query, file number, two fractions): how many words, from which files. Needs only a count."""
-    rng = random.Random(seed)
-    out = []
-    for i in range(queries):
-        length = rng.choice(CALIBRATION_LENGTHS)
-        for number in rng.sample(range(n_files), length):
-            out.append((i, number + 1, rng.random(), rng.random()))
-    return out
+def draw(*parts: Column | str, bound: Column, seed: int = CALIBRATION_SEED) -> Column:
+    """A number below `bound` from a counter: 60 bits of the hash of seed and parts, so that SQL draws the same."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint") % bound
+
+
+def picks(spark: SparkSession, n_files: int, queries: int = CALIBRATION_QUERIES) -> DataFrame:
+    """(qid, slot, number): which files the words of each question come from, all different, numbered from 1.
+
+    DRAWS files are drawn, repeats passed over; should too few be different, the first files fill up.
+    """
+    lengths = F.array(*map(F.lit, CALIBRATION_LENGTHS))
+    slots = F.sequence(F.lit(0), F.lit(DRAWS - 1))
+    drawn = F.transform(slots, lambda j: draw("file", F.col("qid"), j, bound=F.lit(n_files)) + 1)
+    fill = F.sequence(F.lit(1).cast("bigint"), F.lit(min(n_files, max(CALIBRATION_LENGTHS))).cast("bigint"))
+    length = F.element_at(lengths, (draw("length", F.col("qid"), bound=F.lit(len(CALIBRATION_LENGTHS))) + 1).cast("int"))
+    files = F.slice(F.array_distinct(F.concat(drawn, fill)), F.lit(1), length)
+    return spark.range(queries).select(F.col("id").alias("qid")).select("qid", F.posexplode(files).alias("slot", "number"))
 
 
 def null_questions(passages: DataFrame, queries: int = CALIBRATION_QUERIES) -> DataFrame | None:
@@ -46,23 +56,19 @@ def null_questions(passages: DataFrame, queries: int = CALIBRATION_QUERIES) -> D
     Eligible passages are numbered globally in (path, line_start) order, so a file is a range of
     numbers and a drawn passage is one number: no file is ever listed, however large.
     """
-    spark = passages.sparkSession
     ordered = materialise(numbered(eligible(passages), ["path", "line_start"], "at"), "eligible")
     files = ordered.groupBy("path").agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("n"))
     files = materialise(numbered(files, ["path"], "number"), "eligible-files")
     n_files = files.count()
     if n_files < max(CALIBRATION_LENGTHS):
         return None
-    schema = "qid bigint, number bigint, u double, v double"
-    picks = spark.createDataFrame(draws(n_files, queries), schema)
-    placed = files.join(F.broadcast(picks), "number").select(
-        "qid", "v", (F.col("start") + F.floor(F.col("u") * F.col("n"))).alias("at")
-    )
-    words = ordered.join(small_side(placed), "at").select(
-        "qid",
-        F.element_at("terms", (F.floor(F.col("v") * F.size("terms")) + 1).cast("int")).alias("w"),
+    drawn = picks(passages.sparkSession, n_files, queries)
+    # at most five rows for each question, of which there are as many as `queries` says
+    placed = files.join(F.broadcast(drawn), "number").select(
+        "qid", "slot", (F.col("start") + draw("passage", F.col("qid"), F.col("slot"), bound=F.col("n"))).alias("at")
     )
-    # At most five words per question.
+    at = draw("word", F.col("qid"), F.col("slot"), bound=F.size("terms")) + 1
+    words = ordered.join(small_side(placed), "at").select("qid", F.element_at("terms", at.cast("int")).alias("w"))
     return words.groupBy("qid").agg(
         F.array_join(F.array_sort(F.collect_set("w")), " ").alias("question")
     )

@@ -680,12 +680,18 @@ def calibrate_offtopic(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def calibrate_nulls(spark: SparkSession, d: str) -> DataFrame:
-    """The word-salad threshold; its draws come from a seeded generator, so there is no SQL."""
+    """The word-salad threshold."""
     index = fx.index_of(spark, d)
     salads = calibration.null_questions(index.table("passages"))
     return calibration.quantile_of_best(index.table("vectors"), rt.embedded(index, salads))
 
 
+@query
+def null_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The word salads themselves: counted draws of files, passages and words."""
+    return calibration.null_questions(fx.index_of(spark, d).table("passages"))
+
+
 # --- earlier methods ----------------------------------------------------------------------------
 
 

@@ -8,7 +8,8 @@ import re
 from gleanery.functions import porter as pt
 from gleanery.functions.words import STOP_TERMS
 from gleanery.operators import service as sv
-from gleanery.params import DEFAULT_LIMITS, PROMPT_ID, PROMPT_SHA256
+from gleanery.operators.calibration import DRAWS
+from gleanery.params import CALIBRATION_LENGTHS, CALIBRATION_QUANTILE, CALIBRATION_QUERIES, CALIBRATION_SEED, DEFAULT_LIMITS, PROMPT_ID, PROMPT_SHA256
 from gleanery.plans.fixtures import SPEND_CAP
 
 STOP = ", ".join(f"'{w}'" for w in STOP_TERMS)
@@ -361,6 +362,27 @@ cte("md_words", f"""SELECT path, line_start, unnest({kept_words('body')}) AS w,
     UNION ALL SELECT path, line_start, unnest({kept_words("regexp_replace(path, '[.][^./]*$', '')")}), 1 FROM md_body""")
 cte("md_terms", f"SELECT path, line_start, {S_STEM} AS term, sum(weight)::BIGINT AS tf FROM md_words GROUP BY ALL")
 
+# --- word salads --------------------------------------------------------------------------------------
+
+
+def drawn(bound: str, *parts: str) -> str:
+    return f"(('0x' || left(sha256('{CALIBRATION_SEED}:' || {" || ':' || ".join(parts)}), 15))::UBIGINT::BIGINT % ({bound}))"
+
+
+cte("el", "SELECT *, row_number() OVER (ORDER BY path, line_start) AS spot FROM (SELECT path, line_start, list(DISTINCT term ORDER BY term) AS terms FROM raw_words JOIN stems USING (word) GROUP BY ALL)")
+cte("el_files", "SELECT *, row_number() OVER (ORDER BY path) AS number FROM (SELECT path, min(spot) AS start, count(*) AS n FROM el GROUP BY ALL)")
+cte("sal_drawn", f"""SELECT i AS qid, j, {drawn('SELECT count(*) FROM el_files', "'file'", 'i', 'j')} + 1 AS number FROM range({CALIBRATION_QUERIES}) a(i), range({DRAWS}) b(j)
+    UNION ALL SELECT i, {DRAWS} + j, j + 1 FROM range({CALIBRATION_QUERIES}) a(i), range({max(CALIBRATION_LENGTHS)}) b(j)""")
+cte("sal_picks", f"""SELECT qid, number, row_number() OVER (PARTITION BY qid ORDER BY j) - 1 AS slot, [{', '.join(map(str, CALIBRATION_LENGTHS))}][{drawn(str(len(CALIBRATION_LENGTHS)), "'length'", 'qid')} + 1] AS length
+    FROM (SELECT qid, number, min(j) AS j FROM sal_drawn GROUP BY ALL)""")
+cte("sal_words", f"""SELECT p.qid, e.terms[{drawn('len(e.terms)', "'word'", 'p.qid', 'p.slot')} + 1] AS w FROM sal_picks p JOIN el_files f USING (number)
+    JOIN el e ON e.spot = f.start + {drawn('f.n', "'passage'", 'p.qid', 'p.slot')} WHERE p.slot < p.length""")
+cte("salads", "SELECT qid, string_agg(w, ' ' ORDER BY w) AS question FROM (SELECT DISTINCT qid, w FROM sal_words) GROUP BY ALL")
+_vec("salads", "qid", "question", "sv")
+cte("sal_dot", "SELECT qid, doc_id, sum(q.b * d.b)::BIGINT AS dot FROM sv_q q JOIN dv_q d USING (slot) GROUP BY ALL")
+cte("sal_best", """SELECT qid, CASE WHEN count(doc_id) < (SELECT count(*) FROM documents) THEN greatest(coalesce(max(dot), 0), 0) ELSE max(dot) END / 16129.0::DOUBLE AS best
+    FROM salads LEFT JOIN sal_dot USING (qid) GROUP BY ALL""")
+
 # --- the index of the Markdown files ------------------------------------------------------------------
 
 cte("mf_words", f"""SELECT path, unnest({kept_words('text')}) AS w FROM md_body
@@ -534,6 +556,8 @@ oracle("bag_markdown", "SELECT path, line_start, term, sum(tf) OVER (PARTITION B
 oracle("corpus_statistics", "SELECT 'passage' AS unit, n AS n_bags, total AS total_dl, round(total / n, 6) AS avgdl FROM p_stat UNION ALL SELECT 'file', n, total, round(total / n, 6) FROM f_stat")
 oracle("document_frequency", "SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) AS idf FROM p_df CROSS JOIN p_stat")
 oracle("eligible_passages", "SELECT path, count(DISTINCT line_start) AS passages, count(*) AS terms FROM (SELECT DISTINCT path, line_start, term FROM raw_words JOIN stems USING (word)) GROUP BY ALL")
+oracle("null_questions", "SELECT * FROM salads")
+oracle("calibrate_nulls", f"SELECT round(list(best ORDER BY best)[ceil({CALIBRATION_QUANTILE} * count(*))::BIGINT], 6) AS tau, count(*) AS n FROM sal_best")
 oracle("bm25_passages", "SELECT qid, path, line_start, round(score, 6) AS score, rank FROM p_lex WHERE rank <= 100")
 oracle("bm25_files", "SELECT qid, path, round(score, 6) AS score, rank FROM f_lex WHERE rank <= 100")
 oracle("rrf_files", "SELECT qid, path, round(score, 9) AS score FROM fused")
