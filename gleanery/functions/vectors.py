@@ -52,6 +52,14 @@ def base64_text(vector: Column) -> Column:
     return F.translate(F.base64(F.unhex(F.array_join(pairs, ""))), "\r\n", "")
 
 
+def vector_of(text: Column, dim: int) -> Column:
+    """The signed bytes of a base64 text; null unless it is base64 of exactly `dim` bytes."""
+    raw = F.try_to_binary(text, F.lit("base64"))
+    value = lambda at: F.conv(F.hex(F.substring(raw, at, 1)), 16, 10).cast("int")
+    signed = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda at: F.when(value(at) > 127, value(at) - 256).otherwise(value(at)).cast("tinyint"))
+    return F.when(F.octet_length(raw) == dim, signed)
+
+
 def model_words(text: Column) -> Column:
     """Word characters and underscores, lower-cased: what the offline embedder counts."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))

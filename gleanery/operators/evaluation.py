@@ -252,3 +252,14 @@ def result_faults(results: DataFrame) -> DataFrame:
     return each.select("qid", F.explode(faults).alias("fault"))
 
 
+def key_entries(key: DataFrame, entries: DataFrame) -> DataFrame:
+    """A sample key (run_id, set, qid) with the fields of the entries it names; `found` is false where no set has it."""
+    named = entries.withColumn("_there", F.lit(True))
+    return key.join(named, ["set", "qid"], "left").withColumn("found", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
+def commit_faults(questions: DataFrame, commit: str) -> DataFrame:
+    """(set, pinned, indexed, questions) of each set of `questions` (set, pinned) that the index's commit doesn't fit."""
+    return questions.filter(~F.col("pinned").eqNullSafe(F.lit(commit))).groupBy("set", "pinned").agg(
+        F.count(F.lit(1)).alias("questions")
+    ).withColumn("indexed", F.lit(commit))

@@ -212,6 +212,15 @@ def vec_base64(spark: SparkSession, d: str) -> DataFrame:
     return fx.vectors(spark, d).select(F.col("line_start").alias("vec_id"), b64.alias("b64"))
 
 
+@query
+def vec_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Base64 back to bytes: whole, cut short, and not base64 at all."""
+    rows = fx.vectors(spark, d).select(F.col("line_start").alias("vec_id"), "embedding", vec.base64_text(F.col("embedding")).alias("b64"))
+    dim = len(rows.first()["embedding"])
+    text = F.when(F.col("vec_id") % 7 == 3, F.substring("b64", 1, 8)).when(F.col("vec_id") % 7 == 5, F.concat(F.lit("?"), "b64")).otherwise(F.col("b64"))
+    return rows.select("vec_id", F.array_join(vec.vector_of(text, dim), ",").alias("packed"))
+
+
 @query
 def vec_hashed(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.index_of(spark, d).table("vectors")
@@ -550,6 +559,24 @@ def sample_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def key_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The sample key joined with the entries it names, and every third key entry with one that no set has."""
+    key = evaluation.derive_sample(_ranked(spark, d)).select(
+        "run_id", F.concat(F.lit("set-"), F.col("set_index").cast("string")).alias("set"),
+        F.when(F.substring("run_id", -1, 1) == "3", F.col("qid") + 1_000_000).otherwise(F.col("qid")).alias("qid"),
+    )
+    return evaluation.key_entries(key, fx.labelled(spark, d)).select("run_id", "set", "qid", "found", "answerable", "hard_negative")
+
+
+@query
+def commit_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Question sets that were pinned to another commit than the index was built from."""
+    pinned = F.when(F.col("set_index") == 2, "1" * 40).otherwise("0" * 40)
+    sets = fx.labelled(spark, d).select("set", pinned.alias("pinned"))
+    return evaluation.commit_faults(sets, fx.index_of(spark, d).meta.commit)
+
+
 def _gate(spark: SparkSession, d: str) -> DataFrame:
     q = fx.labelled(spark, d)
     kind = F.when(F.col("answerable"), "answerable").when(F.col("hard_negative"), "hostile").otherwise("unanswerable")
@@ -964,6 +991,22 @@ def service_gates(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.coalesce(service.request_refusal(), F.lit("ok")).alias("refusal"))
 
 
+@query
+def service_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn through all gates: question, allowance, spend, retrieval, reservation, judge; outcome and status."""
+    n = F.col("conv_id") + F.col("turn")
+    rows = fx.table(spark, d, "conversations").select(
+        "conv_id", "turn", service.question_refusal(F.col("text")).alias("refusal"), (n % 7 != 1).alias("allowed"),
+        (n % 11 != 2).alias("open"), (n % 13 != 3).alias("found"), (n % 5 != 4).alias("reserved"),
+        ver.verdict_token(fx.reply_of(n, F.col("text"))).alias("token"),
+    )
+    outcome = service.final_outcome()
+    return rows.select(
+        "conv_id", "turn", outcome.alias("outcome"), service.status_of(outcome).cast("bigint").alias("status"),
+        outcome.isin(*service.ADMITTED).alias("admitted"),
+    )
+
+
 @query
 def usage_counts(spark: SparkSession, d: str) -> DataFrame:
     log = fx.events(spark, d)

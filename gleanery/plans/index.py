@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.functions.vectors import base64_text, hashed_embedding
+from gleanery.functions.embedder import Embedder, hashed
+from gleanery.functions.vectors import base64_text
 from gleanery.functions.words import model_text
 from gleanery.operators import lexical
+from gleanery.operators.scan import laid_out, running
 from gleanery.params import DEFAULT_RANK, RankParams
 from gleanery.plans.postings import write_postings
 from gleanery.session import materialise, scratch_path
@@ -74,6 +78,11 @@ class Index:
     root: str
     meta: Meta
     params: RankParams = DEFAULT_RANK
+    embedder: Embedder = hashed(DEFAULT_RANK.embedding.dim)
+
+    def __post_init__(self) -> None:
+        if self.embedder.dim != self.params.embedding.dim:
+            raise IndexMismatch(f"the embedder has {self.embedder.dim} components, the index {self.params.embedding.dim}")
 
     def table(self, name: str) -> DataFrame:
         schema = TABLES[name] if name != "passages" else PASSAGES
@@ -86,11 +95,6 @@ class Index:
         return found, getattr(self.meta, f"{unit}_buckets")
 
 
-def embed_text(text: Column, dim: int) -> Column:
-    """The offline embedder. A model port takes its place by the same signature."""
-    return hashed_embedding(dim)(text)
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores on a table that arrives in fewer splits; at scale the splits are plenty."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -107,12 +111,14 @@ def build_index(
     counters: dict[str, int] | None = None,
     skipped: DataFrame | None = None,
     root: str | None = None,
+    embedder: Embedder | None = None,
 ) -> Index:
     """Write every table of the index below a fresh directory, then open it.
 
     Postings lie in buckets of terms, a bucket with a frequent term in several files (`write_postings`).
     """
     spark = passages.sparkSession
+    embedder = embedder or hashed(params.embedding.dim)
     root = root or scratch_path(spark, "index")
     fields = [F.col(f.name).cast(f.dataType) for f in PASSAGES.fields]
     spread(passages.select(*fields), "path", "line_start").write.parquet(f"{root}/passages")
@@ -127,7 +133,7 @@ def build_index(
         lexical.document_frequency(postings).write.parquet(f"{root}/{unit}_vocabulary")
     text = model_text(F.col("text"), F.col("heading_path"))
     stored.select(
-        "path", "line_start", embed_text(text, params.embedding.dim).alias("embedding")
+        "path", "line_start", embedder.passage(text).alias("embedding")
     ).write.parquet(f"{root}/vectors")
     if skipped is None:
         skipped = spark.createDataFrame([], TABLES["skipped"])
@@ -140,7 +146,7 @@ def build_index(
         by_passage["n_bags"], by_passage["avgdl"], by_file["n_bags"], by_file["avgdl"],
         **(counters or {}), **buckets,
     )
-    return write_meta(Index(spark, root, meta, params))
+    return write_meta(Index(spark, root, meta, params, embedder))
 
 
 def write_meta(index: Index, **changes: float | None) -> Index:
@@ -152,8 +158,10 @@ def write_meta(index: Index, **changes: float | None) -> Index:
     return replace(index, meta=meta)
 
 
-def open_index(spark: SparkSession, root: str, params: RankParams = DEFAULT_RANK) -> Index:
-    """Read the meta row and refuse an index built with other parameters."""
+def open_index(
+    spark: SparkSession, root: str, params: RankParams = DEFAULT_RANK, embedder: Embedder | None = None
+) -> Index:
+    """Read the meta row and refuse an index built with other parameters. Questions need the embedder it was built with."""
     rows = spark.read.schema(TABLES["meta"]).parquet(f"{root}/meta").limit(2).collect()
     if len(rows) != 1:
         raise IndexMismatch(f"{root} has no single meta row")
@@ -164,7 +172,7 @@ def open_index(spark: SparkSession, root: str, params: RankParams = DEFAULT_RANK
     }}
     if shared != json.loads(json.dumps(expected)):
         raise IndexMismatch("the index was built with different retrieval parameters")
-    return Index(spark, root, Meta(**rows[0].asDict()), params)
+    return Index(spark, root, Meta(**rows[0].asDict()), params, embedder or hashed(params.embedding.dim))
 
 
 def fingerprint(table: DataFrame) -> DataFrame:
@@ -193,9 +201,60 @@ def canonical_lines(index: Index) -> DataFrame:
     ).orderBy("path", "line_start")
 
 
+LEAF_LINES = 1024
+
+
+def digest_tree(lines: DataFrame, order: Sequence[str], line: str = "line", leaf: int = LEAF_LINES) -> tuple[str, int]:
+    """(root hash, lines) of a table of lines in an order, whatever partitions it lies in.
+
+    Lines are numbered by running counts; each `leaf` of them are hashed together, each `leaf` of those hashes again,
+    up to one. No task has more than `leaf` lines of a node, and the driver sees the root alone.
+    """
+    stored = laid_out(lines.withColumn("_hash", F.sha2(F.col(line), 256)), [], order, ["_hash"])
+    level = running(stored, [], {"_n": ("sum", F.lit(1).cast("long"))}).select((F.col("_n") - 1).alias("_n"), "_hash")
+    count = stored.count()
+    n = count
+    while True:
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_hash"))), lambda x: x["_hash"]), "\n")
+        level = level.groupBy(F.floor(F.col("_n") / leaf).alias("_n")).agg(F.sha2(joined, 256).alias("_hash"))
+        n = -(-n // leaf)
+        if n <= 1:
+            root = level.first()
+            return (root["_hash"] if root else hashlib.sha256(b"").hexdigest()), count
+        level = materialise(level, "digests")
+
+
+def export(index: Index, path: str) -> tuple[str, int]:
+    """Write the canonical lines as sorted text parts below a new path; (root hash, lines)."""
+    lines = canonical_lines(index)
+    lines.select("line").write.text(path)
+    return digest_tree(lines, ["path", "line_start"])
+
+
 def publish(index: Index, pointer: str) -> str:
-    """Point a small text file at a complete index: readers switch in one step."""
-    index.spark.createDataFrame([(index.root,)], "root string").coalesce(1).write.mode(
-        "overwrite"
-    ).text(pointer)
-    return hashlib.sha256(index.root.encode()).hexdigest()
+    """Point a small text file at a complete index, in one step for readers: the pointer is written beside its place
+    and renamed over it by the file system, so that at any moment one whole pointer is there. Returns the digest of
+    the index's lines, which stands in the pointer too."""
+    spark = index.spark
+    digest, _ = digest_tree(canonical_lines(index), ["path", "line_start"])
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new = jvm.org.apache.hadoop.fs.Path(f"{pointer}.{uuid.uuid4().hex}")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf) if new.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(conf)
+    out = new.getFileSystem(conf).create(new)
+    out.write(bytearray(json.dumps({"digest": digest, "root": index.root}, sort_keys=True).encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(new, jvm.org.apache.hadoop.fs.Path(pointer), over)
+    return digest
+
+
+def published(spark: SparkSession, pointer: str, params: RankParams = DEFAULT_RANK, embedder: Embedder | None = None) -> Index:
+    """The index that a pointer names now."""
+    return open_index(spark, json.loads(spark.read.text(pointer).first()[0])["root"], params, embedder)
+
+
+def require_commit(index: Index, pinned: str) -> None:
+    """A question set counts only against the commit its line numbers were taken from."""
+    if index.meta.commit != pinned:
+        raise IndexMismatch(f"the questions are pinned to {pinned}, the index was built from {index.meta.commit}")

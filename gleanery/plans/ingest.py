@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.embedder import Embedder
 from gleanery.functions.vectors import model_words
 from gleanery.functions.words import model_text
 from gleanery.operators import calibration
@@ -25,6 +26,7 @@ def run_ingest(
     offtopic: Sequence[str] = (),
     params: RankParams = DEFAULT_RANK,
     root: str | None = None,
+    embedder: Embedder | None = None,
 ) -> Index:
     """Split, index and calibrate. The sections are written once; counters are aggregates of them."""
     split = materialise(sections(files), "sections")
@@ -39,7 +41,7 @@ def run_ingest(
         "empty_dropped": counted["empty"],
         "truncated": counted["truncated"],
     }
-    index = build_index(split.filter("kept"), repo, commit, params, counters, skipped, root)
+    index = build_index(split.filter("kept"), repo, commit, params, counters, skipped, root, embedder)
     return calibrate(index, offtopic)
 
 

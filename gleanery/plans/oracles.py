@@ -545,6 +545,7 @@ cte("unit", """SELECT vec_id, label, CASE WHEN norm > 0 THEN list_transform(e, l
 cte("ev", "SELECT vec_id, 'label-' || label AS path, list_transform(u, lambda x: greatest(-127, least(127, round_even(x * 127, 0)))::BIGINT) AS b FROM unit")
 oracle("vec_quantise", "SELECT vec_id, array_to_string(b, ',') AS packed, round(list_reduce(list_transform(b, lambda x: x / 127.0::DOUBLE), lambda a, x: a + x, 0.0::DOUBLE), 9) AS total FROM ev")
 oracle("vec_base64", "SELECT vec_id, to_base64(unhex(array_to_string(list_transform(b, lambda x: printf('%02X', (x + 256) % 256)), ''))) AS b64 FROM ev")
+oracle("vec_decode", "SELECT vec_id, CASE WHEN vec_id % 7 NOT IN (3, 5) THEN array_to_string(b, ',') END AS packed FROM ev")
 oracle("vec_hashed", "SELECT d.doc_id, coalesce(sum(b * (slot + 1)), 0)::BIGINT AS moment, coalesce(sum(b * b), 0)::BIGINT AS square FROM documents d LEFT JOIN dv_q USING (doc_id) GROUP BY ALL")
 cte("edot", "SELECT q.vec_id AS qid, v.path, v.vec_id AS line_start, list_dot_product(q.b::DOUBLE[], v.b::DOUBLE[])::BIGINT AS dot FROM ev q CROSS JOIN ev v")
 oracle("dense_passages", "SELECT * FROM (SELECT qid, path, line_start, dot, row_number() OVER (PARTITION BY qid ORDER BY dot DESC, path, line_start) AS rank FROM edot) WHERE rank <= 5")
@@ -715,6 +716,15 @@ oracle("transcript_totals", """SELECT count(*) AS spawns, coalesce(sum(peak), 0)
     FROM matched WHERE run_id IN (SELECT run_id FROM abatch)""")
 oracle("sink_verdicts", f"SELECT qid, '[[verdict]]' || {NL} || 'id = \"' || qid || '\"' || {NL} || 'verdict = \"' || token || '\"' || {NL} || 'input_sha256 = \"' || input_sha256 || '\"' || {NL} AS text FROM payloads JOIN verdicts USING (qid)")
 oracle("sink_toml", "SELECT doc_id, sha256(replace(to_json(text || '\"\\' || chr(127) || chr(9))::VARCHAR, chr(127), '\\u007f')) AS digest FROM documents")
+cte("key_q", """SELECT run_id, 'set-' || set_index AS "set", CASE WHEN right(run_id, 1) = '3' THEN qid + 1000000 ELSE qid END AS qid FROM sample""")
+oracle("key_entries", """SELECT k.run_id, k."set", k.qid, l.qid IS NOT NULL AS found, l.answerable, l.hard_negative FROM key_q k LEFT JOIN labelled l ON l."set" = k."set" AND l.qid = k.qid""")
+oracle("commit_faults", f"""SELECT "set", repeat('1', 40) AS pinned, '{COMMIT}' AS indexed, count(*) AS questions FROM labelled WHERE set_index = 2 GROUP BY ALL""")
+cte("gated", f"""SELECT c.conv_id, c.turn, c.conv_id + c.turn AS n, f.refusal, v.token FROM conversations c
+    JOIN ({SQL['flt_question']}) f ON f.conv_id = c.conv_id AND f.turn = c.turn JOIN ({SQL['verdict_parse']}) v ON v.conv_id = c.conv_id AND v.turn = c.turn""")
+cte("ended", """SELECT conv_id, turn, CASE WHEN refusal <> 'ok' THEN refusal WHEN n % 7 = 1 THEN 'rate_limited' WHEN n % 11 = 2 THEN 'paused'
+    WHEN n % 13 = 3 THEN 'unusable_question' WHEN n % 5 = 4 THEN 'paused' WHEN token = 'ANSWERABLE' THEN 'answer' WHEN token = 'NOT_ANSWERABLE' THEN 'no_confident_match' ELSE 'judge_error' END AS outcome FROM gated""")
+oracle("service_outcomes", """SELECT conv_id, turn, outcome, CASE WHEN outcome IN ('answer', 'no_confident_match') THEN 200 WHEN outcome = 'judge_error' THEN 502 WHEN outcome = 'rate_limited' THEN 429
+    WHEN outcome IN ('paused', 'service_off') THEN 503 WHEN outcome = 'body_too_large' THEN 413 ELSE 400 END::BIGINT AS status, outcome IN ('answer', 'no_confident_match', 'judge_error') AS admitted FROM ended""")
 oracle("sink_key", f"SELECT run_id, '[' || run_id || ']' || {NL} || 'set = \"set-' || set_index || '\"' || {NL} || 'id = \"' || qid || '\"' || {NL} AS text FROM sample")
 _RES = "(((3500 + strlen(text) + 64) * 2000 + 1024 * 10000) * 2)"
 oracle("limit_reservation", f"SELECT doc_id, {_RES}::BIGINT AS reserved, {usd(_RES)} AS usd FROM documents")

@@ -11,7 +11,7 @@ from gleanery.functions.words import squeeze_space
 from gleanery.operators import dense, lexical
 from gleanery.operators.fusion import rrf
 from gleanery.operators.topk import top_k
-from gleanery.plans.index import Index, embed_text
+from gleanery.plans.index import Index
 from gleanery.plans.postings import bucket_of
 from gleanery.session import materialise, small_side
 
@@ -34,8 +34,7 @@ def unsearchable(questions: DataFrame) -> DataFrame:
 
 def embedded(index: Index, questions: DataFrame) -> DataFrame:
     """(qid, embedding) of each question."""
-    dim = index.params.embedding.dim
-    return questions.select("qid", embed_text(F.col("question"), dim).alias("embedding"))
+    return questions.select("qid", index.embedder.query(F.col("question")).alias("embedding"))
 
 
 def _weights(index: Index, questions: DataFrame, unit: str, bags: int, buckets: int) -> DataFrame:
