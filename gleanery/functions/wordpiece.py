@@ -88,13 +88,6 @@ def token_ids(vocabulary: Sequence[str]) -> Callable[[Column], Column]:
     return ids
 
 
-def single_input(content: Column, cls: int, sep: int, max_tokens: int = 512) -> Column:
-    """[CLS] content [SEP], content cut to fit."""
-    return F.concat(
-        F.array(F.lit(cls)), F.slice(content, 1, max_tokens - 2), F.array(F.lit(sep))
-    )
-
-
 def pair_input(
     question: Column, passage: Column, cls: int, sep: int,
     max_tokens: int = 512, max_question: int = 64,

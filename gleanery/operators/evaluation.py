@@ -11,6 +11,7 @@ from gleanery.params import (
     ANSWERABLE,
     BEST_SCORE_THRESHOLD,
     JUDGE_ERROR,
+    NOTHING,
     NOT_ANSWERABLE,
     REQUIRED_PERCENT,
 )
@@ -49,7 +50,11 @@ def outcomes(ranked: DataFrame, top: DataFrame) -> DataFrame:
         ))
     )
     label = F.when(~F.col("answerable"), "DIAG").when(hit, "HIT").otherwise("MISS")
-    return ranked.join(top, "qid").select("qid", label.alias("label"), detail.alias("detail"))
+    # a question that nothing was searched for stays in the report
+    lost = F.col("top_score").isNull()
+    return ranked.join(top, "qid", "left").select(
+        "qid", F.when(lost, "ERROR").otherwise(label).alias("label"), F.when(lost, NOTHING).otherwise(detail).alias("detail")
+    )
 
 
 def report_lines(results: DataFrame) -> DataFrame:
@@ -70,11 +75,12 @@ def eval_score(ranked: DataFrame) -> DataFrame:
 
 
 def judge_rows(ranked: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(qid, verdict, expected, agreement) beside the question fields."""
+    """(qid, verdict, expected, agreement) beside the question fields; a question without verdict is a judge error."""
     token = F.col("verdict")
     hit = F.col("rank").isNotNull()
     want = F.when(~F.col("answerable"), NOT_ANSWERABLE).when(hit, ANSWERABLE)
-    return ranked.join(verdicts.select("qid", "verdict"), "qid").select(
+    judged = ranked.join(verdicts.select("qid", "verdict"), "qid", "left").withColumn("verdict", F.coalesce("verdict", F.lit(JUDGE_ERROR)))
+    return judged.select(
         "qid", "answerable", "hard_negative", "rank", "verdict",
         F.when(~F.col("answerable"), "abstain")
         .when(hit, F.format_string("show (right file rank %d)", "rank"))

@@ -185,12 +185,17 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def day_totals(log: DataFrame, cap: int, floor: int) -> DataFrame:
-    """(day, accepted, refused, judged, spent, closed, resting): one row per UTC day."""
+    """(day, accepted, refused, judged, tokens_in, tokens_out, spent, closed, resting): one row per UTC day. Tokens are
+    those of settled calls, as far as they are known."""
     is_reserve = F.col("kind") == "reserve"
     totals = log.groupBy("day").agg(
         F.count_if(is_reserve & (F.col("decision") == "accepted")).alias("accepted"),
         F.count_if(is_reserve & (F.col("decision") != "accepted")).alias("refused"),
         F.count_if(F.col("decision") == "settled").alias("judged"),
+        *[
+            F.coalesce(F.sum(F.when(F.col("decision") == "settled", F.col(c))), F.lit(0)).alias(c)
+            for c in ("tokens_in", "tokens_out") if c in log.columns
+        ],
         F.sum(F.when(F.col("decision") == "settled", F.col("amount")).otherwise(0)).alias("spent"),
         F.max(F.col("decision") == "closes").alias("closed"),
     )

@@ -15,7 +15,6 @@ CALIBRATION_SEED = 20260926
 CALIBRATION_QUERIES = 2000
 CALIBRATION_LENGTHS = (2, 3, 4, 5)
 CALIBRATION_QUANTILE = 0.9
-MIN_OFFTOPIC = 50
 REQUIRED_PERCENT = 80
 TOP_OF_FILE = "(top of file)"
 BLOCK_ID = "Q1"
@@ -25,6 +24,7 @@ BEST_SCORE_THRESHOLD = 0.67
 ANSWERABLE = "ANSWERABLE"
 NOT_ANSWERABLE = "NOT_ANSWERABLE"
 JUDGE_ERROR = "JUDGE_ERROR"
+NOTHING = "nothing to search for"
 
 
 @dataclass(frozen=True)

@@ -114,19 +114,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spend_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reserve per event and, up to half an hour later and so at times on the next day, its settle."""
     calls = events(spark, sf_dir).select(
-        F.col("event_id").alias("rid"), "us", F.date_format("ts", "yyyy-MM-dd").alias("reserved_day"),
+        F.col("event_id").alias("rid"), "us",
         F.floor(F.col("value") * 100).cast("bigint").alias("size"), "k",
     )
     late = F.col("us") + (F.col("k") % 31) * MINUTE
     both = F.array(
         F.struct(F.col("us").alias("us"), (F.col("rid") * 2).alias("seq"), F.lit("reserve").alias("kind"),
-                 (F.col("size") * 2000 + 10_240_000).alias("amount")),
+                 (F.col("size") * 2000 + 10_240_000).alias("amount"),
+                 F.lit(None).cast("bigint").alias("tokens_in"), F.lit(None).cast("bigint").alias("tokens_out")),
         F.struct(late.alias("us"), (F.col("rid") * 2 + 1).alias("seq"), F.lit("settle").alias("kind"),
-                 (F.col("size") * 1000 + 730_000).alias("amount")),
+                 (F.col("size") * 1000 + 730_000).alias("amount"),
+                 F.col("size").alias("tokens_in"), F.lit(73).cast("bigint").alias("tokens_out")),
     )
     day = F.date_format(F.timestamp_micros("o.us"), "yyyy-MM-dd").alias("day")
-    return calls.select("rid", "reserved_day", F.explode(both).alias("o")).select(
-        day, "o.us", "o.seq", "o.kind", "rid", "reserved_day", "o.amount"
+    return calls.select("rid", F.explode(both).alias("o")).select(
+        day, "o.us", "o.seq", "o.kind", "rid", "o.amount", "o.tokens_in", "o.tokens_out"
     )
 
 

@@ -12,7 +12,7 @@ from gleanery.functions.vectors import model_words
 from gleanery.functions.words import model_text
 from gleanery.operators import calibration
 from gleanery.operators.sections import sections
-from gleanery.params import DEFAULT_RANK, MIN_OFFTOPIC, SENTINEL_THRESHOLD, RankParams
+from gleanery.params import DEFAULT_RANK, SENTINEL_THRESHOLD, RankParams
 from gleanery.plans.index import Index, build_index, write_meta
 from gleanery.plans.retrieve import embedded
 from gleanery.session import materialise
@@ -61,17 +61,6 @@ def calibrate(index: Index, offtopic: Sequence[str] = ()) -> Index:
     )
 
 
-def warnings(index: Index, offtopic: Sequence[str]) -> list[str]:
-    out = []
-    if index.meta.tau_salad == SENTINEL_THRESHOLD:
-        out.append("fewer than 5 files have searchable text; threshold set to 1000000.0")
-    if not offtopic:
-        out.append("no off-topic calibration list configured")
-    elif len(offtopic) < MIN_OFFTOPIC:
-        out.append(f"off-topic list has {len(offtopic)} questions; {MIN_OFFTOPIC} are expected")
-    return out
-
-
 def ingest_report(index: Index) -> DataFrame:
     """One row of counters."""
     return index.spark.read.parquet(f"{index.root}/meta").select(

@@ -417,8 +417,8 @@ _shown("mcands", "mcshown", "mp_score", "mdots")
 cte("log", """SELECT user_id::VARCHAR AS key, epoch_us(ts) AS us, event_id, event_type, value, ts,
     json_extract_string(props, '$.k')::BIGINT AS k FROM events""")
 cte("ops_in", """SELECT event_id AS rid, us, strftime(ts, '%Y-%m-%d') AS day, floor(value * 100)::BIGINT AS size, k FROM log""")
-cte("ops", """SELECT day, us, rid * 2 AS seq, 'reserve' AS kind, rid, size * 2000 + 10240000 AS amount FROM ops_in
-    UNION ALL SELECT strftime(make_timestamp(us + (k % 31) * 60000000), '%Y-%m-%d'), us + (k % 31) * 60000000, rid * 2 + 1, 'settle', rid, size * 1000 + 730000 FROM ops_in""")
+cte("ops", """SELECT day, us, rid * 2 AS seq, 'reserve' AS kind, rid, size * 2000 + 10240000 AS amount, NULL::BIGINT AS tokens_in, NULL::BIGINT AS tokens_out FROM ops_in
+    UNION ALL SELECT strftime(make_timestamp(us + (k % 31) * 60000000), '%Y-%m-%d'), us + (k % 31) * 60000000, rid * 2 + 1, 'settle', rid, size * 1000 + 730000, size, 73 FROM ops_in""")
 cte("ops_n", "SELECT *, row_number() OVER (PARTITION BY day ORDER BY us, seq) AS n FROM ops")
 CTES["spend_walk"] = f"""spend_walk AS (SELECT day, 0::BIGINT AS n, 0::BIGINT AS spent, 0::BIGINT AS flight, false AS closed, []::BIGINT[] AS open, ''::VARCHAR AS decision
         FROM (SELECT DISTINCT day FROM ops)
@@ -433,7 +433,7 @@ CTES["spend_walk"] = f"""spend_walk AS (SELECT day, 0::BIGINT AS n, 0::BIGINT AS
             WHEN w.closed THEN 'paused' WHEN w.spent + o.amount > {SPEND_CAP} THEN 'closes'
             WHEN w.spent + w.flight + o.amount > {SPEND_CAP} THEN 'busy' ELSE 'accepted' END
         FROM spend_walk w JOIN ops_n o ON o.day = w.day AND o.n = w.n + 1 JOIN ops r ON r.rid = o.rid AND r.kind = 'reserve')"""
-cte("spent", "SELECT o.day, o.seq, o.kind, o.rid, o.amount, w.decision, w.spent AS spent_after FROM spend_walk w JOIN ops_n o ON o.day = w.day AND o.n = w.n")
+cte("spent", "SELECT o.day, o.seq, o.kind, o.rid, o.amount, o.tokens_in, o.tokens_out, w.decision, w.spent AS spent_after FROM spend_walk w JOIN ops_n o ON o.day = w.day AND o.n = w.n")
 
 
 def _walk(name: str, src: str, limit: int) -> None:
@@ -679,6 +679,7 @@ oracle("limit_keys", "SELECT slot, count(DISTINCT key) AS active_keys, count(DIS
 oracle("spend_log", "SELECT day, seq, kind, amount, decision, spent_after FROM spent")
 oracle("spend_days", f"""SELECT *, closed OR spent + 10240000 > {SPEND_CAP} AS resting, {usd('spent')} AS spent_usd FROM (SELECT day, count(*) FILTER (kind = 'reserve' AND decision = 'accepted') AS accepted,
     count(*) FILTER (kind = 'reserve' AND decision <> 'accepted') AS refused, count(*) FILTER (decision = 'settled') AS judged,
+    coalesce(sum(tokens_in) FILTER (decision = 'settled'), 0)::BIGINT AS tokens_in, coalesce(sum(tokens_out) FILTER (decision = 'settled'), 0)::BIGINT AS tokens_out,
     sum(CASE WHEN decision = 'settled' THEN amount ELSE 0 END)::BIGINT AS spent, max(decision = 'closes') AS closed FROM spent GROUP BY ALL)""")
 cte("att", """SELECT event_id AS qid, k, n, CASE (event_id + n) % 7 WHEN 0 THEN 'status_5xx' WHEN 1 THEN 'status_429' WHEN 2 THEN 'timeout' WHEN 3 THEN 'connection' WHEN 4 THEN 'status_4xx' END AS category
     FROM log, (SELECT unnest([1, 2]) AS n)""")

@@ -11,6 +11,7 @@ from gleanery.functions.words import squeeze_space
 from gleanery.operators import dense, lexical
 from gleanery.operators.fusion import rrf
 from gleanery.operators.topk import top_k
+from gleanery.params import NOTHING
 from gleanery.plans.index import Index
 from gleanery.plans.postings import bucket_of
 from gleanery.session import materialise, small_side
@@ -29,7 +30,7 @@ def searchable(questions: DataFrame) -> DataFrame:
 
 def unsearchable(questions: DataFrame) -> DataFrame:
     """(qid, error) of the questions that `searchable` leaves out, so that none is lost unseen."""
-    return questions.filter(~_has_words()).select("qid", F.lit("nothing to search for").alias("error"))
+    return questions.filter(~_has_words()).select("qid", F.lit(NOTHING).alias("error"))
 
 
 def embedded(index: Index, questions: DataFrame) -> DataFrame:

@@ -90,19 +90,6 @@ def verdict_tables(verdicts: DataFrame) -> DataFrame:
     ).alias("text"))
 
 
-def audit_rows(audited: DataFrame) -> DataFrame:
-    """(run_id, text): one Markdown table row per audited transcript."""
-    cell = F.format_string(
-        "| %s%s | %s | %s | %s | %d | %d | %s | %s | %d | %s |",
-        F.coalesce("run_id", F.lit("?")), F.when(F.col("in_batch"), "").otherwise(" (not in batch)"),
-        F.col("agent").cast("string"), F.coalesce("models", F.lit("none")),
-        F.coalesce(F.substring("payload_sha", 1, 16), F.lit("")), "offered", "tool_uses",
-        F.coalesce(F.substring(F.sha2("reply", 256), 1, 16), F.lit("none")), "token", "peak",
-        F.format_number("in_equiv", 0),
-    )
-    return audited.select("run_id", cell.alias("text"))
-
-
 def key_tables(sample: DataFrame) -> DataFrame:
     """(run_id, text): the membership table of each sampled question."""
     return sample.select("run_id", F.concat(

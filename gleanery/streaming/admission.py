@@ -21,13 +21,15 @@ STAMPS = "us bigint"
 class Admission(StatefulProcessor):
     """Admit while fewer than `limit` admitted stamps are younger than the window.
 
-    The state holds at most `limit` stamps per key.
+    The state holds at most `limit` stamps per key, and a timer: when the watermark passes the end of the youngest
+    stamp's window, nothing that can still come is held back by it, and the key leaves the state.
     """
 
     def __init__(self, limit: int, window_us: int) -> None:
         self.limit, self.window_us = limit, window_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.stamps = handle.getListState("stamps", STAMPS)
 
     def handleInputRows(
@@ -42,11 +44,19 @@ class Admission(StatefulProcessor):
             if admitted[-1]:
                 held.append(now)
         self.stamps.put([(s,) for s in held])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held:
+            self.handle.registerTimer((held[-1] + self.window_us) // 1000 + 1)
         yield pd.DataFrame({
             "key": [key[0]] * len(batch), "event_id": batch["event_id"].to_numpy(),
             "us": batch["us"].to_numpy(), "admitted": admitted,
         })
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.stamps.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -60,15 +70,18 @@ def admissions(
     requests: DataFrame,
     limit: int = DEFAULT_LIMITS.admitted_per_hour,
     window_us: int = DEFAULT_LIMITS.window_seconds * MICROS,
+    late: str = "1 hour",
 ) -> DataFrame:
     """Stream of (key, event_id, us, admitted) from a stream of (key, event_id, ts).
 
-    A micro-batch holds the rows of a key in memory; bound its size at the source for hot keys.
+    Requests may come `late` after younger ones; what comes later still is not decided, as in any watermarked
+    stream. A micro-batch holds the rows of a key in memory; bound its size at the source for hot keys.
     """
-    rows = requests.select("key", "event_id", micros(F.col("ts")).alias("us"))
+    timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = timed.select("key", "event_id", micros(F.col("ts")).alias("us"), "ts")
     return rows.groupBy("key").transformWithStateInPandas(
         statefulProcessor=Admission(limit, window_us),
-        outputStructType=OUTPUT, outputMode="Append", timeMode="None",
+        outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime",
     )
 
 

@@ -170,3 +170,52 @@ def test_stream_admits_what_the_batch_admits(spark, sf_dir, tmp_path):
     got = {r.event_id: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = limits.rolling_admission(events.select("key", "us", "event_id"), [limits.Allowance(3)], day)
     assert got == {r.event_id: r.admitted for r in batch.collect()}
+
+
+def test_keys_leave_the_stream_state_when_their_windows_have_passed(spark, tmp_path):
+    admission.use_state_store(spark)
+    hour = 3_600_000_000
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    schema = "key string, event_id bigint, ts timestamp"
+    batches = [
+        [("a", 1, "2024-01-01 00:00:00"), ("a", 2, "2024-01-01 00:10:00"), ("a", 3, "2024-01-01 00:20:00"), ("b", 4, "2024-01-01 00:30:00")],
+        [("c", 5, "2024-01-01 06:00:00")],  # moves the watermark on
+        [("c", 6, "2024-01-01 06:01:00"), ("a", 7, "2024-01-01 06:02:00")],
+        [("c", 8, "2024-01-01 06:03:00")],
+    ]
+
+    def held():
+        rows = spark.read.format("statestore").option("stateVarName", "stamps").option("flattenCollectionTypes", "true").load(state)
+        return sorted((r["key"][0], r["list_element"][0]) for r in rows.collect())
+
+    seen, states = {}, []
+    for part in batches:
+        rows = spark.createDataFrame([(k, i, None) for k, i, _ in part], "key string, event_id bigint, x string")
+        times = F.create_map(*[F.lit(x) for _, i, t in part for x in (i, t)])
+        rows.select("key", "event_id", times[F.col("event_id").cast("int")].cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        query = (
+            admission.admissions(stream, 2, hour, late="10 minutes").writeStream.outputMode("append").format("parquet")
+            .option("path", str(tmp_path / "out")).option("checkpointLocation", state).trigger(availableNow=True).start()
+        )
+        query.awaitTermination(120)
+        states.append({k for k, _ in held()})
+    seen = {r.event_id: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert seen == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: True, 8: False}
+    assert states[0] == {"a", "b"} and "b" not in states[-1] and states[-1] == {"a", "c"}
+    assert len(held()) == 3  # of a only the stamp of its new window
+
+
+def test_usage_by_day_as_a_stream(spark, tmp_path):
+    rows = [("2024-01-01 10:00:00", "answer"), ("2024-01-01 11:00:00", "no_confident_match"), ("2024-01-01 12:00:00", "judge_error"),
+            ("2024-01-02 10:00:00", "answer"), ("2024-01-09 10:00:00", "answer")]
+    df = spark.createDataFrame(rows, "t string, outcome string").select(F.col("t").cast("timestamp").alias("ts"), "outcome")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, outcome string").parquet(str(tmp_path / "in"))
+    query = (
+        admission.usage_by_day(stream).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(120)
+    got = {r.day: (r.answered, r.refused, r.asked) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"2024-01-01": (1, 1, 2), "2024-01-02": (1, 0, 1)}
