@@ -119,6 +119,8 @@ def _replayed(live: DataFrame, cap: int) -> DataFrame:
     numbered = Window.partitionBy("day").orderBy("_part")
     chain = live.groupBy("day", "_part").agg(F.count(F.lit(1)).alias("_rows"))  # a row for each range of a day
     chain = materialise(chain.select("day", "_part", F.row_number().over(numbered).alias("_i")), "chain")
+    if chain.filter("_i > 1").isEmpty():  # every day lies in one range, which begins with nothing open
+        return _from_open(live, None, cap)
     begins = live.filter("kind = 'reserve'").join(chain, ["day", "_part"]).select("day", "rid", "_at", F.col("_i").alias("_from"))
     ends = live.filter("kind = 'settle'").join(chain, ["day", "_part"]).select("day", "rid", F.col("_at").alias("_end"), F.col("_i").alias("_to"))
     last = chain.groupBy("day").agg(F.max("_i").alias("_last"))
