@@ -19,12 +19,14 @@ WINDOW = 13
 GRAM = 5
 # Everything in ASCII that is no letter or digit separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same for texts that still have capitals.
+UNFOLDED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words(text: Column) -> Column:
+def words(text: Column, separators: str = SEPARATORS) -> Column:
     """The words of a text that is lower-cased already; an empty text has none."""
-    return F.filter(F.split(text, SEPARATORS), lambda x: x != "")
+    return F.filter(F.split(text, separators), lambda x: x != "")
 
 
 def folded(text: Column) -> Column:
@@ -87,7 +89,7 @@ def contamination(
     )
     items = materialise(items, "items")
     lengths = sorted(r[0] for r in items.select("t").distinct().collect())  # thirteen at most
-    n_words = F.size(words(folded(F.col("text"))))
+    n_words = F.size(words(F.col("text"), UNFOLDED))  # counting needs no folding
     if not lengths:
         hits = None
     else:
