@@ -119,7 +119,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_structure_repair": op13_structure_repair,
 }
 
+def _crc32(text: str) -> str:
+    """crc32 of a text of ASCII characters, bit by bit: DuckDB has no such function."""
+    step = "xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: {step})"
+    codes = f"list_transform(string_split({text}, ''), lambda z: unicode(z)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {byte}), 4294967295)"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_prefix_trie": rf"""
+WITH c AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM c)),
+built AS (
+  SELECT i.conv_id, 0 AS part, c.p, c.role, c.text FROM ids i JOIN c ON c.conv_id = i.base AND c.p <= i.h
+  UNION ALL SELECT i.conv_id, 1, c.p, c.role, c.text FROM ids i JOIN c ON c.conv_id = i.conv_id AND c.p > i.h),
+seq AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, p) AS d, text,
+    sha256(length(role)::VARCHAR || ':' || role || text) AS h FROM built),
+pre AS (
+  SELECT conv_id, d, text, string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM seq
+  UNION ALL SELECT conv_id, 0, '', '' FROM ids),
+nodes AS (SELECT k, d, min(conv_id) AS c, count(*) AS n, min(text) AS text FROM pre GROUP BY k, d),
+mem AS (SELECT p.conv_id, p.d, n.c FROM pre p JOIN nodes n ON n.k = p.k AND n.d = p.d),
+ups AS (SELECT n.c, n.d, m.c AS up FROM nodes n JOIN mem m ON m.conv_id = n.c AND m.d = n.d - 1),
+kids AS (SELECT up AS c, d - 1 AS d, count(*) AS n FROM ups GROUP BY ALL),
+own AS (
+  SELECT n.c, n.d, n.n, coalesce(k.n, 0) AS kids,
+    (n.n - 1) * len(regexp_extract_all(n.text, '[^ 	-]+')) AS saved
+  FROM nodes n LEFT JOIN kids k ON k.c = n.c AND k.d = n.d),
+sub AS (
+  SELECT m.c, m.d, count(*) FILTER (o.kids = 0) AS n_leaves, sum(o.saved)::BIGINT AS saved_tokens
+  FROM own o JOIN mem m ON m.conv_id = o.c AND m.d <= o.d GROUP BY ALL),
+last AS (SELECT conv_id, max(d) AS d FROM pre GROUP BY conv_id),
+ends AS (SELECT m.c, m.d, string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) AS ids FROM last l JOIN mem m ON m.conv_id = l.conv_id AND m.d = l.d GROUP BY ALL)
+SELECT o.c AS conv_id, o.d AS depth, u.up AS parent_conv_id, o.n AS n_convs, o.kids AS n_children, s.n_leaves, s.saved_tokens,
+  sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM own o JOIN sub s ON s.c = o.c AND s.d = o.d LEFT JOIN ups u ON u.c = o.c AND u.d = o.d LEFT JOIN ends e ON e.c = o.c AND e.d = o.d
+""",
     "op9_decontaminate": r"""
 WITH folded AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
