@@ -127,7 +127,71 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {byte}), 4294967295)"
 
 
+def _field(state: str, name: str) -> str:
+    return f"struct_extract({state}, '{name}')"
+
+
+def _edit(state: str, cost: str, letter: str, line: str = "''", when: str = "true") -> str:
+    """The best way into a state, one edit longer: cost, audit and repaired lines; null where there is none."""
+    return (
+        f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'c': {_field(state, 'c')} + {cost}, 'a': {_field(state, 'a')} || '{letter}', "
+        f"'o': {_field(state, 'o')} || {line}}} END"
+    )
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}], 'ASC', 'NULLS LAST')[1]"
+
+
+def _repair_sql() -> str:
+    """The repair by a forward programme over whole audits: states are nothing yet, after system, user, assistant."""
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    closed = f"""SELECT *, {_least('s3', _edit('u2', '2', 'I', assistant))} AS u3 FROM (
+      SELECT *, {_least('s2', *(_edit(s, '2', 'I', user) for s in ('s0', 's1', 's3')))} AS u2 FROM ("""
+    keep = lambda s, initial: _edit(s, "late", "K", "own", f"initial = '{initial}' AND NOT must")
+    turn = lambda s, line: _edit(s, "2 + late", "R", f"{line} || text", "NOT must")
+    steps = [
+        [_edit("s0", "3", "D")],
+        [_edit("s1", "3", "D"), keep("s0", "s")],
+        [_edit("u2", "3", "D"), *(f(s) for s in ("s0", "s1", "u3") for f in (lambda x: keep(x, "u"), lambda x: turn(x, user)))],
+        [_edit("u3", "3", "D"), keep("u2", "a"), turn("u2", assistant)],
+    ]
+    none = "CASE WHEN false THEN {'c': 0::BIGINT, 'a': '', 'o': ''} END"
+    key = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    return rf"""
+WITH RECURSIVE dam AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text, k
+  FROM (SELECT *, {_crc32(key)} % 20 AS k FROM conversations) WHERE k <> 0),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial
+  FROM (SELECT conv_id, turn, role, text FROM dam UNION ALL SELECT conv_id, turn, role, text FROM dam WHERE k = 3)),
+f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault,
+    i > 1 AND lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal FROM r),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS s0, {none} AS s1, {none} AS s2, {none} AS s3 FROM ids
+  UNION ALL
+  SELECT conv_id, i, {', '.join(f'{_least(*ways)} AS n{k}' for k, ways in enumerate(steps))} FROM (
+    {closed} SELECT w.s0, w.s1, w.s2, w.s3, f.conv_id, f.i, f.initial, f.text, f.fault IN ('blank', 'duplicate') AS must,
+      CASE WHEN f.fault = 'truncated' THEN 1 ELSE 0 END AS late, chr(10) || f.role || ':' || f.text AS own
+      FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1)))),
+n AS (SELECT conv_id, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY conv_id),
+best AS (SELECT conv_id, {_least('s0', 'u3')} AS b FROM ({closed} SELECT w.* FROM walk w JOIN (
+  SELECT ids.conv_id, coalesce(n.n, 0) AS n FROM ids LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ids.conv_id) e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.n = w.i))))
+SELECT best.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, {_field('b', 'c')}::BIGINT AS cost, {_field('b', 'a')} AS audit, sha256(substr({_field('b', 'o')}, 2)) AS repaired_sha256
+FROM best LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_structure_repair": _repair_sql(),
     "op12_prefix_trie": rf"""
 WITH c AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
@@ -149,7 +213,8 @@ ups AS (SELECT n.c, n.d, m.c AS up FROM nodes n JOIN mem m ON m.conv_id = n.c AN
 kids AS (SELECT up AS c, d - 1 AS d, count(*) AS n FROM ups GROUP BY ALL),
 own AS (
   SELECT n.c, n.d, n.n, coalesce(k.n, 0) AS kids,
-    (n.n - 1) * len(regexp_extract_all(n.text, '[^ 	-]+')) AS saved
+    (n.n - 1) * len(regexp_extract_all(n.text, '[^ 	-
+]+')) AS saved
   FROM nodes n LEFT JOIN kids k ON k.c = n.c AND k.d = n.d),
 sub AS (
   SELECT m.c, m.d, count(*) FILTER (o.kids = 0) AS n_leaves, sum(o.saved)::BIGINT AS saved_tokens
