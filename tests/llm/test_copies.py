@@ -162,6 +162,37 @@ def test_repeated_passages_of_short_lines(spark):
     assert got == repeated_lines(rows)
 
 
+@pytest.mark.parametrize("every", [1, 2, 6, 1_000_000])
+def test_boundaries_do_not_change_what_goes(spark, every):
+    """Passages of many lines, shared whole, in part, within one text and by a third text only."""
+    rng = random.Random(21)
+    passages = [[sentence(rng, rng.choice((2, 5, 9, 26))) for _ in range(25)] for _ in range(6)]
+    rows = []
+    for k in range(36):
+        lines = []
+        for p in rng.sample(passages, rng.choice((1, 2))):
+            a = rng.randrange(0, 20)
+            lines += [sentence(rng, rng.choice((3, 30))), *p[a : a + rng.randrange(1, 25)], sentence(rng, 4)]
+        if k % 9 == 0:
+            lines += lines[2:12] + ["x y"] * 9
+        rows.append((k, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [x for x in r["text"].split("\n") if x] for r in linechunks.dedup_lines(docs, every=every).collect()}
+    assert got == repeated_lines(rows)
+
+
+def test_an_inserted_line_moves_boundaries_next_to_it_only():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 2**63, 400).astype(np.uint64)
+    begins = linechunks.boundaries(h, np.zeros(400, int))
+    changed = np.insert(h, 200, np.uint64(77))
+    after = linechunks.boundaries(changed, np.zeros(401, int))
+    assert (begins[:200] == after[:200]).all() and (begins[201:] == after[202:]).all()
+    assert 30 < begins.sum() < 140
+
+
 def contaminated(rows, items):
     import re
 
