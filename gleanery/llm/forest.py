@@ -139,6 +139,17 @@ def _compare(width: int, least: float):
     return run
 
 
+def _by_given_ids(points: DataFrame) -> DataFrame:
+    """`points` with components that are called by the number of a vector without an id named by given ids."""
+    without = points.filter("own is null").select(F.col("id").alias("component"))
+    if without.isEmpty():
+        return points
+    given = points.join(without, "component", "left_semi").groupBy("component").agg(F.min("own").alias("given"))
+    given = materialise(given.withColumn("renamed", F.lit(True)), "given")
+    component = F.when(F.col("renamed"), F.col("given")).otherwise(F.col("component"))
+    return points.join(small_side(given), "component", "left").withColumn("component", component)
+
+
 def near_vectors(
     vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -146,9 +157,10 @@ def near_vectors(
 
     Vectors link where their cosine is at least `least`. Null vectors, zero vectors, those with null or
     non-finite parts, and those of another length than most link with nothing. One output row for each
-    input row; rows that share an id are different vectors for n_links and one node for components. A
-    row with a null id has its links counted, and the component of its equals, if any; kept is true where
-    the id is its component's. Other columns are ignored.
+    input row; rows that share an id are different vectors for n_links and one node for components. Rows with
+    null ids are vectors like others: they are compared, counted and join components, but never name one;
+    where only such rows are linked the component is null. Kept is true where the id is its component's, and
+    for null ids in such components. Other columns are ignored.
     """
     spark = attach(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -166,12 +178,12 @@ def near_vectors(
     width = first["width"]
     rows = rows.withColumn("vector", F.when(F.size("vector") == width, F.col("vector")))
     points = materialise(
-        rows.filter("vector is not null").groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")),
+        rows.filter("vector is not null").groupBy("vector").agg(F.min("id").alias("own"), F.count(F.lit(1)).alias("weight"))
+        .withColumn("id", F.coalesce("own", F.lit((1 << 63) - 1) - F.xxhash64("vector").bitwiseAND((1 << 61) - 1))),
         "points",
     )
-    named = points.filter("id is not null")
-    total = named.count()
-    sample = named.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow()
+    total = points.count()
+    sample = points.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow()
     trees, _ = grow(_unit(sample["vector"].combine_chunks(), width) if total else np.zeros((0, width)), total)
     sent = spark.sparkContext.broadcast(trees)
 
@@ -184,7 +196,7 @@ def near_vectors(
             )
 
     led = materialise(
-        named.select("id", "weight", "vector").mapInArrow(tidy(lead), "id long, weight long, vector array<double>, leaves array<int>"),
+        points.select("id", "weight", "vector").mapInArrow(tidy(lead), "id long, weight long, vector array<double>, leaves array<int>"),
         "led",
     )
     placed = led.withColumn("leaf", F.explode("leaves"))
@@ -200,12 +212,16 @@ def near_vectors(
     label = components(found.filter("id != reach").select(F.col("id").alias("a"), F.col("reach").alias("b")))
     points = (
         points.join(counts, "id", "left").join(label, "id", "left")
-        .select("vector", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
+        .select(
+            "vector", "id", "own", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"),
+            F.coalesce("component", "id").alias("component"),
+        )
     )
+    points = _by_given_ids(points).select("vector", "n", "component")
     out = rows.join(points, "vector", "left").select(
         "id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component_id")
     )
     return out.select(
         F.col("id").alias(id_col), "n_links", "component_id",
-        F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
     )

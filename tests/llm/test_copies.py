@@ -263,6 +263,27 @@ def test_vectors(spark):
     assert forest.near_vectors(frame.limit(0)).collect() == []
 
 
+def test_vectors_without_ids_are_compared(spark):
+    """They link, count and join components, and never name one."""
+    v, w, x = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [1.0, 0.5, 0.0]
+    y = [1.0, 0.3, 0.0]  # close to w and x only
+    rows = [(7, v), (None, w), (None, [2 * k for k in w]), (None, y), (9, x), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 2.0]), (None, None)]
+    frame = spark.createDataFrame([(n, i, e) for n, (i, e) in enumerate(rows)], "n int, vec_id long, embedding array<double>")
+    unit = [[a / sum(b * b for b in e) ** 0.5 for a in e] if e else None for _, e in rows]
+    links = [
+        (a, b) for a in range(8) for b in range(8)
+        if a != b and unit[a] and unit[b] and sum(p * q for p, q in zip(unit[a], unit[b])) >= 0.95
+    ]
+    root = roots(range(8), links)
+    want = []
+    for k, (i, _) in enumerate(rows):
+        named = [rows[m][0] for m in range(8) if root[m] == root[k] and rows[m][0] is not None]
+        want.append((i, sum(a == k for a, _ in links), min(named, default=None), not named or i == min(named)))
+    got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"] or False) for r in forest.near_vectors(frame).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(w[2] == 7 for w in want) == 5
+
+
 def test_capital_sigma_counts_as_itself(spark):
     """Only A-Z are folded: the lower case of a capital sigma, which depends on what follows it, plays no part."""
     docs = spark.createDataFrame([(1, "ΟΔΟΣ.ΑΒ"), (2, "οδος.αβ"), (3, "x ΟΔΟΣ ΑΒ Y")], "doc_id long, text string")
