@@ -3,7 +3,9 @@
 A text is lower-cased (A-Z) and cut into words of ASCII letters, digits and other scripts. One automaton
 finds every phrase as consecutive whole words. Tags ("SPDX-License-Identifier:" and its kin) are found by
 a second one in the unchanged text; the expression behind a tag is parsed into postfix order and
-evaluated: `and` needs every part, `or` offers a choice, `with` attaches an exception to a licence.
+evaluated: `and` needs every part, `or` offers a choice, `with` attaches an exception to a licence. What the
+expressions of a text leave open is part of the result: the licences that no choice avoids, and whether some
+choice is permissive throughout.
 """
 
 from __future__ import annotations
@@ -52,6 +54,11 @@ IDENTIFIERS = {
     "mit": "mit", "apache-2.0": "apache-2", "gpl-2.0": "gpl-2", "gpl-2.0-only": "gpl-2",
     "gpl-2.0-or-later": "gpl-2", "gpl-3.0": "gpl-3", "gpl-3.0-only": "gpl-3", "gpl-3.0-or-later": "gpl-3",
     "agpl-3.0": "agpl-3", "mpl-2.0": "mpl-2", "bsd-2-clause": "bsd-2", "bsd-3-clause": "bsd-3",
+    "lgpl-2.0": "lgpl", "lgpl-2.0-only": "lgpl", "lgpl-2.0-or-later": "lgpl", "lgpl-2.1": "lgpl", "lgpl-2.1+": "lgpl",
+    "lgpl-2.1-only": "lgpl", "lgpl-2.1-or-later": "lgpl", "lgpl-3.0": "lgpl", "lgpl-3.0-only": "lgpl",
+    "lgpl-3.0-or-later": "lgpl", "gpl-2.0+": "gpl-2", "gpl-3.0+": "gpl-3", "agpl-3.0-only": "agpl-3",
+    "agpl-3.0-or-later": "agpl-3", "epl-1.0": "epl", "epl-2.0": "epl", "cc-by-3.0": "cc-by", "cc-by-sa-3.0": "cc-by-sa",
+    "cc-by-nd-3.0": "cc-by-nd", "cc-by-nd-4.0": "cc-by-nd", "cc-by-nc-3.0": "cc-by-nc",
     "cc-by-4.0": "cc-by", "cc-by-sa-4.0": "cc-by-sa", "cc-by-nc-4.0": "cc-by-nc", "cc0-1.0": "cc0",
 }
 PERMISSIVE = {"mit", "apache-2", "bsd", "bsd-2", "bsd-3", "isc", "cc-by", "cc0"}
@@ -68,6 +75,7 @@ def postfix(expression: str) -> list[str] | None:
     out: list[str] = []
     held: list[str] = []
     operand = False  # whether the last thing read can stand left of an operator
+    exception = False  # whether a plain name must follow
     for token in TOKEN.findall(expression):
         word = token.lower()
         if word in BINDING:
@@ -76,9 +84,9 @@ def postfix(expression: str) -> list[str] | None:
             while held and held[-1] != "(" and BINDING[held[-1]] >= BINDING[word]:
                 out.append(held.pop())
             held.append(word)
-            operand = False
+            operand, exception = False, word == "with"
         elif token == "(":
-            if operand:
+            if operand or exception:
                 return None
             held.append(token)
         elif token == ")":
@@ -93,7 +101,7 @@ def postfix(expression: str) -> list[str] | None:
             if operand:
                 return None
             out.append(token)
-            operand = True
+            operand, exception = True, False
     while held:
         if held[-1] == "(":
             return None
@@ -101,23 +109,25 @@ def postfix(expression: str) -> list[str] | None:
     return out if operand else None
 
 
-def evaluate(order: list[str]) -> tuple[list[str], bool]:
-    """(labels named, whether a permissive choice satisfies the expression) of a postfix expression."""
+def evaluate(order: list[str]) -> tuple[list[str], bool, set[str]]:
+    """(labels named, whether a permissive choice satisfies the expression, labels in every choice)."""
     labels: list[str] = []
-    stack: list[tuple[bool, bool]] = []  # (permissive, is a plain name)
+    stack: list[tuple[bool, frozenset[str]]] = []  # (permissive, labels that no choice avoids)
     for item in order:
         if item in BINDING:
-            (right, _), (left, _) = stack.pop(), stack.pop()
+            (right, needs), (left, has) = stack.pop(), stack.pop()
             if item == "with":
                 labels.pop()  # the exception is no licence
-                stack.append((left, False))
+                stack.append((left, has))
+            elif item == "or":
+                stack.append((left or right, has & needs))
             else:
-                stack.append((left or right if item == "or" else left and right, False))
+                stack.append((left and right, has | needs))
         else:
             label = IDENTIFIERS.get(item.lower(), item.lower())
             labels.append(label)
-            stack.append((label in PERMISSIVE, True))
-    return labels, stack[0][0]
+            stack.append((label in PERMISSIVE, frozenset([label])))
+    return labels, stack[0][0], set(stack[0][1])
 
 
 def _leading(text: str) -> str:
@@ -173,7 +183,7 @@ def scan(text: str) -> dict:
         found.append((seen, label, is_base))
         (base if is_base else more).add(label)
         doubt *= 1 - (BASE_WEIGHT if is_base else MORE_WEIGHT)
-    expressions = []
+    expressions, required = [], set()
     if "dentifier:" in text or "xpression:" in text or "DENTIFIER:" in text or "XPRESSION:" in text:
         low, last = text.translate(_SMALL), -1
         for end, _ in tags.iter(low):
@@ -183,8 +193,9 @@ def scan(text: str) -> dict:
             expression = _leading(text[end + 1 :])
             order = postfix(expression)
             if order:
-                labels, permissive = evaluate(order)
+                labels, permissive, needed = evaluate(order)
                 more.update(labels)
+                required |= needed
                 expressions.append((expression, permissive))
                 doubt *= 1 - TAG_WEIGHT
     starts = [k for k, _, is_base in found if is_base]
@@ -196,6 +207,8 @@ def scan(text: str) -> dict:
         "base_labels": ",".join(sorted(base)),
         "labels": ",".join(sorted(base | more)),
         "score": 1.0 - doubt,
+        "required": ",".join(sorted(required)),
+        "permissive": all(p for _, p in expressions) if expressions else None,
         "places": [{"word": k, "label": label} for k, label, _ in sorted(found)],
         "expressions": [{"expression": e, "permissive": p} for e, p in expressions],
     }
@@ -204,19 +217,22 @@ def scan(text: str) -> dict:
 _SMALL = {i: i + 32 for i in range(65, 91)}
 FIELDS = {
     "n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string",
-    "labels": "string", "score": "double", "places": "array<struct<word:long,label:string>>",
+    "labels": "string", "score": "double", "required": "string", "permissive": "boolean", "places": "array<struct<word:long,label:string>>",
     "expressions": "array<struct<expression:string,permissive:boolean>>",
 }
 ARROW = {
-    "long": pa.int64(), "string": pa.string(), "double": pa.float64(),
+    "long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(),
     FIELDS["places"]: pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())])),
     FIELDS["expressions"]: pa.list_(pa.struct([("expression", pa.string()), ("permissive", pa.bool_())])),
 }
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, places, expressions).
+    """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, required, permissive, places,
+    expressions).
 
+    `required` names the licences that no choice between `or` avoids, over all expressions; `permissive` says
+    whether each has a choice of permissive licences alone, and is null without expressions.
     One output row for each input row, repeated rows and null ids included. A null text is empty: no
     words, no places, empty labels, score 0. Overlapping places all count. A malformed expression
     behind a tag is passed over. Other columns are ignored.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import public_tokenizers
 import pytest
@@ -117,8 +118,11 @@ def test_expressions():
     ]
     for bad in ("", "MIT OR", "AND MIT", "(MIT", "MIT)", "MIT MIT"):
         assert licences.postfix(bad) is None
-    assert licences.evaluate(licences.postfix("GPL-3.0-only OR MIT")) == (["gpl-3", "mit"], True)
-    assert licences.evaluate(licences.postfix("GPL-3.0-only AND MIT")) == (["gpl-3", "mit"], False)
+    assert licences.evaluate(licences.postfix("GPL-3.0-only OR MIT")) == (["gpl-3", "mit"], True, set())
+    assert licences.evaluate(licences.postfix("GPL-3.0-only AND MIT")) == (["gpl-3", "mit"], False, {"gpl-3", "mit"})
+    assert licences.evaluate(licences.postfix("(MIT OR ISC) AND (MIT OR GPL-2.0)"))[1:] == (True, set())
+    assert licences.evaluate(licences.postfix("MIT AND (MIT OR GPL-2.0 WITH x)")) == (["mit", "mit", "gpl-2"], True, {"mit"})
+    assert licences.postfix("MIT WITH (foo OR bar)") is None
 
 
 def test_scan_places():
@@ -130,6 +134,40 @@ def test_scan_places():
     assert tagged["labels"] == "gpl-2,mit" and 0 < tagged["score"] < 1 and tagged["n_base"] == 0
 
 
+def test_scan_tells_choices_from_duties():
+    tag = "SPDX-License-Identifier: "
+    both, either = licences.scan(tag + "MIT AND Apache-2.0"), licences.scan(tag + "MIT OR Apache-2.0")
+    assert both["labels"] == either["labels"] == "apache-2,mit"
+    assert (both["required"], either["required"], both["permissive"]) == ("apache-2,mit", "", True)
+    two = licences.scan(f"{tag}MIT OR GPL-3.0-only\n{tag}LGPL-2.1+\n")
+    assert (two["required"], two["permissive"], two["labels"]) == ("lgpl", False, "gpl-3,lgpl,mit")
+    assert licences.scan("under the mit license")["permissive"] is None
+
+
+def test_base_columns_against_brute_force(spark):
+    rng = random.Random(31)
+    words = ["under", "the", "MIT", "license", "Apache", "version", "2", "cc", "by", "nc", "é", "x1"]
+    whole = ["Under the MIT license", "apache LICENSE version 2", "CC-BY-NC"]
+    rows = []
+    for k in range(300):
+        parts = [rng.choice(whole) if rng.random() < 0.2 else rng.choice(words) for _ in range(rng.randrange(0, 40))]
+        rows.append((k, "".join(p + rng.choice((" ", "\n", ", ", "-", ".")) for p in parts)))
+    rows += [(300, None), (300, "under the mit license " * 5000)]
+    want = []
+    for k, text in rows:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        got = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = [
+            (i, label) for phrase, label in licences.BASE_PHRASES.items() for i in range(len(got))
+            if got[i : i + len(phrase.split())] == phrase.split()
+        ]
+        starts = [i for i, _ in places]
+        want.append((k, len(got), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))))
+    out = licences.license_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    have = [(r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in out.collect()]
+    assert sorted(have, key=str) == sorted(want, key=str)
+
+
 def test_scan_table(odd, none):
     got = licences.license_scan(odd).collect()
     assert len(got) == odd.count()
