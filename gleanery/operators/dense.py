@@ -39,10 +39,12 @@ def _matrix(lists: pa.ListArray, dim: int) -> np.ndarray:
 
 
 def _multiply(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Exact integer products through the fast float kernels."""
+    """Exact integer products through the fast float kernels, in four bytes each where they fit."""
     dim = left.shape[1]
-    kind = np.float32 if dim * 127 * 127 < EXACT_FLOAT32 else np.float64
-    return np.rint(left.astype(kind) @ right.astype(kind).T).astype(np.int64)
+    short = dim * 127 * 127 < EXACT_FLOAT32
+    kind = np.float32 if short else np.float64
+    dots = left.astype(kind) @ right.astype(kind).T
+    return np.rint(dots, out=dots).astype(np.int32 if short else np.int64)
 
 
 def query_blocks(queries: DataFrame, extra: tuple[str, ...] = ()) -> list[DataFrame]:
@@ -65,13 +67,21 @@ def query_blocks(queries: DataFrame, extra: tuple[str, ...] = ()) -> list[DataFr
 
 
 class _Block:
-    """A block of queries in a task: ids, vectors, and the best k-th dots seen so far."""
+    """A block of queries in a task: ids, vectors, and the best k-th dots seen so far.
+
+    Ids and vectors are copies: a view would hold the whole Arrow batch that the block came with."""
 
     def __init__(self, asked: pa.StructArray) -> None:
-        self.ids = asked.field("qid")
+        self.ids = asked.field("qid").take(pa.array(np.arange(len(asked))))
         lists = asked.field("embedding")
-        self.vectors = _matrix(lists, len(lists.flatten()) // len(lists))
-        self.asked, self.floor = asked, _no_floor(len(asked))
+        self.vectors = _matrix(lists, len(lists.flatten()) // len(lists)).copy()
+        self.floor = _no_floor(len(asked))
+        self.targets: dict[str, list[int]] = {}
+        self.floors: dict[str, np.ndarray] = {}
+        if "paths" in asked.type.names:
+            for k, paths in enumerate(asked.field("paths").to_pylist()):
+                for path in paths:
+                    self.targets.setdefault(path, []).append(k)
 
 
 def _packed(vectors: DataFrame, order: tuple[str, ...]) -> DataFrame:
@@ -172,7 +182,7 @@ def passage_dense(vectors: DataFrame, queries: DataFrame, depth: int) -> DataFra
 
 def _emit(rows: pa.StructArray, block: _Block, row: np.ndarray, col: np.ndarray, dots: np.ndarray) -> list[pa.Array]:
     at = pa.array(row)
-    return [block.ids.take(pa.array(col)), rows.field("path").take(at), rows.field("line_start").take(at).cast(pa.int64()), pa.array(dots)]
+    return [block.ids.take(pa.array(col)), rows.field("path").take(at), rows.field("line_start").take(at).cast(pa.int64()), pa.array(dots, pa.int64())]
 
 
 def file_dense(vectors: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
@@ -187,7 +197,7 @@ def file_dense(vectors: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
         ends = runs.run_ends.to_numpy(zero_copy_only=False)
         best = np.maximum.reduceat(_multiply(matrix, block.vectors), np.r_[0, ends[:-1]], axis=0)
         row, col = _survivors(best, depth, block.floor)
-        yield [block.ids.take(pa.array(col)), runs.values.take(pa.array(row)), pa.array(best[row, col])]
+        yield [block.ids.take(pa.array(col)), runs.values.take(pa.array(row)), pa.array(best[row, col], pa.int64())]
 
     found = _met(vectors, queries, ("path",), f"qid {_qid_type(queries)}, path string, dot bigint", score)
     best = found.groupBy("qid", "path").agg(F.max("dot").alias("dot"))
@@ -201,7 +211,7 @@ def top_similarity(vectors: DataFrame, queries: DataFrame) -> DataFrame:
         best = _multiply(matrix, block.vectors).max(axis=0)
         better = np.flatnonzero(best > block.floor)
         block.floor[better] = best[better]
-        yield [block.ids.take(pa.array(better)), pa.array(best[better])]
+        yield [block.ids.take(pa.array(better)), pa.array(best[better], pa.int64())]
 
     found = _met(vectors, queries, (), f"qid {_qid_type(queries)}, top_dot bigint", score)
     return found.groupBy("qid").agg(F.max("top_dot").alias("top_dot"))
@@ -219,11 +229,6 @@ def within_files(
     asked = queries.select("qid", "embedding").join(lists, "qid")
 
     def score(rows: pa.StructArray, matrix: np.ndarray, block: _Block) -> Iterator[list[pa.Array]]:
-        if not hasattr(block, "targets"):
-            block.targets, block.floors = {}, {}
-            for k, paths in enumerate(block.asked.field("paths").to_pylist()):
-                for path in paths:
-                    block.targets.setdefault(path, []).append(k)
         runs = pc.run_end_encode(rows.field("path"))
         ends = [0, *runs.run_ends.to_pylist()]
         for lo, hi, path in zip(ends, ends[1:], runs.values.to_pylist()):

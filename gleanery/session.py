@@ -30,9 +30,17 @@ def local_session(app: str = "gleanery", cores: str | int = "*", shuffle: int =
     )
 
 
+#: Rows and bytes of a batch sent to Python at once, unless the session names numbers of its own: what a worker holds
+#: hangs on these, not on the size of a partition.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": (10_000, 2_000), "spark.sql.execution.arrow.maxBytesPerBatch": (64 << 20, 16 << 20)}
+
+
 def attach(spark: SparkSession) -> SparkSession:
-    """Pin UTC and make this package importable in the Python workers, once per application."""
+    """Pin UTC, bound what is sent to Python, and make this package importable in the workers, once per application."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for name, (usual, ours) in BATCH.items():
+        if spark.conf.get(name).rstrip("bB") == str(usual):
+            spark.conf.set(name, str(ours))
     sc = spark.sparkContext
     if getattr(sc, "_gleanery_attached", False):
         return spark

@@ -145,3 +145,22 @@ def test_sweep_counts_equal_counting_every_cell(spark):
         refused = sum(x[3] < r.t or x[4] < r.m for x in no)
         assert (r.b1_num, r.b1_den) == (refused, len(no))
         assert (r.b2_num, r.b2_den) == (sum(not (x[3] < r.t or x[4] < r.m) for x in hit), len(hit))
+
+
+def test_blocks_do_not_hold_the_batch_they_came_with():
+    import numpy as np
+    import pyarrow as pa
+
+    vectors = pa.ListArray.from_arrays(pa.array([0, 2, 4], pa.int32()), pa.array([1, 2, 3, 4], pa.int8()))
+    asked = pa.StructArray.from_arrays([pa.array([7, 8]), vectors, pa.array([["a"], ["a", "b"]])], names=["qid", "embedding", "paths"])
+    block = dense._Block(asked)
+    assert block.vectors.flags.owndata and block.vectors.tolist() == [[1, 2], [3, 4]]
+    assert block.ids.buffers()[1].address != asked.field("qid").buffers()[1].address
+    assert block.targets == {"a": [0, 1], "b": [1]}
+    dots = dense._multiply(np.full((1, 64), -127, np.int8), np.full((1, 64), 127, np.int8))
+    assert dots.dtype == np.int32 and dots.tolist() == [[-127 * 127 * 64]]
+
+
+def test_batches_sent_to_python_are_bounded(spark):
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2_000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 16 << 20
