@@ -19,7 +19,7 @@ from gleanery.operators import lexical
 from gleanery.operators.scan import laid_out, running
 from gleanery.params import DEFAULT_RANK, RankParams
 from gleanery.plans.postings import write_postings
-from gleanery.session import materialise, scratch_path
+from gleanery.session import materialise, scratch_path, small_side
 
 PASSAGES = T.StructType([
     T.StructField("path", T.StringType()),
@@ -46,6 +46,14 @@ TABLES = {
 }
 
 
+#: What an index consists of besides its passages, and the tables of each part.
+PARTS = ("passage", "file", "vectors")
+PART_OF = {
+    "passage_terms": "passage", "passage_vocabulary": "passage", "file_terms": "file", "file_vocabulary": "file",
+    "vectors": "vectors",
+}
+
+
 class IndexMismatch(ValueError):
     """The stored index is missing a table or was built with other parameters."""
 
@@ -79,17 +87,24 @@ class Index:
     meta: Meta
     params: RankParams = DEFAULT_RANK
     embedder: Embedder = hashed(DEFAULT_RANK.embedding.dim)
+    parts: frozenset[str] = frozenset(PARTS)
 
     def __post_init__(self) -> None:
         if self.embedder.dim != self.params.embedding.dim:
             raise IndexMismatch(f"the embedder has {self.embedder.dim} components, the index {self.params.embedding.dim}")
 
     def table(self, name: str) -> DataFrame:
+        self._require(PART_OF.get(name))
         schema = TABLES[name] if name != "passages" else PASSAGES
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
+    def _require(self, part: str | None) -> None:
+        if part and part not in self.parts:
+            raise IndexMismatch(f"the index was opened without its part {part}")
+
     def postings(self, unit: str) -> tuple[DataFrame, int]:
         """The postings of passages or files with the bucket they lie in, and the number of buckets."""
+        self._require(unit)
         schema = f"{TABLES[f'{unit}_terms']}, bucket int"
         found = self.spark.read.schema(schema).parquet(f"{self.root}/{unit}_terms")
         return found, getattr(self.meta, f"{unit}_buckets")
@@ -112,10 +127,11 @@ def build_index(
     skipped: DataFrame | None = None,
     root: str | None = None,
     embedder: Embedder | None = None,
+    parts: Sequence[str] = PARTS,
 ) -> Index:
     """Write every table of the index below a fresh directory, then open it.
 
-    Postings lie in buckets of terms, a bucket with a frequent term in several files (`write_postings`).
+    With fewer `parts` the tables of the others are left out until `with_parts` adds them. Postings lie in buckets of terms, a bucket with a frequent term in several files (`write_postings`).
     """
     spark = passages.sparkSession
     embedder = embedder or hashed(params.embedding.dim)
@@ -124,29 +140,41 @@ def build_index(
     spread(passages.select(*fields), "path", "line_start").write.parquet(f"{root}/passages")
     stored = spark.read.schema(PASSAGES).parquet(f"{root}/passages")
 
-    bags = materialise(lexical.passage_bags(stored, params), "passage-bags")
-    buckets = {"passage_buckets": write_postings(bags, lexical.PASSAGE, f"{root}/passage_terms")}
-    summed = materialise(lexical.file_bags(stored, params), "file-bags")
-    files = materialise(summed.join(lexical.lengths(summed, ["path"]), "path").select("path", "dl", "term", "tf"), "file-terms")
-    buckets["file_buckets"] = write_postings(files, ("path",), f"{root}/file_terms")
-    for unit, postings in (("passage", bags), ("file", files)):
-        lexical.document_frequency(postings).write.parquet(f"{root}/{unit}_vocabulary")
-    text = model_text(F.col("text"), F.col("heading_path"))
-    stored.select(
-        "path", "line_start", embedder.passage(text).alias("embedding")
-    ).write.parquet(f"{root}/vectors")
     if skipped is None:
         skipped = spark.createDataFrame([], TABLES["skipped"])
     skipped.write.parquet(f"{root}/skipped")
-
-    by_passage = lexical.corpus_stats(bags, stored).first()
-    by_file = lexical.corpus_stats(summed, stored.select("path").distinct()).first()
-    meta = Meta(
-        repo, commit, json.dumps(params.as_dict(), sort_keys=True),
-        by_passage["n_bags"], by_passage["avgdl"], by_file["n_bags"], by_file["avgdl"],
-        **(counters or {}), **buckets,
-    )
-    return write_meta(Index(spark, root, meta, params, embedder))
+    meta = Meta(repo, commit, json.dumps(params.as_dict(), sort_keys=True), 0, 0.0, 0, 0.0, **(counters or {}))
+    return with_parts(Index(spark, root, meta, params, embedder, frozenset()), *parts)
+
+
+def with_parts(index: Index, *parts: str) -> Index:
+    """`index` with those of `parts` written that it lacks; its passages are always there. The meta row follows the
+    last part."""
+    stored, params, changes = index.table("passages"), index.params, {}
+    missing = [part for part in PARTS if part in parts and part not in index.parts]
+    if not missing:
+        return index
+    if "passage" in missing:
+        bags = materialise(lexical.passage_bags(stored, params), "passage-bags")
+        changes["passage_buckets"] = write_postings(bags, lexical.PASSAGE, f"{index.root}/passage_terms")
+        lexical.document_frequency(bags).write.parquet(f"{index.root}/passage_vocabulary")
+        stats = lexical.corpus_stats(bags, stored).first()
+        changes |= {"passages": stats["n_bags"], "passage_avgdl": stats["avgdl"]}
+    if "file" in missing:
+        summed = materialise(lexical.file_bags(stored, params), "file-bags")
+        lengths = small_side(materialise(lexical.lengths(summed, ["path"]), "file-lengths"))
+        files = materialise(summed.join(lengths, "path").select("path", "dl", "term", "tf"), "file-terms")
+        changes["file_buckets"] = write_postings(files, ("path",), f"{index.root}/file_terms")
+        lexical.document_frequency(files).write.parquet(f"{index.root}/file_vocabulary")
+        stats = lexical.corpus_stats(summed, stored.select("path").distinct()).first()
+        changes |= {"files": stats["n_bags"], "file_avgdl": stats["avgdl"]}
+    if "vectors" in missing:
+        text = model_text(F.col("text"), F.col("heading_path"))
+        stored.select(
+            "path", "line_start", index.embedder.passage(text).alias("embedding")
+        ).write.parquet(f"{index.root}/vectors")
+    index = replace(index, meta=replace(index.meta, **changes), parts=index.parts | set(missing))
+    return write_meta(index) if index.parts == frozenset(PARTS) else index
 
 
 def write_meta(index: Index, **changes: float | None) -> Index:

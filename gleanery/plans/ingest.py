@@ -13,7 +13,7 @@ from gleanery.functions.words import model_text
 from gleanery.operators import calibration
 from gleanery.operators.sections import sections
 from gleanery.params import DEFAULT_RANK, SENTINEL_THRESHOLD, RankParams
-from gleanery.plans.index import Index, build_index, write_meta
+from gleanery.plans.index import PARTS, Index, build_index, write_meta
 from gleanery.plans.retrieve import embedded
 from gleanery.session import materialise
 
@@ -27,8 +27,12 @@ def run_ingest(
     params: RankParams = DEFAULT_RANK,
     root: str | None = None,
     embedder: Embedder | None = None,
+    parts: Sequence[str] = PARTS,
 ) -> Index:
-    """Split, index and calibrate. The sections are written once; counters are aggregates of them."""
+    """Split, index and calibrate. The sections are written once; counters are aggregates of them.
+
+    With fewer `parts` the index is neither complete nor calibrated: `with_parts` and `calibrate` do the rest.
+    """
     split = materialise(sections(files), "sections")
     tokens = F.size(model_words(model_text(F.col("text"), F.col("heading_path"))))
     counted = split.agg(
@@ -41,8 +45,8 @@ def run_ingest(
         "empty_dropped": counted["empty"],
         "truncated": counted["truncated"],
     }
-    index = build_index(split.filter("kept"), repo, commit, params, counters, skipped, root, embedder)
-    return calibrate(index, offtopic)
+    index = build_index(split.filter("kept"), repo, commit, params, counters, skipped, root, embedder, parts)
+    return calibrate(index, offtopic) if index.parts == frozenset(PARTS) else index
 
 
 def calibrate(index: Index, offtopic: Sequence[str] = ()) -> Index:

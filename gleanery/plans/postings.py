@@ -14,8 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.session import materialise
+
 #: Postings that a bucket should hold, and that a file may hold.
 BUCKET_ROWS, FILE_ROWS = 20_000_000, 4_000_000
+#: Tasks for each file, so that few of the files that hashing deals out fall to the same task.
+TASKS_A_FILE = 3
 #: Directories, at least and at most. Few are enough while everything fits a handful of files.
 FEWEST, MOST = 16, 4_096
 
@@ -37,10 +41,12 @@ def write_postings(bags: DataFrame, keys: Sequence[str], path: str, file_rows: i
     buckets = buckets_for(bags.count())
     placed = bags.withColumn("bucket", bucket_of(F.col("term"), buckets))
     slices = placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / file_rows).alias("_slices"))
+    slices = materialise(slices, "slices")
     spread = placed.join(F.broadcast(slices), "bucket")  # MOST rows at most
     spread = spread.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.col("_slices")))
+    files = slices.agg(F.sum("_slices")).first()[0] or 1
     (
-        spread.repartition("bucket", "_slice").sortWithinPartitions("bucket", "term").drop("_slices", "_slice")
+        spread.repartition(TASKS_A_FILE * files, "bucket", "_slice").sortWithinPartitions("bucket", "term").drop("_slices", "_slice")
         .write.partitionBy("bucket").parquet(path)
     )
     return buckets

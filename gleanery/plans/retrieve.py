@@ -94,15 +94,22 @@ def shown_passages(
     )
 
 
-def retrieve(index: Index, questions: DataFrame) -> DataFrame:
+def first_files(index: Index, questions: DataFrame) -> DataFrame:
+    """(qid, path, score, rank) of the files of the result, written once."""
+    asked = searchable(questions)
+    return materialise(ranked_files(index, asked, embedded(index, asked), index.params.top_k), "files")
+
+
+def retrieve(index: Index, questions: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """The ranked result, one row per shown passage.
 
     (qid, rank, path, score, passage_rank, line_start, within). The ranked files of the batch are
-    written once: three later steps read them and each would repeat the whole ranking.
+    written once: three later steps read them and each would repeat the whole ranking. `files` are
+    those of `first_files`, where they are at hand.
     """
     asked = searchable(questions)
     queries = embedded(index, asked)
-    files = materialise(ranked_files(index, asked, queries, index.params.top_k), "files")
+    files = first_files(index, questions) if files is None else files
     shown = shown_passages(index, asked, queries, files)
     return files.join(shown, ["qid", "path"]).select(
         "qid", "rank", "path", "score", "passage_rank", "line_start", "within"

@@ -86,3 +86,22 @@ def test_buckets_grow_with_the_postings_within_bounds():
     assert po.buckets_for(0) == po.FEWEST
     assert po.buckets_for(po.FEWEST * po.BUCKET_ROWS + 1) == 2 * po.FEWEST
     assert po.buckets_for(10**15) == po.MOST
+
+
+def test_an_index_writes_the_parts_that_are_asked_for(spark, monkeypatch):
+    from gleanery.operators import calibration
+    from gleanery.plans import index as ix
+
+    rows = [(f"d/{k % 7}.md", "", [], k, k, f"common word{k} shared{k % 5} thing") for k in range(60)]
+    found = build_index(spark.createDataFrame(rows, SCHEMA), parts=())
+    with pytest.raises(ix.IndexMismatch):
+        found.table("vectors")
+    stemmed = []
+    whole = calibration.eligible
+    monkeypatch.setattr(calibration, "eligible", lambda df: whole(df.transform(lambda x: stemmed.append(x.count()) or x)))
+    salads = calibration.null_questions(found.table("passages"), queries=2)
+    assert salads.count() == 2 and stemmed[0] <= 10  # only drawn passages are stemmed
+    some = ix.with_parts(found, "vectors")
+    assert some.table("vectors").count() == 60 and not Path(f"{some.root}/meta").exists()
+    with pytest.raises(ix.IndexMismatch):
+        some.postings("passage")

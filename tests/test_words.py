@@ -114,3 +114,14 @@ def test_stemming_whole_batches_equals_word_by_word(spark):
     df = spark.createDataFrame(rows, "i int, t array<string>").repartition(3)
     for r in df.select("t", stem_words("t").alias("s")).collect():
         assert r.s == [porter(w) for w in r.t]
+
+
+def test_words_without_a_suffix_skip_the_rules():
+    from gleanery.functions import porter as po
+
+    words = ["sky", "caresses", "agreed", "hopping", "relational", "controll", "rate", "qqx", "слово", "x9", "is", "ion"]
+    assert [po.porter(w) for w in words] == [po._stem(w) if len(w) > 2 else w for w in words]
+    before = po._stem.cache_info()
+    assert po.porter("zzqx") == "zzqx"
+    assert po._stem.cache_info() == before
+    assert before.maxsize <= 1 << 17
