@@ -4,8 +4,8 @@ Word counts of all documents to learn from give the base probabilities. The most
 classes; the network, reading the words so far, predicts the class and then the word in it, and one more
 class stands for all other words, which share it by their base probabilities. It starts as the base
 model (its biases are the words' frequencies) and is trained by backpropagation truncated to windows,
-the state carried from window to window: in each round every task trains on its part of a tenth of the
-documents, and the weights are averaged. A document's score carries the state through the whole text.
+the state carried from window to window: in each round every task trains on its part of a share of the
+documents, and the weights are averaged. The shares of all rounds together are every document, each once. A document's score carries the state through the whole text.
 
 Words beyond a bounded table of frequent ones are joined with their counts by a shuffle.
 """
@@ -30,8 +30,8 @@ from gleanery.session import materialise
 #: Frequent words sent to every executor with their counts: 16 bytes each.
 TABLE = 1_000_000
 CLASSES, WORDS_A_CLASS, HIDDEN = 40, 40, 16
-#: Training: rounds, share of the documents in each (one in so many), streams, window, step size.
-ROUNDS, ONE_IN, STREAMS, WINDOW, RATE = 2, 16, 24, 16, 0.08
+#: Training: rounds, each on another share of the documents, together all; streams, window, step size.
+ROUNDS, STREAMS, WINDOW, RATE = 2, 96, 16, 0.08
 #: Slopes are cut off beyond this.
 STEEPEST = 0.1
 #: Steps, and states, that are held before their outputs are computed.
@@ -113,14 +113,17 @@ class Network:
     def train(self, words: np.ndarray, begins: np.ndarray, rate: float = RATE) -> None:
         """One pass over a run of documents (words with ends, and where documents begin)."""
         other = CLASSES * WORDS_A_CLASS
-        length = len(words) // STREAMS
-        if length < 2:
+        if not len(words):
             return
+        streams = min(STREAMS, -(-len(words) // WINDOW))  # few words are few streams
+        length = -(-len(words) // streams)
         before = np.concatenate([[other + 1], words[:-1]])
         before[begins] = other + 1
-        shape = lambda x: x[: STREAMS * length].reshape(STREAMS, length).T
-        target, source, reset = shape(words), shape(before), shape(begins)
-        h = np.zeros((STREAMS, HIDDEN), np.float32)
+        fill = streams * length - len(words)  # the last streams end early: places that count for nothing
+        shape = lambda x, empty: np.concatenate([x, np.full(fill, empty, x.dtype)]).reshape(streams, length).T
+        target, source, reset = shape(words, other), shape(before, other + 1), shape(begins, True)
+        counts = shape(np.ones(len(words), np.float32), 0)
+        h = np.zeros((streams, HIDDEN), np.float32)
         grown = [np.full(p.shape, 1e-4, np.float32) for p in self.parts()]
         for start in range(0, length, WINDOW):
             end = min(start + WINDOW, length)
@@ -131,15 +134,16 @@ class Network:
                 kept.append(back)
                 states.append(h)
                 resets.append(live)
-            grads = self._backward(kept, resets, np.stack(states), target[start:end])
+            grads = self._backward(kept, resets, np.stack(states), target[start:end], counts[start:end])
             for p, g, total in zip(self.parts(), grads, grown):
                 g = np.clip(g, -STEEPEST, STEEPEST)
                 total += g * g
                 p -= rate * g / np.sqrt(total)
 
-    def _backward(self, kept, resets, states, target) -> list[np.ndarray]:
+    def _backward(self, kept, resets, states, target, counts=None) -> list[np.ndarray]:
         flat, words = states.reshape(-1, HIDDEN), target.ravel()
-        scale = np.float32(1 / len(words))
+        counts = np.ones(len(words), np.float32) if counts is None else counts.ravel()
+        scale = (counts / max(counts.sum(), np.float32(1)))[:, None]
         kind = np.minimum(words // WORDS_A_CLASS, CLASSES)
         p = _soft(flat @ self.to_class + self.class_bias)
         p[np.arange(len(words)), kind] -= 1
@@ -150,7 +154,7 @@ class Network:
         for c, rows in _by_class(kind):
             q = _soft(flat[rows] @ self.to_word[c] + self.word_bias[c])
             q[np.arange(len(rows)), words[rows] % WORDS_A_CLASS] -= 1
-            q *= scale
+            q *= scale[rows]
             d_to_word[c], d_word_bias[c] = flat[rows].T @ q, q.sum(axis=0)
             d_flat[rows] += q @ self.to_word[c].T
         d_states = d_flat.reshape(states.shape)
@@ -166,7 +170,10 @@ class Network:
             read.append(word)
             came.append(np.concatenate([d_gates, d_n], axis=1))
             d_h = (d * z + d_g @ self.state.T) * live
-        np.add.at(d_inputs, np.concatenate(read), np.concatenate(came))
+        read = np.concatenate(read)
+        order = np.argsort(read, kind="stable")
+        rows, at = np.unique(read[order], return_index=True)
+        d_inputs[rows] = np.add.reduceat(np.concatenate(came)[order], at)
         return [d_inputs, d_state, d_to_class, d_class_bias, d_to_word, d_word_bias]
 
     def documents(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -304,7 +311,7 @@ def _pack(task: int, weight: int, flat: np.ndarray) -> pa.RecordBatch:
 
 
 def train(docs: DataFrame, words, network: Network) -> Network:
-    """The network after ROUNDS of training on documents chosen by a hash of their text."""
+    """The network after ROUNDS of training, each on the documents that a hash of their text deals to it: all in all."""
     spark = docs.sparkSession
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast(network)
@@ -327,7 +334,7 @@ def train(docs: DataFrame, words, network: Network) -> Network:
             if weight:
                 yield _pack(TaskContext.get().partitionId(), weight, net.packed())
 
-        chosen = docs.filter(F.pmod(F.xxhash64("text"), F.lit(ONE_IN)) == turn % ONE_IN).select("text")
+        chosen = docs.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn).select("text")
         packs = materialise(chosen.mapInArrow(tidy(work), PACK), "weights")
         flat = _averaged(packs, packs.count())
         if flat is not None:

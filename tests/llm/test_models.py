@@ -212,3 +212,30 @@ def test_pipeline(spark, sf_dir):
     want = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in bpe.digests(four, public_tokenizers.path(corpus_pipeline.TOKENIZER)).collect()}
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in out.collect()} == want
     assert corpus_pipeline.run(spark, sf_dir).count() == len(want)
+
+
+def test_every_document_to_learn_from_trains_the_network(spark, monkeypatch):
+    rows = [(k, f"word{k} and some more text of document {k}") for k in range(60)] + [(60, ""), (61, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    size = recurrent.CLASSES * recurrent.WORDS_A_CLASS
+    net = recurrent.Network.fresh(np.full(size, 0.8 / size), 0.2)
+    words = spark.sparkContext.broadcast(recurrent.Words(np.array([recurrent.END]), np.zeros(1), np.zeros(1, np.int32)))
+    packs = []
+    averaged = recurrent._averaged
+    monkeypatch.setattr(recurrent, "_averaged", lambda p, n: packs.append(p.groupBy().sum("weight").first()[0]) or averaged(p, n))
+    recurrent.train(docs, words, net)
+    assert sum(packs) == sum(len(text.split()) + 1 for _, text in rows)
+
+
+def test_training_learns_from_the_last_word_and_from_few_words():
+    size = recurrent.CLASSES * recurrent.WORDS_A_CLASS
+    for n in (1, 5, recurrent.STREAMS * 3 + 7):
+        net = recurrent.Network.fresh(np.full(size, 0.8 / size), 0.2)
+        words = np.zeros(n, np.int64)
+        words[-1] = 41  # the second class only occurs at the end
+        begins = np.zeros(n, bool)
+        begins[0] = True
+        before = net.class_bias.copy()
+        net.train(words, begins)
+        assert net.word_bias[1, 1] > recurrent.Network.fresh(np.full(size, 0.8 / size), 0.2).word_bias[1, 1]
+        assert np.isfinite(net.packed()).all() and (net.class_bias != before).any()
