@@ -109,16 +109,18 @@ def sections(files: DataFrame) -> DataFrame:
         ),
     )
     pieces = F.when(first > 1, F.concat(F.array(preamble), headed)).otherwise(headed)
-    rows = found.select("path", "lines", F.explode(pieces).alias("s")).select(
-        "path",
-        F.array_join(
-            F.slice("lines", F.col("s.line"), F.col("s.last") - F.col("s.line") + 1), "\n"
-        ).alias("raw"),
-        "s.*",
+
+    def cut(s: Column) -> Column:
+        raw = F.array_join(F.slice("lines", s["line"], s["last"] - s["line"] + 1), "\n")
+        return F.regexp_replace(raw, f"\\n[{SPACE_CLASS}]*\\z", "")
+
+    # texts are cut before they become rows: no row of a section carries its whole file
+    whole = F.transform(
+        pieces, lambda s: F.struct(s["line"].alias("line"), s["heading"].alias("heading"), s["trail"].alias("trail"), cut(s).alias("text"))
     )
-    text = F.regexp_replace("raw", f"\\n[{SPACE_CLASS}]*\\z", "")
+    rows = found.select("path", F.explode(whole).alias("s")).select("path", "s.*")
     height = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return rows.withColumn("text", text).select(
+    return rows.select(
         "path",
         F.col("line").cast("bigint").alias("line_start"),
         (F.col("line") + height - 1).cast("bigint").alias("line_end"),

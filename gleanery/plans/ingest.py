@@ -34,10 +34,13 @@ def run_ingest(
     With fewer `parts` the index is neither complete nor calibrated: `with_parts` and `calibrate` do the rest.
     """
     split = materialise(sections(files), "sections")
-    tokens = F.size(model_words(model_text(F.col("text"), F.col("heading_path"))))
+    text = model_text(F.col("text"), F.col("heading_path"))
+    most = params.embedding.max_tokens
+    # a text of n words has 2 n - 1 characters at least: few are long enough for their words to be counted
+    long = (F.length(F.lower(text)) >= 2 * (most - 1) - 1) & (F.size(model_words(text)) + 2 > most)
     counted = split.agg(
         F.count_if(~F.col("kept") & F.col("headed")).alias("empty"),
-        F.count_if(F.col("kept") & (tokens + 2 > params.embedding.max_tokens)).alias("truncated"),
+        F.count_if(F.col("kept") & long).alias("truncated"),
     ).first()
     counters = {
         "files_read": files.count(),

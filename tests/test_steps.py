@@ -29,3 +29,16 @@ def test_eligible_passages_are_stemmed_once(spark):
     found = calibration.eligible(passages)
     assert plan(found.groupBy("path").agg(F.sum(F.size("terms")))).count("ArrowEvalPython") == 1
     assert sorted(r["path"] for r in found.collect()) == sorted(r[0] for r in rows(9))
+
+
+def test_rows_of_sections_do_not_carry_their_file(spark):
+    files = spark.createDataFrame([("a.md", "x\n# A\none\n\n## B\ntwo\n\n")], "path string, text string")
+    assert re.search(r"\), \[path#\d+\], false, \[s#\d+\]", plan(sections(files)))
+    assert [tuple(r) for r in sections(files).select("line_start", "line_end", "text").collect()] == [
+        (1, 1, "x"), (2, 3, "# A\none"), (5, 6, "## B\ntwo")]
+
+
+def test_long_sections_are_counted_at_the_bound(spark):
+    files = [(f"{n}.md", " ".join("a" * n)) for n in (510, 511)] + [("i.md", "\u0130" * 511), ("b.md", "b" * 5000)]
+    found = run_ingest(spark.createDataFrame(files, "path string, text string"), "r", "0" * 40, parts=())
+    assert found.meta.truncated == 2  # 511 words, and 511 letters that are two words each but the last in lower case
