@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.operators.lexical import idf
 from gleanery.operators.topk import top_k
 from gleanery.params import DEFAULT_RANK, RankParams
-from gleanery.session import small_side
+from gleanery.session import materialise, small_side
 
 
 def capped(scores: DataFrame, params: RankParams = DEFAULT_RANK, score: str = "score") -> DataFrame:
@@ -54,12 +54,14 @@ def reason(n_terms: Column, n_matched: Column, confidence: Column, tau: Column)
 def combined(passage: DataFrame, file: DataFrame) -> DataFrame:
     """Half the passage score plus half its file's, each divided by the question's best.
 
-    The best of a question is one aggregate row per question, not a window over its candidates."""
+    The best of a question is one aggregate row per question, not a window over its candidates. Files and best
+    scores are written and counted: where they are small, no pair of question and passage is shuffled."""
+    file = small_side(materialise(file, "file-scores"))
     both = passage.withColumnRenamed("score", "p").join(
         file.withColumnRenamed("score", "f"), ["qid", "path"]
     )
     most = both.groupBy("qid").agg(F.max("p").alias("pmax"), F.max("f").alias("fmax"))
-    return both.join(most, "qid").select(
+    return both.join(small_side(materialise(most, "best-scores")), "qid").select(
         "qid", "path", "line_start",
         F.round(0.5 * F.col("p") / F.col("pmax") + 0.5 * F.col("f") / F.col("fmax"), 9).alias("score"),
     )

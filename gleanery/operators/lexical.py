@@ -122,11 +122,13 @@ def bm25(
     params: RankParams = DEFAULT_RANK,
     regroup: bool = False,
     chosen: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """(qid, keys, score) for every bag sharing a term with a question.
 
     With `regroup` the matching postings are placed by bag first, so that scoring and the local
-    top-k need no further shuffle and only the survivors travel. `chosen` (qid, path) leaves out
+    top-k need no further shuffle and only the survivors travel; `tasks` says to how many tasks, since
+    Spark sees the size of the postings but not that of the scores they grow to. `chosen` (qid, path) leaves out
     every other pair before anything is summed. Where bags and weights both have a `bucket`, they are
     joined on it too, and a scan of the bags reads the buckets of the weights alone.
     """
@@ -138,7 +140,7 @@ def bm25(
         bags = bags.join(chosen.select("path").distinct(), "path", "left_semi")
     if regroup:
         asked = bags.join(weights, on, "left_semi")
-        bags = asked.repartition(*[F.col(k) for k in keys])
+        bags = asked.repartition(*([tasks] if tasks else []), *[F.col(k) for k in keys])
     norm = params.k1 * (1 - params.b + params.b * F.col("dl") / avgdl)
     part = F.col("idf") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + F.col("_norm"))
     matched = bags.withColumn("_norm", norm).join(weights, on)

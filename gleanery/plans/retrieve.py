@@ -17,6 +17,10 @@ from gleanery.plans.postings import bucket_of
 from gleanery.session import materialise, small_side
 
 
+#: Pairs of question and bag that a task scores at most: its memory hangs on them.
+PAIRS_A_TASK = 1_000_000
+
+
 def _has_words() -> Column:
     """At least one model token; false for a null question."""
     text = F.coalesce(F.col("question"), F.lit(""))
@@ -44,11 +48,20 @@ def _weights(index: Index, questions: DataFrame, unit: str, bags: int, buckets:
     return materialise(weights.withColumn("bucket", bucket_of(F.col("term"), buckets)), "weights")
 
 
+def _tasks(weights: DataFrame, bags: int) -> int | None:
+    """Tasks for scoring `bags` with the questions of `weights`; None where Spark's own number will do."""
+    tasks = -(-bags * weights.select("qid").distinct().count() // PAIRS_A_TASK)
+    return max(tasks, weights.sparkSession.sparkContext.defaultParallelism) if tasks > 1 else None
+
+
 def file_scores(index: Index, questions: DataFrame) -> DataFrame:
     """Whole-file BM25 of every file that shares a term with a question."""
     postings, buckets = index.postings("file")
     weights = _weights(index, questions, "file", index.meta.files, buckets)
-    return lexical.bm25(postings, weights, F.lit(index.meta.file_avgdl), ("path",), index.params)
+    return lexical.bm25(
+        postings, weights, F.lit(index.meta.file_avgdl), ("path",), index.params, regroup=True,
+        tasks=_tasks(weights, index.meta.files),
+    )
 
 
 def passage_scores(
@@ -59,6 +72,7 @@ def passage_scores(
     weights = _weights(index, questions, "passage", index.meta.passages, buckets)
     return lexical.bm25(
         postings, weights, F.lit(index.meta.passage_avgdl), lexical.PASSAGE, index.params, regroup=True, chosen=chosen,
+        tasks=_tasks(weights, index.meta.passages),
     )
 
 

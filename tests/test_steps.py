@@ -42,3 +42,28 @@ def test_long_sections_are_counted_at_the_bound(spark):
     files = [(f"{n}.md", " ".join("a" * n)) for n in (510, 511)] + [("i.md", "\u0130" * 511), ("b.md", "b" * 5000)]
     found = run_ingest(spark.createDataFrame(files, "path string, text string"), "r", "0" * 40, parts=())
     assert found.meta.truncated == 2  # 511 words, and 511 letters that are two words each but the last in lower case
+
+
+def test_scores_are_dealt_to_tasks_by_pairs(spark, monkeypatch):
+    index = build_index(spark.createDataFrame(rows(60), SCHEMA), parts=("passage", "file"))
+    asked = spark.createDataFrame([(k, f"common word{k} thing") for k in range(4)], "qid bigint, question string")
+    before = [sorted(map(tuple, f(index, asked).collect())) for f in (rt.passage_scores, rt.file_scores)]
+    monkeypatch.setattr(rt, "PAIRS_A_TASK", 11)
+    for scores, keys, tasks, same in ((rt.passage_scores, 2, 22, before[0]), (rt.file_scores, 1, 4, before[1])):
+        found = scores(index, asked)
+        assert re.search(rf"hashpartitioning\((path#\d+(, line_start#\d+L)?), {tasks}\), REPARTITION_BY_NUM", plan(found))
+        assert sorted(map(tuple, found.collect())) == same and same
+
+
+def test_earlier_scores_shuffle_no_pairs(spark):
+    passage = spark.createDataFrame([(q, f"p{k % 3}", k, float(k + q + 1)) for q in range(3) for k in range(9)],
+                                    "qid bigint, path string, line_start bigint, score double")
+    file = spark.createDataFrame([(q, f"p{k}", float(k + 1)) for q in range(3) for k in range(2)], "qid bigint, path string, score double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = legacy.combined(passage, file)
+        assert "SortMergeJoin" not in plan(found)
+        got = {(r["qid"], r["path"], r["line_start"]): r["score"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 18 and got[0, "p1", 7] == 1.0 and got[0, "p0", 0] == round(0.5 / 8 + 0.25, 9)
