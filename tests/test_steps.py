@@ -67,3 +67,10 @@ def test_earlier_scores_shuffle_no_pairs(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(got) == 18 and got[0, "p1", 7] == 1.0 and got[0, "p0", 0] == round(0.5 / 8 + 0.25, 9)
+
+
+def test_chunks_have_the_words_of_their_text():
+    text = "\u0391\u03a3\u00a0a\x0bb\u2028c \u4e2d\u6587,d\x85e\u3000\u0130x\r\n"
+    assert basic_words(text) == [w for chunk in chunks(text) for w in basic_words(chunk)]
+    table = {"[UNK]": 0, "ab": 1, "##c": 2, "##cd": 3}
+    assert piece_ids("abcd", table, 4) == piece_ids("abcd", table) == [1, 3] and piece_ids("abc", table, 4) == [1, 2]
