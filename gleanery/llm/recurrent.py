@@ -264,14 +264,35 @@ class Words:
     log_base: np.ndarray
     number: np.ndarray
 
+    def __post_init__(self) -> None:
+        #: Places of the words of the network, of which most text consists: few enough to be searched fast.
+        self.predicted = np.flatnonzero(self.number < CLASSES * WORDS_A_CLASS)
+
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Places in the table, -1 for words beyond it."""
-        if not len(self.hashes):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        at[self.hashes[at] != h] = -1
+        """Places in the table, -1 for words beyond it. Words of the network are looked for first."""
+        at = _places(self.hashes[self.predicted], h)
+        near = at >= 0
+        at[near] = self.predicted[at[near]]
+        at[~near] = _places(self.hashes, h[~near])
         return at
 
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """Numbers in the network, that of other words for all beyond it."""
+        at = _places(self.hashes[self.predicted], h)
+        near = at >= 0
+        out = np.full(len(h), CLASSES * WORDS_A_CLASS)
+        out[near] = self.number[self.predicted[at[near]]]
+        return out
+
+
+def _places(ordered: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of `h` in ordered hashes, -1 for those not there."""
+    if not len(ordered):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
+    at[ordered[at] != h] = -1
+    return at
+
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, c): how often each word of `docs` occurs, ends included."""
@@ -322,8 +343,7 @@ def train(docs: DataFrame, words, network: Network) -> Network:
             for batch in batches:
                 parts, begins = [], []
                 for _, hashes, bounds in _tokens(batch.column("text")):
-                    place = words.value.find(hashes)
-                    number = np.where(place >= 0, words.value.number[place], CLASSES * WORDS_A_CLASS)
+                    number = words.value.numbers(hashes)
                     start = np.zeros(len(hashes), bool)
                     start[bounds[:-1]] = True
                     parts.append(number)
@@ -394,6 +414,9 @@ def score_documents(
                 rest = np.add.reduceat(np.where(outside, log_base - log_other, 0.0), bounds[:-1])
                 parts.append((numbers, np.diff(bounds)))
                 for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+                    if known[k] == b - a:
+                        rows.append((b - a, known[k], base[k], rest[k], []))
+                        continue
                     far, n = np.unique(hashes[a:b][~found[a:b]], return_counts=True)
                     rare = [{"h": x, "n": y} for x, y in zip(signed(far).tolist(), n.tolist())]
                     rows.append((b - a, known[k], base[k], rest[k], rare))

@@ -239,3 +239,17 @@ def test_training_learns_from_the_last_word_and_from_few_words():
         net.train(words, begins)
         assert net.word_bias[1, 1] > recurrent.Network.fresh(np.full(size, 0.8 / size), 0.2).word_bias[1, 1]
         assert np.isfinite(net.packed()).all() and (net.class_bias != before).any()
+
+
+def test_words_of_the_network_are_found_in_their_own_table():
+    rng = np.random.default_rng(8)
+    hashes = np.sort(rng.choice(1 << 60, 5000, replace=False).astype(np.uint64))
+    number = np.minimum(rng.permutation(5000), recurrent.CLASSES * recurrent.WORDS_A_CLASS).astype(np.int32)
+    words = recurrent.Words(hashes, np.zeros(5000), number)
+    asked = np.concatenate([hashes, hashes + np.uint64(1), np.zeros(1, np.uint64)])
+    place = {h: k for k, h in enumerate(hashes.tolist())}
+    want = [place.get(h, -1) for h in asked.tolist()]
+    assert words.find(asked).tolist() == want
+    assert words.numbers(asked).tolist() == [number[k] if k >= 0 else recurrent.CLASSES * recurrent.WORDS_A_CLASS for k in want]
+    none = recurrent.Words(hashes[:0], np.zeros(0), number[:0])
+    assert none.find(asked[:3]).tolist() == [-1, -1, -1] and len(set(none.numbers(asked[:3]))) == 1
