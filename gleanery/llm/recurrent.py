@@ -36,6 +36,8 @@ ROUNDS, STREAMS, WINDOW, RATE = 2, 96, 16, 0.08
 STEEPEST = 0.1
 #: Steps, and states, that are held before their outputs are computed.
 HELD_STEPS, HELD_STATES = 96, 60_000
+#: Words of documents that are scored together: the longest documents of one batch alone leave steps of few documents.
+HELD_TOKENS = 4_000_000
 #: Hashes a task holds while counting.
 HELD_WORDS = 3_000_000
 #: The end of a document, as a word; no word has this hash by more than chance.
@@ -91,23 +93,28 @@ class Network:
 
     def step(self, h: np.ndarray, word: np.ndarray, keep: bool = False):
         """The state after reading `word`; with `keep` also what the way back needs."""
-        a = self.inputs[word]
-        g = h @ self.state
-        gates = 1 / (1 + np.exp(-(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        m = g[:, 2 * HIDDEN :]
-        n = np.tanh(a[:, 2 * HIDDEN :] + r * m)
-        new = n + z * (h - n)
-        return (new, (h, word, z, r, m, n)) if keep else new
+        new, back = _gated(h, _thirds(self.inputs[word]), _thirds(self.state))
+        return (new, (h, word, *back)) if keep else new
 
     def log_shares(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each word (of its class, for other words)."""
         scores = states @ self.to_class + self.class_bias
         kind = np.minimum(words // WORDS_A_CLASS, CLASSES)
-        out = scores[np.arange(len(words)), kind] - _log_sum(scores)
-        for c, rows in _by_class(kind):
-            scores = states[rows] @ self.to_word[c] + self.word_bias[c]
-            out[rows] += scores[np.arange(len(rows)), words[rows] % WORDS_A_CLASS] - _log_sum(scores)
+        out = scores[np.arange(len(words)), kind]
+        out -= _log_sum(scores)
+        rows, classes = _by_class(kind)
+        scores = self._in_class(states[rows], classes)
+        near = scores[np.arange(len(rows)), words[rows] % WORDS_A_CLASS]
+        near -= _log_sum(scores)
+        out[rows] += near
+        return out
+
+    def _in_class(self, states: np.ndarray, classes: list[tuple[int, slice]]) -> np.ndarray:
+        """Scores of the words of each state's class; the states lie in order of their classes."""
+        out = np.empty((len(states), WORDS_A_CLASS), states.dtype)
+        for c, at in classes:
+            np.matmul(states[at], self.to_word[c], out=out[at])
+            out[at] += self.word_bias[c]
         return out
 
     def train(self, words: np.ndarray, begins: np.ndarray, rate: float = RATE) -> None:
@@ -127,18 +134,21 @@ class Network:
         grown = [np.full(p.shape, 1e-4, np.float32) for p in self.parts()]
         for start in range(0, length, WINDOW):
             end = min(start + WINDOW, length)
-            kept, states, resets = [], [], []
-            for t in range(start, end):
-                live = (~reset[t])[:, None].astype(np.float32)
-                h, back = self.step(h * live, source[t], keep=True)
-                kept.append(back)
+            kept, states = [], []
+            read, state = _thirds(self.inputs[source[start:end]]), _thirds(self.state)
+            live = (~reset[start:end])[:, :, None].astype(np.float32)
+            for t in range(end - start):
+                before = h * live[t]
+                h, back = _gated(before, read[:, t], state)
+                kept.append((before, source[start + t], *back))
                 states.append(h)
-                resets.append(live)
-            grads = self._backward(kept, resets, np.stack(states), target[start:end], counts[start:end])
+            grads = self._backward(kept, live, np.stack(states), target[start:end], counts[start:end])
             for p, g, total in zip(self.parts(), grads, grown):
-                g = np.clip(g, -STEEPEST, STEEPEST)
+                np.clip(g, -STEEPEST, STEEPEST, out=g)
                 total += g * g
-                p -= rate * g / np.sqrt(total)
+                g *= rate
+                g /= np.sqrt(total)
+                p -= g
 
     def _backward(self, kept, resets, states, target, counts=None) -> list[np.ndarray]:
         flat, words = states.reshape(-1, HIDDEN), target.ravel()
@@ -151,29 +161,39 @@ class Network:
         d_to_class, d_class_bias = flat.T @ p, p.sum(axis=0)
         d_flat = p @ self.to_class.T
         d_to_word, d_word_bias = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
-        for c, rows in _by_class(kind):
-            q = _soft(flat[rows] @ self.to_word[c] + self.word_bias[c])
-            q[np.arange(len(rows)), words[rows] % WORDS_A_CLASS] -= 1
-            q *= scale[rows]
-            d_to_word[c], d_word_bias[c] = flat[rows].T @ q, q.sum(axis=0)
-            d_flat[rows] += q @ self.to_word[c].T
+        rows, classes = _by_class(kind)
+        near = flat[rows]
+        q = _soft(self._in_class(near, classes))
+        q[np.arange(len(rows)), words[rows] % WORDS_A_CLASS] -= 1
+        q *= scale[rows]
+        d_near = np.empty_like(near)
+        for c, at in classes:
+            np.matmul(near[at].T, q[at], out=d_to_word[c])
+            np.matmul(q[at], self.to_word[c].T, out=d_near[at])
+            d_word_bias[c] = q[at].sum(axis=0)
+        d_flat[rows] += d_near
         d_states = d_flat.reshape(states.shape)
-        d_inputs, d_state = np.zeros_like(self.inputs), np.zeros_like(self.state)
+        h, z, r, m, n = (np.stack([back[k] for back in kept]) for k in (0, 2, 3, 4, 5))
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (h - n) * z * (1 - z), m * r * (1 - r)
+        d_n, d_g = np.empty_like(h), np.empty((*h.shape[:2], 3 * HIDDEN), h.dtype)
         d_h = np.zeros_like(states[0])
-        read, came = [], []
-        for (h, word, z, r, m, n), live, d_out in zip(kept[::-1], resets[::-1], d_states[::-1]):
-            d = d_h + d_out
-            d_n = d * (1 - z) * (1 - n * n)
-            d_gates = np.concatenate([d * (h - n) * z * (1 - z), d_n * m * r * (1 - r)], axis=1)
-            d_g = np.concatenate([d_gates, d_n * r], axis=1)
-            d_state += h.T @ d_g
-            read.append(word)
-            came.append(np.concatenate([d_gates, d_n], axis=1))
-            d_h = (d * z + d_g @ self.state.T) * live
-        read = np.concatenate(read)
-        order = np.argsort(read, kind="stable")
-        rows, at = np.unique(read[order], return_index=True)
-        d_inputs[rows] = np.add.reduceat(np.concatenate(came)[order], at)
+        for t in range(len(kept) - 1, -1, -1):
+            d_h += d_states[t]
+            np.multiply(d_h, by_n[t], out=d_n[t])
+            np.multiply(d_h, by_z[t], out=d_g[t, :, :HIDDEN])
+            np.multiply(d_n[t], by_r[t], out=d_g[t, :, HIDDEN : 2 * HIDDEN])
+            np.multiply(d_n[t], r[t], out=d_g[t, :, 2 * HIDDEN :])
+            d_h *= z[t]
+            d_h += d_g[t] @ self.state.T
+            d_h *= resets[t]
+        d_state = h.reshape(-1, HIDDEN).T @ d_g.reshape(-1, 3 * HIDDEN)
+        d_g[:, :, 2 * HIDDEN :] = d_n
+        d_inputs = np.zeros_like(self.inputs)
+        read = np.concatenate([back[1] for back in kept])
+        order = np.argsort(read.astype(np.int16), kind="stable")  # a radix sort: numbers of words are small
+        read = read[order]
+        at = np.flatnonzero(np.append(True, read[1:] != read[:-1]))
+        d_inputs[read[at]] = np.add.reduceat(d_g.reshape(-1, 3 * HIDDEN)[order], at)
         return [d_inputs, d_state, d_to_class, d_class_bias, d_to_word, d_word_bias]
 
     def documents(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -185,10 +205,11 @@ class Network:
         total = np.zeros(len(order))
         h = np.zeros((len(order), HIDDEN), np.float32)
         states, targets, owners, n = [], [], [], 0
+        inputs, state = _thirds(self.inputs), _thirds(self.state)
         for t in range(int(length[0]) if len(length) else 0):
             active = int(np.searchsorted(-length, -t, side="left"))  # documents longer than t
             read = words[first[:active] + t - 1] if t else np.full(active, other + 1)
-            h = self.step(h[:active], read)
+            h, _ = _gated(h[:active], inputs.take(read, axis=1), state)
             states.append(h)
             targets.append(words[first[:active] + t])
             owners.append(active)
@@ -210,23 +231,50 @@ class Network:
             at += active
 
 
+def _thirds(x: np.ndarray) -> np.ndarray:
+    """The columns for the two gates and the new state as three arrays, so that each lies in one piece."""
+    return np.ascontiguousarray(np.moveaxis(x.reshape(*x.shape[:-1], 3, HIDDEN), -2, 0))
+
+
+def _gated(h: np.ndarray, a: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """The next state, and what the way back needs; `a` and `state` in thirds."""
+    g = h @ state
+    gates = a[:2] + g[:2]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    z, r, m = *gates, g[2]
+    n = r * m
+    n += a[2]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, (z, r, m, n)
+
+
 def _log_sum(scores: np.ndarray) -> np.ndarray:
+    """Overwrites the scores."""
     top = scores.max(axis=1)
-    return top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+    scores -= top[:, None]
+    top += np.log(np.exp(scores, out=scores).sum(axis=1))
+    return top
 
 
 def _soft(scores: np.ndarray) -> np.ndarray:
-    p = np.exp(scores - scores.max(axis=1, keepdims=True))
-    return p / p.sum(axis=1, keepdims=True)
+    """In place of the scores."""
+    scores -= scores.max(axis=1, keepdims=True)
+    np.exp(scores, out=scores)
+    scores /= scores.sum(axis=1, keepdims=True)
+    return scores
 
 
-def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, its rows) for each class of predicted words."""
-    order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if cuts[c + 1] > cuts[c]:
-            yield c, order[cuts[c] : cuts[c + 1]]
+def _by_class(kind: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Rows with predicted words in order of their classes, and where each class lies among them."""
+    order = np.argsort(kind.astype(np.int16), kind="stable")  # a radix sort
+    cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+    return order[: cuts[-1]], [(c, slice(a, b)) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -362,6 +410,60 @@ def train(docs: DataFrame, words, network: Network) -> Network:
     return network
 
 
+def _score(batches: Iterator[pa.RecordBatch], vocabulary: Words, network: Network, log_other: float) -> Iterator[pa.RecordBatch]:
+    """Rows of `score_documents` but for words beyond the table, which are listed. Batches are scored together."""
+    names = ["doc_id", "text_key", "held_out", "n_tokens", "n_known", "base", "other", "rare"]
+    order_of = [*names[:-1], "network", "rare"]
+    rare_type = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
+    held, parts, n = [], [], 0
+
+    def settled() -> Iterator[pa.RecordBatch]:
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))])
+        logs = network.documents(np.concatenate([p[0] for p in parts]), bounds) / math.log(10)
+        at = 0
+        for rows in held:
+            yield rows.append_column("network", pa.array(logs[at : at + rows.num_rows])).select(order_of)
+            at += rows.num_rows
+
+    for batch in batches:
+        rows = []
+        for _, hashes, bounds in _tokens(batch.column("text")):
+            place = vocabulary.find(hashes)
+            found = place >= 0
+            log_base = np.where(found, vocabulary.log_base[place], 0.0) if len(vocabulary.hashes) else np.zeros(len(hashes))
+            numbers = np.where(found, vocabulary.number[place], CLASSES * WORDS_A_CLASS) if len(vocabulary.hashes) else np.full(len(hashes), CLASSES * WORDS_A_CLASS)
+            outside = numbers == CLASSES * WORDS_A_CLASS
+            known = np.add.reduceat(found.astype(np.int64), bounds[:-1])
+            base = np.add.reduceat(log_base, bounds[:-1])
+            rest = np.add.reduceat(np.where(outside, log_base - log_other, 0.0), bounds[:-1])
+            parts.append((numbers.astype(np.int16), np.diff(bounds)))
+            n += len(hashes)
+            for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+                if known[k] == b - a:
+                    rows.append((b - a, known[k], base[k], rest[k], []))
+                    continue
+                far, times = np.unique(hashes[a:b][~found[a:b]], return_counts=True)
+                rare = [{"h": x, "n": y} for x, y in zip(signed(far).tolist(), times.tolist())]
+                rows.append((b - a, known[k], base[k], rest[k], rare))
+        if not rows:
+            continue
+        every = pa.array(np.arange(batch.num_rows))  # copies: a view would hold the texts of the batch
+        held.append(pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(x).take(every) for x in names[:3]),
+                *(pa.array([int(r[k]) for r in rows], pa.int64()) for k in (0, 1)),
+                *(pa.array([float(r[k]) for r in rows], pa.float64()) for k in (2, 3)),
+                pa.array([r[4] for r in rows], rare_type),
+            ],
+            names=names,
+        ))
+        if n >= HELD_TOKENS:
+            yield from settled()
+            held, parts, n = [], [], 0
+    if held:
+        yield from settled()
+
+
 def score_documents(
     docs: DataFrame, modulus: int = 5, remainder: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -397,43 +499,9 @@ def score_documents(
         "network double, rare array<struct<h:long,n:int>>"
     )
     log_other = math.log10(other)
-    rare_type = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = words.value
-        for batch in batches:
-            parts, rows = [], []
-            for _, hashes, bounds in _tokens(batch.column("text")):
-                place = vocabulary.find(hashes)
-                found = place >= 0
-                log_base = np.where(found, vocabulary.log_base[place], 0.0) if len(vocabulary.hashes) else np.zeros(len(hashes))
-                numbers = np.where(found, vocabulary.number[place], CLASSES * WORDS_A_CLASS) if len(vocabulary.hashes) else np.full(len(hashes), CLASSES * WORDS_A_CLASS)
-                outside = numbers == CLASSES * WORDS_A_CLASS
-                known = np.add.reduceat(found.astype(np.int64), bounds[:-1])
-                base = np.add.reduceat(log_base, bounds[:-1])
-                rest = np.add.reduceat(np.where(outside, log_base - log_other, 0.0), bounds[:-1])
-                parts.append((numbers, np.diff(bounds)))
-                for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-                    if known[k] == b - a:
-                        rows.append((b - a, known[k], base[k], rest[k], []))
-                        continue
-                    far, n = np.unique(hashes[a:b][~found[a:b]], return_counts=True)
-                    rare = [{"h": x, "n": y} for x, y in zip(signed(far).tolist(), n.tolist())]
-                    rows.append((b - a, known[k], base[k], rest[k], rare))
-            if not rows:
-                continue
-            bounds = np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))])
-            logs = network.value.documents(np.concatenate([p[0] for p in parts]), bounds) / math.log(10)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(x) for x in ("doc_id", "text_key", "held_out")),
-                    *(pa.array([int(r[k]) for r in rows], pa.int64()) for k in (0, 1)),
-                    *(pa.array([float(r[k]) for r in rows], pa.float64()) for k in (2, 3)),
-                    pa.array(logs, pa.float64()),
-                    pa.array([r[4] for r in rows], rare_type),
-                ],
-                names=["doc_id", "text_key", "held_out", "n_tokens", "n_known", "base", "other", "network", "rare"],
-            )
+        return _score(batches, words.value, network.value, log_other)
 
     scored = materialise(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(tidy(score), schema), "scored")
     rare = scored.select("doc_id", "text_key", F.explode("rare").alias("w")).select("doc_id", "text_key", "w.h", "w.n")

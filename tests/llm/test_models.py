@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleanery.llm import discriminant, neighbours, recurrent
@@ -253,3 +254,26 @@ def test_words_of_the_network_are_found_in_their_own_table():
     assert words.numbers(asked).tolist() == [number[k] if k >= 0 else recurrent.CLASSES * recurrent.WORDS_A_CLASS for k in want]
     none = recurrent.Words(hashes[:0], np.zeros(0), number[:0])
     assert none.find(asked[:3]).tolist() == [-1, -1, -1] and len(set(none.numbers(asked[:3]))) == 1
+
+
+def test_documents_of_several_batches_are_scored_together():
+    rng = random.Random(5)
+    texts = [sentence(rng, rng.randrange(1, 60)) if i % 7 else "" for i in range(240)]
+    rows = pa.table({"doc_id": range(240), "text_key": range(240), "held_out": [False] * 240, "text": texts})
+    (_, hashes, _), = recurrent._tokens(rows["text"].combine_chunks())
+    known = np.unique(hashes)[::2]
+    words = recurrent.Words(known, np.full(len(known), -3.0), np.arange(len(known), dtype=np.int32))
+    calls = []
+
+    class Counted(recurrent.Network):
+        def documents(self, words, bounds):
+            calls.append(len(bounds) - 1)
+            return super().documents(words, bounds)
+
+    size = recurrent.CLASSES * recurrent.WORDS_A_CLASS
+    net = Counted(*recurrent.Network.fresh(np.full(size, 0.8 / size), 0.2).parts())
+    got = [pa.Table.from_batches(recurrent._score(iter(rows.to_batches(n)), words, net, -1.0)) for n in (16, 240)]
+    assert calls == [240, 240]  # the long documents of a small batch don't step alone
+    assert got[0]["doc_id"].to_pylist() == list(range(240)) and got[0]["n_tokens"].to_pylist() == [len(t.split()) + 1 for t in texts]
+    assert got[0].drop_columns("network").equals(got[1].drop_columns("network"))
+    assert np.allclose(got[0]["network"].to_numpy(), got[1]["network"].to_numpy(), rtol=1e-5)
