@@ -263,18 +263,35 @@ def publish(index: Index, pointer: str) -> str:
     """Point a small text file at a complete index, in one step for readers: the pointer is written beside its place
     and renamed over it by the file system, so that at any moment one whole pointer is there. Returns the digest of
     the index's lines, which stands in the pointer too."""
-    spark = index.spark
     digest, _ = digest_tree(canonical_lines(index), ["path", "line_start"])
+    point(index.spark, pointer, json.dumps({"digest": digest, "root": index.root}, sort_keys=True).encode())
+    return digest
+
+
+def point(spark: SparkSession, pointer: str, content: bytes) -> None:
+    """Write `content` beside `pointer` and rename it over the old one.
+
+    A local file system has no rename with overwriting: Hadoop would delete the old file first, and for a moment
+    there were none. Its plain rename replaces a file in one step, but not the checksum file beside it, so there the
+    pointer is written without one."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new = jvm.org.apache.hadoop.fs.Path(f"{pointer}.{uuid.uuid4().hex}")
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf) if new.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(conf)
-    out = new.getFileSystem(conf).create(new)
-    out.write(bytearray(json.dumps({"digest": digest, "root": index.root}, sort_keys=True).encode()))
+    fs = jvm.org.apache.hadoop.fs
+    new, old = fs.Path(f"{pointer}.{uuid.uuid4().hex}"), fs.Path(pointer)
+    store = new.getFileSystem(conf)
+    local = store.getUri().getScheme() == "file"
+    store = store.getRaw() if local else store
+    out = store.create(new)
+    out.write(bytearray(content))
     out.close()
-    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    files.rename(new, jvm.org.apache.hadoop.fs.Path(pointer), over)
-    return digest
+    if local:
+        store.delete(fs.Path(old.getParent(), f".{old.getName()}.crc"), False)  # of a pointer written with one
+        if not store.rename(new, old):
+            raise OSError(f"the pointer {pointer} could not be replaced")
+        return
+    files = fs.FileContext.getFileContext(store.getUri(), conf)
+    over = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    over[0] = fs.Options.Rename.OVERWRITE
+    files.rename(new, old, over)
 
 
 def published(spark: SparkSession, pointer: str, params: RankParams = DEFAULT_RANK, embedder: Embedder | None = None) -> Index:

@@ -118,6 +118,33 @@ def test_export_and_publication(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir() if p.name.startswith("current.")] == []
 
 
+def test_pointer_is_never_missing(spark, tmp_path):
+    for pointer in (str(tmp_path / "current"), f"file:{tmp_path}/named"):
+        place = pointer.removeprefix("file:")
+        (tmp_path / f".{place.rsplit('/', 1)[1]}.crc").write_bytes(b"crc\0 of an older pointer")
+        ix.point(spark, pointer, b"0")
+        found, stop = [], threading.Event()
+
+        def reader(place=place, found=found, stop=stop):
+            while not stop.is_set():
+                try:
+                    found.append(open(place).read())
+                except FileNotFoundError:
+                    found.append(None)
+
+        thread = threading.Thread(target=reader)
+        thread.start()
+        try:
+            for k in range(1, 301):
+                ix.point(spark, pointer, str(k).encode())
+        finally:
+            stop.set()
+            thread.join()
+        assert None not in found and "" not in found and len(set(found)) > 1
+        assert spark.read.text(pointer).first()[0] == "300"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["current", "named"]
+
+
 def test_questions_pinned_elsewhere_are_refused(spark):
     index = ix.build_index(passages(spark, 3), commit="a" * 40)
     ix.require_commit(index, "a" * 40)
