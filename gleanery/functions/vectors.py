@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanery.functions.tokens import Alphabet, lowered, lowering
 from gleanery.params import DENSE_DIM, INT8_SCALE
 
 
@@ -70,25 +70,60 @@ def _slot(word: str, dim: int) -> tuple[int, float]:
     return int.from_bytes(digest[:4], "big") % dim, 1.0 if digest[4] % 2 else -1.0
 
 
+#: Words whose slot a worker remembers.
+WORDS_KEPT = 150_000
+
+
+class _Slots(dict):
+    """The slot of each word, times two, and one more where its sign is positive."""
+
+    def __init__(self, dim: int) -> None:
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        slot, sign = _slot(word, self.dim)
+        self[word] = code = slot * 2 + (sign > 0)
+        return code
+
+
+_slots: dict[int, _Slots] = {}
+
+
+def word_counter(spark: SparkSession) -> Callable[[Column], Column]:
+    """How many `model_words` a text has; null for a null text."""
+    alphabet = lowering(spark)
+
+    @F.arrow_udf(T.IntegerType())
+    def count(texts: pa.Array) -> pa.Array:
+        counts = [n for _, some in alphabet.batches(texts.fill_null("").to_pylist()) for n in some.tolist()]
+        return pa.array(counts, pa.int32(), mask=texts.is_null().to_numpy(zero_copy_only=False))
+
+    return lambda text: count(lowered(text))
+
+
 def hashed_embedding(dim: int = DENSE_DIM) -> Callable[[Column], Column]:
     """Offline embedder: hashed bag of words, unit length, int8. No model, no network."""
 
-    @F.arrow_udf(T.ArrayType(T.ByteType()))
-    def embed(tokens: pa.Array) -> pa.Array:
-        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-        encoded = pc.list_flatten(tokens).dictionary_encode()
-        if isinstance(encoded, pa.ChunkedArray):
-            encoded = encoded.combine_chunks()
-        slots = [_slot(w, dim) for w in encoded.dictionary.to_pylist()] or [(0, 0.0)]
-        slot, sign = np.array([s for s, _ in slots]), np.array([g for _, g in slots])
-        codes = encoded.indices.to_numpy(zero_copy_only=False)
-        rows = np.repeat(np.arange(len(lengths)), lengths.astype(np.int64))
-        bags = np.zeros((len(lengths), dim))
-        np.add.at(bags, (rows, slot[codes]), sign[codes])
-        norm = np.sqrt((bags * bags).sum(axis=1, keepdims=True))
-        unit = np.divide(bags, norm, out=bags, where=norm > 0)
-        packed = np.clip(np.rint(unit * INT8_SCALE), -INT8_SCALE, INT8_SCALE).astype(np.int8)
-        offsets = pa.array(np.arange(0, (len(lengths) + 1) * dim, dim, dtype=np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(packed.reshape(-1)))
-
-    return lambda text: embed(model_words(text))
+    def embedder(alphabet: Alphabet) -> Callable[[Column], Column]:
+        @F.arrow_udf(T.ArrayType(T.ByteType()))
+        def embed(texts: pa.Array) -> pa.Array:
+            from gleanery.functions import vectors as here  # the worker's own module, which outlives the task
+
+            slots = here._slots.setdefault(dim, here._Slots(dim))
+            codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for words, some in alphabet.batches(texts.fill_null("").to_pylist()):
+                codes.append(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)))
+                counts.append(some)
+                if len(slots) > WORDS_KEPT:
+                    slots.clear()
+            codes, rows = np.concatenate(codes), np.repeat(np.arange(len(texts)), np.concatenate(counts))
+            bags = np.bincount(rows * dim + codes // 2, codes % 2 * 2.0 - 1.0, len(texts) * dim).reshape(len(texts), dim)
+            norm = np.sqrt((bags * bags).sum(axis=1, keepdims=True))
+            unit = np.divide(bags, norm, out=bags, where=norm > 0)
+            packed = np.clip(np.rint(unit * INT8_SCALE), -INT8_SCALE, INT8_SCALE).astype(np.int8)
+            offsets = pa.array(np.arange(0, (len(texts) + 1) * dim, dim, dtype=np.int32))
+            return pa.ListArray.from_arrays(offsets, pa.array(packed.reshape(-1)))
+
+        return embed
+
+    return lambda text: embedder(lowering(SparkSession.active()))(lowered(text))

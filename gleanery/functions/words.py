@@ -92,7 +92,8 @@ def path_stem(path: Column) -> Column:
 
 def body_text(text: Column, heading_path: Column) -> Column:
     """The passage without its heading line; a preamble has none to drop."""
-    rest = F.regexp_extract(text, r"(?s)^[^\n]*\n(.*)$", 1)
+    below = F.locate("\n", text)
+    rest = F.when(below > 0, F.substr(text, below + 1)).when(below == 0, "")
     return F.when(F.size(heading_path) > 0, rest).otherwise(text)
 
 

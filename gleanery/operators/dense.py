@@ -18,9 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.arrays import wide
 from gleanery.operators.scan import laid_out, running
 from gleanery.operators.topk import top_k
-from gleanery.session import at_most, materialise
+from gleanery.session import at_most, materialise, small_side
 
 #: Queries of a block, vectors of a chunk, and blocks that are broadcast together (of 384 components: 100 MB).
 BLOCK_QUERIES = 2048
@@ -28,6 +29,8 @@ CHUNK_ROWS = 4096
 BLOCKS_AT_ONCE = 128
 #: Parts in which survivors of one query are merged first, where more tasks than this find some.
 SLICES = 32
+#: Vectors of a file that wait in a task to be scored together, and of all files.
+WAITING_ROWS, MOST_WAITING = 2048, 131_072
 EXACT_FLOAT32 = 1 << 24  # integers below this are exact in single precision
 
 
@@ -77,6 +80,8 @@ class _Block:
         self.vectors = _matrix(lists, len(lists.flatten()) // len(lists)).copy()
         self.floor = _no_floor(len(asked))
         self.targets: dict[str, list[int]] = {}
+        self.waiting: dict[str, list[tuple[pa.Array, np.ndarray]]] = {}
+        self.rows: dict[str, int] = {}
         self.floors: dict[str, np.ndarray] = {}
         if "paths" in asked.type.names:
             for k, paths in enumerate(asked.field("paths").to_pylist()):
@@ -108,10 +113,12 @@ def _slices(vectors: DataFrame) -> int:
 
 #: What a task does with a chunk (rows, its matrix) and a block, and the columns of what it yields.
 Score = Callable[[pa.StructArray, np.ndarray, _Block], Iterator[list[pa.Array]]]
+Last = Callable[[_Block], Iterator[list[pa.Array]]]
 
 
-def _met(vectors: DataFrame, queries: DataFrame, order: tuple[str, ...], schema: str, score: Score, extra: tuple[str, ...] = ()) -> DataFrame:
-    """What `score` yields for every chunk of vectors with every block of queries."""
+def _met(vectors: DataFrame, queries: DataFrame, order: tuple[str, ...], schema: str, score: Score, extra: tuple[str, ...] = (), last: Last | None = None) -> DataFrame:
+    """What `score` yields for every chunk of vectors with every block of queries, and `last` for every block at the end of
+    a task."""
     names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,6 +135,10 @@ def _met(vectors: DataFrame, queries: DataFrame, order: tuple[str, ...], schema:
                 for columns in score(rows, matrix, blocks[number]):
                     if len(columns[0]):
                         yield pa.RecordBatch.from_arrays(columns, names=names)
+        for block in blocks.values() if last else ():
+            for columns in last(block):
+                if len(columns[0]):
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     chunks = _packed(vectors, order)
     parts = [chunks.crossJoin(F.broadcast(blocks)).mapInArrow(scan, schema) for blocks in query_blocks(queries, extra)]
@@ -222,22 +233,42 @@ def within_files(
 ) -> DataFrame:
     """(qid, path, line_start, dot, rank): best passages inside each question's chosen files.
 
-    `chosen` holds (qid, path). Each task scores only the chosen pairs and keeps `depth` of each
-    pair per chunk, so a chosen file that holds much of the corpus stays spread out.
+    `chosen` holds (qid, path). Each task scores only the chosen pairs, some WAITING_ROWS vectors of a file at a time, and
+    yields no more than `depth` of each pair for each time, so a chosen file that holds much of the corpus stays
+    spread out.
     """
     lists = chosen.groupBy("qid").agg(F.collect_set("path").alias("paths"))
     asked = queries.select("qid", "embedding").join(lists, "qid")
+    vectors = vectors.join(small_side(chosen.select("path").distinct()), "path", "left_semi")
+
+    def settle(block: _Block, path: str) -> Iterator[list[pa.Array]]:
+        lines, matrices = zip(*block.waiting.pop(path))
+        del block.rows[path]
+        lines, matrix = pa.concat_arrays(lines), np.concatenate(matrices)
+        order = wide(pc.sort_indices(lines, null_placement="at_start"))  # of equal dots the first line counts
+        cols = np.array(block.targets[path])
+        dots = _multiply(matrix[order], block.vectors[cols])
+        row, col = _survivors(dots, depth, block.floors.setdefault(path, _no_floor(len(cols))))
+        found = lines.take(pa.array(order[row])).cast(pa.int64())
+        yield [block.ids.take(pa.array(cols[col])), pa.array([path] * len(row), pa.string()), found, pa.array(dots[row, col], pa.int64())]
 
     def score(rows: pa.StructArray, matrix: np.ndarray, block: _Block) -> Iterator[list[pa.Array]]:
         runs = pc.run_end_encode(rows.field("path"))
         ends = [0, *runs.run_ends.to_pylist()]
         for lo, hi, path in zip(ends, ends[1:], runs.values.to_pylist()):
             if path in block.targets:
-                cols = np.array(block.targets[path])
-                dots = _multiply(matrix[lo:hi], block.vectors[cols])
-                row, col = _survivors(dots, depth, block.floors.setdefault(path, _no_floor(len(cols))))
-                yield _emit(rows, block, row + lo, cols[col], dots[row, col])
+                line = rows.field("line_start").take(pa.array(np.arange(lo, hi)))
+                block.waiting.setdefault(path, []).append((line, matrix[lo:hi].copy()))
+                block.rows[path] = block.rows.get(path, 0) + hi - lo
+                if block.rows[path] >= WAITING_ROWS:
+                    yield from settle(block, path)
+        if sum(block.rows.values()) >= MOST_WAITING:
+            yield from last(block)
+
+    def last(block: _Block) -> Iterator[list[pa.Array]]:
+        for path in list(block.waiting):
+            yield from settle(block, path)
 
     schema = f"qid {_qid_type(queries)}, path string, line_start bigint, dot bigint"
-    found = _met(vectors, asked, ("path", "line_start"), schema, score, ("paths",))
+    found = _met(vectors, asked, ("path", "line_start"), schema, score, ("paths",), last)
     return top_k(found, ["qid", "path"], [F.desc("dot"), F.asc("line_start")], depth, slices=_slices(vectors))

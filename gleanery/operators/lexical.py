@@ -42,6 +42,21 @@ def passage_words(params: RankParams = DEFAULT_RANK) -> Column:
     return F.concat(*parts)
 
 
+def bag_texts(passages: DataFrame, params: RankParams = DEFAULT_RANK) -> DataFrame:
+    """(path, line_start, first, body, extra) of passages with a path: the words of `first` and `body` are those of
+    the passage's text, which its file counts, and those of `body` and `extra` the ones of `passage_words`, with
+    `extra` null where they are."""
+    text, below = F.coalesce("text", F.lit("")), F.locate("\n", F.col("text"))
+    cut = F.when(below > 0, F.substring_index("text", "\n", 1)).otherwise(text)
+    parts = [F.array_join("heading_path", " ")] * params.heading_weight + [path_stem(F.col("path"))] * params.path_weight
+    extra = F.concat(F.lit(""), *[p for part in parts for p in (part, F.lit(" "))])
+    return passages.filter(F.col("path").isNotNull()).select(
+        *PASSAGE, F.when(F.size("heading_path") > 0, cut).otherwise("").alias("first"),
+        F.coalesce(body_text(F.col("text"), F.col("heading_path")), F.lit("")).alias("body"),
+        F.when(F.col("text").isNotNull(), extra).alias("extra"),
+    )
+
+
 def _counted(rows: DataFrame, keys: Sequence[str], stemmer: str) -> DataFrame:
     """(keys, dl, term, tf) from rows with a `_words` array."""
     if stemmer == "porter-1980":

@@ -2,86 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import re
 
-from gleanery.functions.words import SPACE_CLASS, strip_space
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The line patterns of headings and fences.
 FENCE = r"^ {0,3}(`{3,}|~{3,})"
 HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+([^\n]*?))?[ \t]*\z"
 CLOSING_HASHES = r"[ \t]+#+[ \t]*\z"
-BLANK = f"^[{SPACE_CLASS}]*\\z"
 
-_TRAIL = "array<struct<level:int,heading:string>>"
-_FOUND = "array<struct<line:int,heading:string,trail:array<string>>>"
+_FENCE, _HEADING, _CLOSING, _HASHES = (re.compile(p.replace("\\z", "\\Z")) for p in (FENCE, HEADING, CLOSING_HASHES, r"^#+\z"))
+#: What a line that opens, closes or heads anything begins with, after three blanks at most.
+_MARKS = ("#", "`", "~", " ")
 
+SECTIONS = T.ArrayType(T.StructType([
+    T.StructField("line", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("heading", T.StringType()),
+    T.StructField("trail", T.ArrayType(T.StringType())), T.StructField("text", T.StringType()), T.StructField("kept", T.BooleanType()),
+]))
 
-def heading_text(raw: Column) -> Column:
+
+def heading_text(raw: str) -> str:
     """Trimmed heading without closing hashes; a heading of hashes only is empty."""
-    text = strip_space(raw)
-    return F.when(text.rlike(r"^#+\z"), "").otherwise(
-        strip_space(F.regexp_replace(text, CLOSING_HASHES, ""))
-    )
+    text = raw.strip()
+    return "" if _HASHES.search(text) else _CLOSING.sub("", text).strip()
 
 
-def _first_body_line(lines: Column) -> Column:
+def _first_body_line(lines: list[str]) -> int:
     """The line after a closed front matter block, else the first line."""
-    closing = F.array_position(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), "---")
-    return F.when((F.element_at(lines, 1) == "---") & (closing > 0), closing + 2).otherwise(1)
+    return lines.index("---", 1) + 2 if lines[0] == "---" and "---" in lines[1:] else 1
 
 
-def headings(text: Column) -> Column:
+def headings(lines: list[str]) -> list[tuple[int, str, list[str]]]:
     """Every heading outside fences with its line number and trail of ancestors.
 
-    Only lines that can open, close or head anything enter the fold. An open fence is closed by a
-    run of the same mark that is at least as long, whatever follows it; while one is open, nothing
-    else counts. An unclosed fence runs to the end.
+    An open fence is closed by a run of the same mark that is at least as long, whatever follows it; while one is open,
+    nothing else counts. An unclosed fence runs to the end.
     """
-    lines = F.split(text, "\n")
-    marked = F.filter(
-        F.transform(lines, lambda line, i: F.struct((i + 1).alias("n"), line.alias("line"))),
-        lambda x: x["line"].rlike(FENCE) | x["line"].rlike(HEADING),
-    )
-    candidates = F.transform(
-        marked,
-        lambda x: F.struct(
-            x["n"].alias("n"),
-            F.regexp_extract(x["line"], FENCE, 1).alias("fence"),
-            F.length(F.regexp_extract(x["line"], HEADING, 1)).alias("level"),
-            heading_text(F.regexp_extract(x["line"], HEADING, 2)).alias("heading"),
-        ),
-    )
-    start = F.struct(
-        _first_body_line(lines).cast("int").alias("first"),  # here it is computed once per file
-        F.lit("").alias("open"),
-        F.array().cast(_TRAIL).alias("trail"),
-        F.array().cast(_FOUND).alias("found"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        body, inside = x["n"] >= acc["first"], acc["open"] != ""
-        closes = inside & x["fence"].startswith(acc["open"])
-        opens = body & ~inside & (x["fence"] != "")
-        heads = body & ~inside & (x["fence"] == "")
-        trail = F.concat(
-            F.filter(acc["trail"], lambda t: t["level"] < x["level"]),
-            F.array(F.struct(x["level"].alias("level"), x["heading"].alias("heading"))),
-        )
-        found = F.struct(
-            x["n"].alias("line"),
-            x["heading"].alias("heading"),
-            F.transform(trail, lambda t: t["heading"]).alias("trail"),
-        )
-        return F.struct(
-            acc["first"].alias("first"),
-            F.when(closes, "").when(opens, x["fence"]).otherwise(acc["open"]).alias("open"),
-            F.when(heads, trail).otherwise(acc["trail"]).alias("trail"),
-            F.when(heads, F.concat(acc["found"], F.array(found))).otherwise(acc["found"])
-            .alias("found"),
-        )
-
-    return F.aggregate(candidates, start, step, lambda acc: acc["found"])
+    first, fence, found = _first_body_line(lines), "", []
+    trail: list[tuple[int, str]] = []
+    for n, line in enumerate(lines, 1):
+        if not line.startswith(_MARKS):
+            continue
+        if mark := _FENCE.search(line):
+            if fence:
+                fence = "" if mark[1].startswith(fence) else fence
+            elif n >= first:
+                fence = mark[1]
+        elif not fence and n >= first and (head := _HEADING.search(line)):
+            level = len(head[1])
+            trail = [t for t in trail if t[0] < level] + [(level, heading_text(head[2] or ""))]
+            found.append((n, trail[-1][1], [t[1] for t in trail]))
+    return found
+
+
+def _cut(lines: list[str]) -> str:
+    """The lines without the blank ones at the end."""
+    raw = "\n".join(lines)
+    at = raw.find("\n", len(raw.rstrip()))
+    return raw if at < 0 else raw[:at]
+
+
+@F.arrow_udf(SECTIONS)
+def split_file(texts: pa.Array) -> pa.Array:
+    """The sections of each file."""
+    counts, rows = [], []
+    for text in texts.to_pylist():
+        if text is None:
+            counts.append(0)
+            continue
+        lines = text.split("\n")
+        found = headings(lines)
+        if not found or found[0][0] > 1:
+            found = [(1, "", []), *found]
+        for (n, heading, trail), last in zip(found, [*(f[0] - 1 for f in found[1:]), len(lines)]):
+            own = _cut(lines[n - 1 : last])
+            height = own.count("\n") + 1
+            rows.append((n, height, heading, trail, own, height > 1 if trail else bool(own.strip())))
+        counts.append(len(found))
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_()]
+    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]
+    pieces = pa.StructArray.from_arrays(columns, names=SECTIONS.elementType.names)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pieces)
 
 
 def sections(files: DataFrame) -> DataFrame:
@@ -91,43 +96,17 @@ def sections(files: DataFrame) -> DataFrame:
     belong to a section. One with nothing below its heading has `kept` false, but stays in the
     trail of those below it.
     """
-    found = files.select(
-        "path", F.split("text", "\n").alias("lines"), headings(F.col("text")).alias("found")
-    )
-    first = F.coalesce(F.try_element_at("found", F.lit(1))["line"], F.size("lines") + 1)
-    none = F.array().cast("array<string>")
-    preamble = F.struct(
-        F.lit(1).alias("line"), F.lit("").alias("heading"), none.alias("trail"),
-        (first - 1).alias("last"),
-    )
-    headed = F.transform(
-        "found",
-        lambda h, i: F.struct(
-            h["line"].alias("line"), h["heading"].alias("heading"), h["trail"].alias("trail"),
-            (F.coalesce(F.try_element_at("found", i + 2)["line"], F.size("lines") + 1) - 1)
-            .alias("last"),
-        ),
-    )
-    pieces = F.when(first > 1, F.concat(F.array(preamble), headed)).otherwise(headed)
-
-    def cut(s: Column) -> Column:
-        raw = F.array_join(F.slice("lines", s["line"], s["last"] - s["line"] + 1), "\n")
-        return F.regexp_replace(raw, f"\\n[{SPACE_CLASS}]*\\z", "")
-
     # texts are cut before they become rows: no row of a section carries its whole file
-    whole = F.transform(
-        pieces, lambda s: F.struct(s["line"].alias("line"), s["heading"].alias("heading"), s["trail"].alias("trail"), cut(s).alias("text"))
-    )
-    rows = found.select("path", F.explode(whole).alias("s")).select("path", "s.*")
-    height = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    found = files.select("path", split_file("text").alias("found"))
+    rows = found.select("path", F.explode("found").alias("s")).select("path", "s.*")
     return rows.select(
         "path",
         F.col("line").cast("bigint").alias("line_start"),
-        (F.col("line") + height - 1).cast("bigint").alias("line_end"),
+        (F.col("line") + F.col("height") - 1).cast("bigint").alias("line_end"),
         "heading",
         F.col("trail").alias("heading_path"),
         "text",
-        F.when(F.size("trail") > 0, height > 1).otherwise(~F.col("text").rlike(BLANK)).alias("kept"),
+        "kept",
         (F.size("trail") > 0).alias("headed"),
     )
 

@@ -18,8 +18,8 @@ from gleanery.functions.words import model_text
 from gleanery.operators import lexical
 from gleanery.operators.scan import laid_out, running
 from gleanery.params import DEFAULT_RANK, RankParams
-from gleanery.plans.postings import write_postings
-from gleanery.session import materialise, scratch_path, small_side
+from gleanery.plans.bags import write_bags
+from gleanery.session import materialise, scratch_path
 
 PASSAGES = T.StructType([
     T.StructField("path", T.StringType()),
@@ -95,8 +95,12 @@ class Index:
 
     def table(self, name: str) -> DataFrame:
         self._require(PART_OF.get(name))
-        schema = TABLES[name] if name != "passages" else PASSAGES
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        return _read(self, name)
+
+    def sections(self) -> DataFrame:
+        """The passages, and with `kept` false the sections that hold nothing."""
+        schema = T.StructType([*PASSAGES.fields, T.StructField("kept", T.BooleanType())])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/passages")
 
     def _require(self, part: str | None) -> None:
         if part and part not in self.parts:
@@ -110,6 +114,12 @@ class Index:
         return found, getattr(self.meta, f"{unit}_buckets")
 
 
+def _read(index: Index, name: str) -> DataFrame:
+    if name == "passages":
+        return index.sections().filter("kept").drop("kept")
+    return index.spark.read.schema(TABLES[name]).parquet(f"{index.root}/{name}")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores on a table that arrives in fewer splits; at scale the splits are plenty."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -129,16 +139,18 @@ def build_index(
     embedder: Embedder | None = None,
     parts: Sequence[str] = PARTS,
 ) -> Index:
-    """Write every table of the index below a fresh directory, then open it.
+    """Write every table of the index below a fresh directory, then open it. Of `passages` with a column `kept` all rows
+    are written, but only those are passages of the index.
 
-    With fewer `parts` the tables of the others are left out until `with_parts` adds them. Postings lie in buckets of terms, a bucket with a frequent term in several files (`write_postings`).
+    With fewer `parts` the tables of the others are left out until `with_parts` adds them. Postings lie in buckets of terms, a bucket with a frequent term in several files (`write_bags`).
     """
     spark = passages.sparkSession
     embedder = embedder or hashed(params.embedding.dim)
     root = root or scratch_path(spark, "index")
     fields = [F.col(f.name).cast(f.dataType) for f in PASSAGES.fields]
-    spread(passages.select(*fields), "path", "line_start").write.parquet(f"{root}/passages")
-    stored = spark.read.schema(PASSAGES).parquet(f"{root}/passages")
+    kept = F.col("kept") if "kept" in passages.columns else F.lit(True).alias("kept")
+    passages = spread(passages.select(*fields, kept), "path", "line_start")
+    passages.write.option("compression", "zstd").parquet(f"{root}/passages")
 
     if skipped is None:
         skipped = spark.createDataFrame([], TABLES["skipped"])
@@ -154,25 +166,26 @@ def with_parts(index: Index, *parts: str) -> Index:
     missing = [part for part in PARTS if part in parts and part not in index.parts]
     if not missing:
         return index
+    units = [unit for unit in ("passage", "file") if unit in missing]
+    if units:
+        size = stored.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = write_bags(lexical.bag_texts(stored, params), size, {u: f"{index.root}/{u}_terms" for u in units}, params.path_weight)
+        changes |= {f"{unit}_buckets": buckets for unit in units}
+    for unit in units:
+        lexical.document_frequency(_read(index, f"{unit}_terms")).write.parquet(f"{index.root}/{unit}_vocabulary")
     if "passage" in missing:
-        bags = materialise(lexical.passage_bags(stored, params), "passage-bags")
-        changes["passage_buckets"] = write_postings(bags, lexical.PASSAGE, f"{index.root}/passage_terms")
-        lexical.document_frequency(bags).write.parquet(f"{index.root}/passage_vocabulary")
-        stats = lexical.corpus_stats(bags, stored).first()
+        stats = lexical.corpus_stats(_read(index, "passage_terms"), stored).first()
         changes |= {"passages": stats["n_bags"], "passage_avgdl": stats["avgdl"]}
     if "file" in missing:
-        summed = materialise(lexical.file_bags(stored, params), "file-bags")
-        lengths = small_side(materialise(lexical.lengths(summed, ["path"]), "file-lengths"))
-        files = materialise(summed.join(lengths, "path").select("path", "dl", "term", "tf"), "file-terms")
-        changes["file_buckets"] = write_postings(files, ("path",), f"{index.root}/file_terms")
-        lexical.document_frequency(files).write.parquet(f"{index.root}/file_vocabulary")
-        stats = lexical.corpus_stats(summed, stored.select("path").distinct()).first()
+        nameless = lexical.file_bags(stored.filter("path is null"), params).select("tf")  # of no file, but of the words
+        counts = _read(index, "file_terms").select("tf").unionByName(nameless)
+        stats = lexical.corpus_stats(counts, stored.select("path").distinct()).first()
         changes |= {"files": stats["n_bags"], "file_avgdl": stats["avgdl"]}
     if "vectors" in missing:
         text = model_text(F.col("text"), F.col("heading_path"))
         stored.select(
             "path", "line_start", index.embedder.passage(text).alias("embedding")
-        ).write.parquet(f"{index.root}/vectors")
+        ).write.option("compression", "zstd").parquet(f"{index.root}/vectors")
     index = replace(index, meta=replace(index.meta, **changes), parts=index.parts | set(missing))
     return write_meta(index) if index.parts == frozenset(PARTS) else index
 

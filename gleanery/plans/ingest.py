@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.embedder import Embedder
-from gleanery.functions.vectors import model_words
+from gleanery.functions.vectors import word_counter
 from gleanery.functions.words import model_text
 from gleanery.operators import calibration
 from gleanery.operators.sections import sections
 from gleanery.params import DEFAULT_RANK, SENTINEL_THRESHOLD, RankParams
-from gleanery.plans.index import PARTS, Index, build_index, write_meta
+from gleanery.plans.index import PARTS, Index, build_index, with_parts, write_meta
 from gleanery.plans.retrieve import embedded
-from gleanery.session import materialise
 
 
 def run_ingest(
@@ -29,26 +29,25 @@ def run_ingest(
     embedder: Embedder | None = None,
     parts: Sequence[str] = PARTS,
 ) -> Index:
-    """Split, index and calibrate. The sections are written once; counters are aggregates of them.
+    """Split, index and calibrate. The sections are written once, as the passages of the index and what is dropped of
+    them; counters are aggregates of them.
 
     With fewer `parts` the index is neither complete nor calibrated: `with_parts` and `calibrate` do the rest.
     """
-    split = materialise(sections(files), "sections")
+    index = build_index(sections(files), repo, commit, params, None, skipped, root, embedder, ())
     text = model_text(F.col("text"), F.col("heading_path"))
     most = params.embedding.max_tokens
-    # a text of n words has 2 n - 1 characters at least: few are long enough for their words to be counted
-    long = (F.length(F.lower(text)) >= 2 * (most - 1) - 1) & (F.size(model_words(text)) + 2 > most)
-    counted = split.agg(
-        F.count_if(~F.col("kept") & F.col("headed")).alias("empty"),
-        F.count_if(F.col("kept") & long).alias("truncated"),
+    # a text of n words has 2 n - 1 bytes at least: few are long enough for their words to be counted
+    long = F.when(F.octet_length(text) >= 2 * (most - 1) - 1, text)
+    counted = index.sections().agg(
+        F.count_if(~F.col("kept") & (F.size("heading_path") > 0)).alias("empty"),
+        F.count_if(F.col("kept") & (word_counter(index.spark)(long) + 2 > most)).alias("truncated"),
     ).first()
-    counters = {
-        "files_read": files.count(),
-        "skipped": skipped.count() if skipped is not None else 0,
-        "empty_dropped": counted["empty"],
-        "truncated": counted["truncated"],
-    }
-    index = build_index(split.filter("kept"), repo, commit, params, counters, skipped, root, embedder, parts)
+    index = replace(index, meta=replace(
+        index.meta, files_read=files.count(), skipped=skipped.count() if skipped is not None else 0,
+        empty_dropped=counted["empty"], truncated=counted["truncated"],
+    ))
+    index = with_parts(index, *parts)
     return calibrate(index, offtopic) if index.parts == frozenset(PARTS) else index
 
 

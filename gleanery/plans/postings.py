@@ -33,7 +33,7 @@ def buckets_for(postings: int) -> int:
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
 
 def write_postings(bags: DataFrame, keys: Sequence[str], path: str, file_rows: int = FILE_ROWS) -> int:

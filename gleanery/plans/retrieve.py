@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.formats import file_link, passage_link
 from gleanery.functions.vectors import model_words, similarity
 from gleanery.functions.words import squeeze_space
-from gleanery.operators import dense, lexical
+from gleanery.operators import dense, lexical, scoring
 from gleanery.operators.fusion import rrf
 from gleanery.operators.topk import top_k
 from gleanery.params import NOTHING
@@ -76,11 +76,39 @@ def passage_scores(
     )
 
 
+def _best(index: Index, questions: DataFrame, unit: str, depth: int, chosen: DataFrame | None = None) -> DataFrame:
+    """(qid, keys, score, rank): the first `depth` of each question, or of each question and chosen file, by BM25."""
+    postings, buckets = index.postings(unit)
+    bags, avgdl = (index.meta.files, index.meta.file_avgdl) if unit == "file" else (index.meta.passages, index.meta.passage_avgdl)
+    keys = ("path",) if unit == "file" else lexical.PASSAGE
+    groups = ["qid"] if chosen is None else ["qid", "path"]
+    order = [F.desc("score"), *[F.asc(k) for k in keys if k not in groups]]
+    weights = _weights(index, questions, unit, bags, buckets)
+    batch = scoring.asked(weights, chosen)
+    if batch:
+        found = scoring.best(postings, weights, batch, avgdl, keys, index.params, depth, chosen, bags)
+    else:  # a batch that is too large to send to every task
+        found = lexical.bm25(
+            postings, weights, F.lit(avgdl), keys, index.params, regroup=True, chosen=chosen, tasks=_tasks(weights, bags),
+        )
+    return top_k(found, groups, order, depth)
+
+
+def best_files(index: Index, questions: DataFrame, depth: int) -> DataFrame:
+    """(qid, path, score, rank): the first files of each question by whole-file BM25."""
+    return _best(index, questions, "file", depth)
+
+
+def best_passages(index: Index, questions: DataFrame, chosen: DataFrame, depth: int) -> DataFrame:
+    """(qid, path, line_start, score, rank): the first passages of each chosen (qid, path) by BM25."""
+    return _best(index, questions, "passage", depth, chosen)
+
+
 def fused_files(index: Index, questions: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, path, score) of every file in either list."""
     emb = index.params.embedding
     lists = [
-        lexical.ranked_files(file_scores(index, questions), emb.fusion_depth),
+        best_files(index, questions, emb.fusion_depth),
         dense.file_dense(index.table("vectors"), queries, emb.fusion_depth),
     ]
     return rrf(lists, ["qid", "path"], emb.rrf_k, emb.fusion_depth)
@@ -98,8 +126,7 @@ def shown_passages(
     """(qid, path, line_start, within, passage_rank): the passages shown of each ranked file."""
     emb = index.params.embedding
     chosen = files.select("qid", "path")
-    lex = passage_scores(index, questions, chosen)
-    lex = top_k(lex, ["qid", "path"], [F.desc("score"), F.asc("line_start")], emb.fusion_depth)
+    lex = best_passages(index, questions, chosen, emb.fusion_depth)
     near = dense.within_files(index.table("vectors"), queries, chosen, emb.fusion_depth)
     fused = rrf([lex, near], ["qid", "path", "line_start"], emb.rrf_k, emb.fusion_depth)
     return top_k(
