@@ -9,14 +9,12 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gleanery.functions.arrays import crc, narrow, packed, slices_of, unpacked, wide
 from gleanery.functions.porter import Vocabulary
@@ -31,9 +29,9 @@ GROUPS = 4
 POSTING_BYTES = 8
 BATCH_ROWS = 65_536
 FILE = "file"
-#: Tasks for each part: few parts fall to the same one by hash.
-TASKS_A_PART = 2
-WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+#: Tasks for each part.
+TASKS_A_PART = 1
+WRITERS, CLEANUP = "spark.sql.maxConcurrentOutputFileWriters", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 _known: list[Vocabulary] = []
@@ -215,72 +213,72 @@ def _merged(blobs: list[bytes], group: int, groups: int, buckets: int, alphabet:
     path, dl = path.take(docs), dl[wide(docs)]
     line = None if line is None else line.take(docs)
     strings, bucket = words.dictionary.take(pa.array(np.array(order, np.int64))), bucket[order]
-    small, large = (pa.int32(), pa.int64())
     for lo in range(0, len(key), BATCH_ROWS):
         term, doc = np.divmod(key[lo : lo + BATCH_ROWS], len(path))
-        to = small if line is not None else large
         columns = {"path": path.take(pa.array(doc))}
         if line is not None:
             columns["line_start"] = line.take(pa.array(doc))
         columns |= {
-            "dl": pa.array(dl[doc], to), "term": strings.take(pa.array(term)),
-            "tf": pa.array(tf[lo : lo + BATCH_ROWS], to), "bucket": pa.array(bucket[term], small),
+            "dl": pa.array(dl[doc], pa.int64()), "term": strings.take(pa.array(term)),
+            "tf": pa.array(tf[lo : lo + BATCH_ROWS], pa.int64()), "bucket": pa.array(bucket[term], pa.int32()),
         }
         yield pa.RecordBatch.from_pydict(columns)
 
 
-def write_bags(texts: DataFrame, text_bytes: int, paths: dict[str, str], name_weight: int, file_rows: int = FILE_ROWS // 2) -> int:
-    """Write the postings of `texts` (`lexical.bag_texts`), as `write_postings` lays them out, to a path for each unit: a
-    directory for each bucket of terms, files of `file_rows` about, sorted by term. Returns the number of buckets.
+#: What a table of postings has, whatever the unit; `line_start` is null for a file.
+ROWS = "unit string, path string, line_start bigint, dl bigint, term string, tf bigint, bucket int"
+
+
+def write_bags(texts: DataFrame, text_bytes: int, path: str, units: Sequence[str], name_weight: int, file_rows: int = FILE_ROWS) -> int:
+    """Write the postings of `texts` (`lexical.bag_texts`), as `write_postings` lays them out, below a directory for each
+    unit: one for each bucket of terms, files of `file_rows` about, sorted by term. Returns the number of buckets.
 
     A path is one bag of the unit `file`: its texts, and the words of its name `name_weight` times. Two units are
-    counted in one pass over the texts, whose pieces lie on the executors' disks until both are written.
+    counted in one pass over the texts and written together, so that their pieces lie on the disks once.
     """
     spark = texts.sparkSession
     alphabet = folding(spark)
     postings = max(text_bytes // POSTING_BYTES, 1)
-    buckets, groups, units = buckets_for(postings), GROUPS, sorted(paths)
+    buckets, groups = buckets_for(postings), GROUPS
     slices = max(-(-postings // (groups * file_rows)), 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _counted(batches, alphabet, groups, slices, units)
 
-    def merger(unit: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list[bytes]] = defaultdict(list)
-            for batch in batches:
-                for part, piece in zip(batch.column("part").to_pylist(), batch.column("piece").to_pylist()):
-                    held[part].append(piece)
-            for part in sorted(held):
-                yield from _merged(held.pop(part), part // slices, groups, buckets, alphabet, name_weight if unit == FILE else None)
-                pa.default_memory_pool().release_unused()
-
-        return merge
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list[bytes]] = defaultdict(list)
+        for batch in batches:
+            for unit, part, piece in zip(*(batch.column(c).to_pylist() for c in ("unit", "part", "piece"))):
+                held[unit, part].append(piece)
+        for unit, part in sorted(held):
+            for rows in _merged(held.pop((unit, part)), part // slices, groups, buckets, alphabet, name_weight if unit == FILE else None):
+                lines = rows.column("line_start") if unit != FILE else pa.nulls(rows.num_rows, pa.int64())
+                columns = [pa.array([unit]).take(pa.array(np.zeros(rows.num_rows, np.int64))), rows.column("path"), lines]
+                yield pa.RecordBatch.from_arrays(
+                    columns + [rows.column(c) for c in ("dl", "term", "tf", "bucket")], names=[f.split(" ")[0] for f in ROWS.split(", ")]
+                )
+            pa.default_memory_pool().release_unused()
 
     pieces = texts.mapInArrow(count, "unit string, part int, piece binary")
-    pieces = pieces.persist(StorageLevel.DISK_ONLY) if len(units) > 1 else pieces
-    try:
-        for unit in units:
-            kind = "bigint" if unit == FILE else "int"
-            schema = f"path string, {'' if unit == FILE else 'line_start bigint, '}dl {kind}, term string, tf {kind}, bucket int"
-            dealt = pieces.filter(F.col("unit") == unit).drop("unit").repartition(TASKS_A_PART * groups * slices, "part")
-            with _several_files(spark):
-                rows = dealt.mapInArrow(merger(unit), schema).write.option("compression", "zstd")
-                rows.option("parquet.dictionary.page.size", 4 << 20).partitionBy("bucket").parquet(paths[unit])
-    finally:
-        pieces.unpersist()
+    rows = pieces.repartition(TASKS_A_PART * len(units) * groups * slices, "unit", "part").mapInArrow(merge, ROWS)
+    with _settings(spark, {WRITERS: "64", CLEANUP: "true"}):
+        out = rows.write.mode("append").option("compression", "zstd").option("parquet.dictionary.page.size", 4 << 20)
+        out.partitionBy("unit", "bucket").parquet(path)
     return buckets
 
 
-class _several_files:
-    """The rows of a task come sorted by bucket: they need no sort of Spark's, as long as few files are open at once."""
+class _settings:
+    """Rows of a task come sorted by bucket: they need no sort of Spark's, as long as few files are open at once. The
+    pieces are of no use once the rows are written."""
 
-    def __init__(self, spark: SparkSession, most: int = 64) -> None:
-        self.conf, self.most = spark.conf, most
+    def __init__(self, spark: SparkSession, values: dict[str, str]) -> None:
+        self.conf, self.values = spark.conf, values
 
     def __enter__(self) -> None:
-        self.before = self.conf.get(WRITERS)
-        self.conf.set(WRITERS, str(self.most))
+        self.before = {name: self.conf.get(name, None) for name in self.values}
+        for name, value in self.values.items():
+            self.conf.set(name, value)
 
-    def __exit__(self, *_: Sequence[object]) -> None:
-        self.conf.set(WRITERS, self.before)
+    def __exit__(self, *_: object) -> None:
+        for name, value in self.before.items():
+            self.conf.set(name, value) if value is not None else self.conf.unset(name)

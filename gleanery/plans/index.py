@@ -109,17 +109,25 @@ class Index:
     def postings(self, unit: str) -> tuple[DataFrame, int]:
         """The postings of passages or files with the bucket they lie in, and the number of buckets."""
         self._require(unit)
-        schema = f"{TABLES[f'{unit}_terms']}, bucket int"
-        found = self.spark.read.schema(schema).parquet(f"{self.root}/{unit}_terms")
-        return found, getattr(self.meta, f"{unit}_buckets")
+        return _postings(self, f"{unit}_terms"), getattr(self.meta, f"{unit}_buckets")
 
 
 def _read(index: Index, name: str) -> DataFrame:
     if name == "passages":
         return index.sections().filter("kept").drop("kept")
+    if name.endswith("_terms"):
+        return _postings(index, name).drop("bucket")
     return index.spark.read.schema(TABLES[name]).parquet(f"{index.root}/{name}")
 
 
+def _postings(index: Index, name: str) -> DataFrame:
+    """Postings of both units are stored with the same types."""
+    fields = [field.split(" ") for field in TABLES[name].split(", ")]
+    stored = index.spark.read.schema("path string, line_start bigint, dl bigint, term string, tf bigint, bucket int")
+    found = stored.parquet(f"{index.root}/terms/unit={name.removesuffix('_terms')}")
+    return found.select(*[F.col(c).cast(kind).alias(c) for c, kind in fields], "bucket")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores on a table that arrives in fewer splits; at scale the splits are plenty."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -169,7 +177,7 @@ def with_parts(index: Index, *parts: str) -> Index:
     units = [unit for unit in ("passage", "file") if unit in missing]
     if units:
         size = stored.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = write_bags(lexical.bag_texts(stored, params), size, {u: f"{index.root}/{u}_terms" for u in units}, params.path_weight)
+        buckets = write_bags(lexical.bag_texts(stored, params), size, f"{index.root}/terms", units, params.path_weight)
         changes |= {f"{unit}_buckets": buckets for unit in units}
     for unit in units:
         lexical.document_frequency(_read(index, f"{unit}_terms")).write.parquet(f"{index.root}/{unit}_vocabulary")

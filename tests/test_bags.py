@@ -51,14 +51,16 @@ def test_words_are_those_of_the_column_functions(spark):
 def test_postings_have_the_rows_of_the_bags(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(bags, "POSTING_BYTES", 1)
     given = passages(spark)
-    paths = {unit: str(tmp_path / unit) for unit in ("passage", "file")}
-    buckets = bags.write_bags(lexical.bag_texts(given), 4000, paths, 1, file_rows=300)  # four slices
-    assert buckets == 16
-    assert rows(spark.read.parquet(paths["passage"]).drop("bucket").select("path", "line_start", "dl", "term", "tf")) == rows(lexical.passage_bags(given))
+    path = tmp_path / "terms"
+    buckets = bags.write_bags(lexical.bag_texts(given), 4000, str(path), ["passage", "file"], 1, file_rows=300)  # four slices
+    assert buckets == 16 and spark.conf.get(bags.WRITERS) == "0"
+    stored = spark.read.parquet(str(path))
+    own = stored.filter("unit = 'passage'").select("path", "line_start", "dl", "term", "tf")
+    assert rows(own) == rows(lexical.passage_bags(given))
     summed = lexical.file_bags(given)
     want = summed.join(lexical.lengths(summed, ["path"]), "path").select("path", "dl", "term", "tf")
-    assert rows(spark.read.parquet(paths["file"]).select("path", "dl", "term", "tf")) == rows(want)
-    assert len(list(Path(paths["passage"]).glob("bucket=*/*.parquet"))) > 16
+    assert rows(stored.filter("unit = 'file'").select("path", "dl", "term", "tf")) == rows(want)
+    assert len(list(path.glob("unit=passage/bucket=*/*.parquet"))) > 16
 
 
 def test_sections_and_bags_are_written_once(spark, tmp_path):
